@@ -103,7 +103,8 @@ class _Job:
     def open_lists(self, postings: DataFrame, order) -> DataFrame:
         """Posting lists that still hold several components: (key, cls, comp, leader, size). The leader is the first class in an order given by xor with `order`."""
         lists = postings.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(order)).bitwiseXOR(order).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-        return postings.join(lists.where("low <> high").drop("low", "high"), "key")
+        # a table of its own on either side of the join lets Spark split a hot key
+        return postings.join(self.scratch.keep(lists.where("low <> high").drop("low", "high")), "key")
 
     def link(self, pairs: DataFrame) -> bool:
         """Count agreeing coordinates of the pairs (a, b), confirm those above the threshold on full sets, and join components. Whether any pair was confirmed now."""
@@ -145,7 +146,7 @@ class _Job:
         postings = self.sigs.select("cls", F.posexplode("prefix").alias("pos", "value")).select("cls", F.xxhash64("pos", "value").alias("key"))
         # lists of one class cannot link anything and go first; the counts are combined before the shuffle
         lists = postings.groupBy("key").agg(F.count("*").alias("size"))
-        postings = self.scratch.keep(postings.join(lists.where("size > 1").drop("size"), "key"))
+        postings = self.scratch.keep(postings.join(self.scratch.keep(lists.where("size > 1").drop("size")), "key"))
         for r in range(LEADER_ROUNDS):
             order = F.lit(0).cast("long") if r == 0 else F.xxhash64(F.lit(r), "key")
             opened = self.open_lists(self.with_component(postings), order)
@@ -175,7 +176,7 @@ class _Job:
     def result(self) -> DataFrame:
         smallest = self.with_component(self.classes)
         if self.labels is not None:
-            roots = smallest.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+            roots = self.scratch.keep(smallest.groupBy("comp").agg(F.min("first_id").alias("component_id")))
             smallest = smallest.join(roots, "comp")
         else:
             smallest = smallest.withColumn("component_id", F.col("first_id"))

@@ -15,6 +15,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import duplicate_lines
+
+    return duplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "dropped")
+
+
+def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .top_k import top_k
 
@@ -51,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_exact_top_k, op7_ngram_lm_scoring, op8_warc_zstd, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_fuzzy_line_dedup, op3_quality_divergence, op4_mix_to_targets, op5_license_scan, op6_exact_top_k, op7_ngram_lm_scoring, op8_warc_zstd, op9_bpe, op10_language_id)}
 SQL: dict[str, str] = {
     "op6_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
