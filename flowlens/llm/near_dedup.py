@@ -17,11 +17,16 @@ from .graph import components
 COORDINATES, MATCHES = 64, 40
 #: A pair that agrees in MATCHES coordinates agrees in one of any COORDINATES - MATCHES + 1: only so many are posted.
 PREFIX = COORDINATES - MATCHES + 1
-#: Posting lists of at most so many classes are paired in full; longer ones are refined first.
-SHORT_LIST, REFINE_BY, REFINE_ROUNDS, LEADER_ROUNDS = 48, 8, 4, 3
+#: Lists of at most SHORT_LIST members, and in longer ones up to FEW members outside the largest component, are paired with all others at last; before that members meet a leader in each of BAND_ROUNDS orders.
+FEW, SHORT_LIST, BAND_ROUNDS = 4, 32, 2
+#: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares one with probability 0.999.
+BANDS, BAND_WIDTH = 48, 12
+#: Lists that a pair must share with the same leader in the first round; the later rounds take pairs that share fewer.
+COLLISIONS = 2
 #: Needed texts are picked by a broadcast list only up to so many ids (8 bytes each).
 BROADCAST_IDS = 100_000
 
+_BAND_PLACES = np.random.default_rng(7).permuted(np.tile(np.arange(COORDINATES), (BANDS, 1)), axis=1)[:, :BAND_WIDTH].tolist()
 _FACTORS = np.random.default_rng(20240601).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,9 +111,9 @@ class _Job:
         # a table of its own on either side of the join lets Spark split a hot key
         return postings.join(self.scratch.keep(lists.where("low <> high").drop("low", "high")), "key")
 
-    def link(self, pairs: DataFrame) -> bool:
+    def link(self, pairs: DataFrame, collisions: int = 1) -> bool:
         """Count agreeing coordinates of the pairs (a, b), confirm those above the threshold on full sets, and join components. Whether any pair was confirmed now."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).drop("n")
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         sig = self.sigs.select("cls", "sketch")
@@ -147,30 +152,30 @@ class _Job:
         # lists of one class cannot link anything and go first; the counts are combined before the shuffle
         lists = postings.groupBy("key").agg(F.count("*").alias("size"))
         postings = self.scratch.keep(postings.join(self.scratch.keep(lists.where("size > 1").drop("size")), "key"))
-        for r in range(LEADER_ROUNDS):
-            order = F.lit(0).cast("long") if r == 0 else F.xxhash64(F.lit(r), "key")
-            opened = self.open_lists(self.with_component(postings), order)
-            if r:
-                opened = self.scratch.keep(opened)
-                postings = opened.select("cls", "key")
-            if not self.link(opened.select(F.col("leader").alias("a"), F.col("cls").alias("b"))):
-                break
-        for r in range(REFINE_ROUNDS + 1):
-            opened = self.scratch.keep(self.open_lists(self.with_component(postings), F.xxhash64(F.lit(100 + r), "key")))
+        opened = self.open_lists(self.with_component(postings), F.lit(0).cast("long"))
+        self.link(opened.select(F.col("leader").alias("a"), F.col("cls").alias("b")), COLLISIONS)
+        opened = self.scratch.keep(self.open_lists(self.with_component(postings), F.xxhash64("key")))
+        self.link(opened.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+        left = self.with_component(opened.select("cls", "key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        left = opened.select("cls", "key").join(self.scratch.keep(left), "key").select("cls").distinct().join(self.sigs.select("cls", "sketch"), "cls")
+        bands = F.array(*[F.xxhash64(F.lit(i), *[F.get("sketch", F.lit(k)) for k in places]) for i, places in enumerate(_BAND_PLACES)])
+        postings = left.select("cls", F.explode(bands).alias("key"))
+        lists = self.scratch.keep(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size"))
+        postings = self.scratch.keep(postings.join(lists, "key"))
+        for r in range(BAND_ROUNDS):
+            opened = self.scratch.keep(self.open_lists(self.with_component(postings), F.xxhash64("key", F.lit(r))))
             if opened.isEmpty():
                 break
-            last = r == REFINE_ROUNDS
-            short = opened if last else opened.where(F.col("size") <= SHORT_LIST)
-            x, y = short.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")), short.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-            self.link(x.join(y, "key").where("ca <> cb and a < b").select("a", "b"))
-            if last:
-                break
-            long_lists = opened.where(F.col("size") > SHORT_LIST)
-            self.link(long_lists.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
-            # a pair that agrees in MATCHES coordinates almost surely agrees in one of REFINE_BY others: repost under both
-            chosen = F.slice("sketch", PREFIX + r * REFINE_BY + 1, REFINE_BY)
-            extra = long_lists.select("key", "cls").join(self.sigs.select("cls", "sketch"), "cls").select("cls", "key", F.posexplode(chosen).alias("pos", "value"))
-            postings = extra.select("cls", F.xxhash64("key", "pos", "value").alias("key"))
+            pairs = opened.select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+            if r == BAND_ROUNDS - 1:
+                # members outside a list's largest component, where they are few, meet every member of another component
+                parts = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
+                few = self.scratch.keep(parts.where((F.col("all") <= SHORT_LIST) | (F.col("all") - F.col("most.n") <= FEW)).select("key", F.col("most.comp").alias("main")))
+                near = opened.join(few, "key")
+                x, y = near.where("comp <> main").select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")), near.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"))
+                pairs = pairs.union(x.join(y, "key").where("ca <> cb").select("a", "b"))
+            self.link(pairs)
+            postings = opened.select("cls", "key")
         return self.result()
 
     def result(self) -> DataFrame:
@@ -201,8 +206,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Members of a list are first paired with the list's leader only, agreeing coordinates are counted (the ones not posted
     are skipped in the merge and compared from the sketch), pairs above MATCHES are confirmed on full sets, and
     components are joined. Lists that then hold one component are done, so a large group of copies costs a number of
-    pairs in proportion to its size. What is left is paired in full where lists are short, and long lists are
-    first split by further coordinates.
+    pairs in proportion to its size. A second round gives every list a leader of its own. Classes in lists that still hold
+    several components are posted under bands of coordinates, where members meet leaders again and, where few are outside the list's largest
+    component, every other member. A link can be missed only between components that shared no such list and whose members met no common leader; confirmed links are exact.
 
     Null or blank text: n_shingles 0, its own component, kept. Null doc_id: such a row can link others but is never kept
     unless no other row shares its component (then component_id is null and kept false). Repeated rows: each gets the same result. Extra columns are ignored.
