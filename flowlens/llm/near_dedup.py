@@ -18,7 +18,7 @@ COORDINATES, MATCHES = 64, 40
 #: A pair that agrees in MATCHES coordinates agrees in one of any COORDINATES - MATCHES + 1: only so many are posted.
 PREFIX = COORDINATES - MATCHES + 1
 #: Lists of at most SHORT_LIST members, and in longer ones up to FEW members outside the largest component, are paired with all others at last; before that members meet a leader in each of BAND_ROUNDS orders.
-FEW, SHORT_LIST, BAND_ROUNDS = 4, 32, 2
+FEW, SHORT_LIST, BAND_ROUNDS = 4, 96, 2
 #: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares one with probability 0.999.
 BANDS, BAND_WIDTH = 48, 12
 #: Lists that a pair must share with the same leader in the first round; the later rounds take pairs that share fewer.
