@@ -164,7 +164,7 @@ def _apply(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *columns], names=[*keep, "lang_pred", "score", "rejected", "bits"])
 
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.select(*keep, "text").mapInArrow(run, f"{schema}, {_SCHEMA}")
+    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, {_SCHEMA}")
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
