@@ -10,16 +10,23 @@ from .graph import components
 
 #: Characters of a shingle in the exact comparison, and the similarity from which two lines are the same.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Signatures hold the SKETCH smallest hashes. Lines of up to SHORT characters use all their shingles; lines of more than LONG use those of eight
+#: Signatures hold the KEPT smallest hashes, of which the SKETCH smallest make bands. Lines of up to SHORT characters use all their shingles; lines of more than LONG use those of eight
 #: characters that begin a word, a sample that depends on the content only. Lines between use both, so any two similar lines share a kind.
-SKETCH, LONG, SHORT = 4, 80, 100
+SKETCH, KEPT, LONG, SHORT = 4, 16, 80, 100
+#: Share of the signature that a pair must have in common before its shingle sets are compared: at similarity 0.8, 7 of 16 is 3.6 standard deviations below the mean; the sample that long lines use varies more.
+COMMON, COMMON_LONG = 0.42, 0.3
 #: Lists of at most so many lines are paired in full in the last round.
 SHORT_LIST, LEADER_ROUNDS = 24, 3
 
 
 def _smallest(parts: Column, seed: int) -> Column:
-    hashes = F.transform(parts, lambda s: F.xxhash64(s, F.lit(seed)))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    hashes = F.transform(parts, lambda s: F.shiftright(F.xxhash64(s, F.lit(seed)), 32).cast("int"))
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, KEPT)
+
+
+def _near(x: Column, y: Column, share: float) -> Column:
+    """Whether two signatures have at least the share in common; false where either is null. Signatures of fewer than KEPT hashes hold the whole set."""
+    return F.coalesce(F.size(F.array_intersect(x, y)) >= share * F.greatest(F.size(x), F.size(y)), F.lit(False))
 
 
 def _pairs(sketch: Column, seed: int) -> Column:
@@ -41,6 +48,13 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
 
 
+def _similar(p: Column) -> Column:
+    """Exact test on a struct of two shingle sets; sets whose sizes differ too much are not compared."""
+    x, y = p["x"], p["y"]
+    sizes = F.size(x) + F.size(y)
+    return F.when(F.least(F.size(x), F.size(y)) < SIMILARITY * F.greatest(F.size(x), F.size(y)), F.lit(False)).otherwise(let(F.size(F.array_intersect(x, y)), lambda c: c >= SIMILARITY * (sizes - c)))
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """Every line with a visible character: document key, doc_id, place, text and its hash."""
     text = F.col("text").cast("string")
@@ -76,6 +90,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     scratch.drop(posted)
     need = posted_many.select("h").distinct()
     texts = scratch.keep(lines.select("h", "line").join(need, "h", "left_semi").dropDuplicates(["h"]))
+    signed = scratch.keep(rows.select("h", "short", "long").join(need, "h", "left_semi").dropDuplicates(["h"]))
 
     links, labels, tested, postings = None, None, None, posted_many
     for r in range(LEADER_ROUNDS):
@@ -97,12 +112,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else tested.union(pairs)
-        both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-        # sets whose sizes differ too much cannot be similar; a line has at most length - 4 shingles, so only the exact sizes decide
-        sets = both.select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        similar = F.when(F.least(F.size("x"), F.size("y")) < SIMILARITY * F.greatest(F.size("x"), F.size("y")), F.lit(False)).otherwise(let(common, lambda c: c >= SIMILARITY * (F.size("x") + F.size("y") - c)))
-        sure = scratch.keep(sets.where(similar).select("a", "b"))
+        ends = [signed.select(F.col("h").alias(e), F.col("short").alias(f"short_{e}"), F.col("long").alias(f"long_{e}")) for e in "ab"]
+        likely = scratch.keep(pairs.join(ends[1], "b").join(ends[0], "a").where(_near(F.col("short_a"), F.col("short_b"), COMMON) | _near(F.col("long_a"), F.col("long_b"), COMMON_LONG)).select("a", "b"))
+        both = likely.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+        # one binding holds both sets, since a filter on plain columns would evaluate them once for each use
+        similar = let(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")), _similar)
+        sure = scratch.keep(both.where(similar).select("a", "b"))
         if sure.isEmpty():
             break
         links = sure if links is None else links.union(sure)
