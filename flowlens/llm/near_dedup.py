@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, column_bytes, mix, small_batches, split_words
@@ -17,10 +17,9 @@ from .graph import components
 COORDINATES, MATCHES = 64, 40
 #: A pair that agrees in MATCHES coordinates agrees in one of any COORDINATES - MATCHES + 1: only so many are posted.
 PREFIX = COORDINATES - MATCHES + 1
-#: Lists of at most SHORT_LIST members, and in longer ones up to FEW members outside the largest component, are paired with all others at last; before that members meet a leader in each of BAND_ROUNDS orders.
-FEW, SHORT_LIST, BAND_ROUNDS = 4, 96, 2
-#: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares one with probability 0.999.
-BANDS, BAND_WIDTH = 48, 12
+#: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares one with probability 0.9998.
+#: Members meet a leader there first; in the last of BAND_ROUNDS those outside a list's largest component meet every member of another component, in lists of any length.
+BANDS, BAND_WIDTH, BAND_ROUNDS = 48, 11, 2
 #: Lists that a pair must share with the same leader in the first round; the later rounds take pairs that share fewer.
 COLLISIONS = 2
 #: Needed texts are picked by a broadcast list only up to so many ids (8 bytes each).
@@ -83,6 +82,11 @@ def _confirm(percent: int):
     return run
 
 
+def agreement(x: str, y: str) -> Column:
+    """In how many coordinates two sketches agree."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+
+
 class _Job:
     """State of one run: classes of equal shingle sets, their labels, and the links found so far."""
 
@@ -111,6 +115,22 @@ class _Job:
         # a table of its own on either side of the join lets Spark split a hot key
         return postings.join(self.scratch.keep(lists.where("low <> high").drop("low", "high")), "key")
 
+    def across(self, opened: DataFrame) -> DataFrame:
+        """Pairs of members of different components of a list, one of them outside its largest component, that agree in MATCHES coordinates.
+
+        Lists are not limited in length. A pair is made only in the first list that it shares, and only if it agrees often enough, both in
+        the join itself, so that what leaves the join are likely links. Both sides are tables, so that Spark splits a long list.
+        """
+        main = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        # a class is in at most BANDS lists
+        own = opened.groupBy("cls").agg(F.collect_set("key").alias("keys")).join(self.sigs.select("cls", "sketch"), "cls")
+        near = self.scratch.keep(opened.select("key", "cls", "comp").join(self.scratch.keep(own), "cls"))
+        outside = self.scratch.keep(near.join(self.scratch.keep(main), "key").where("comp <> main").drop("main"))
+        x, y = (side.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("cls", "comp", "keys", "sketch")]) for e, side in (("a", outside), ("b", near)))
+        first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+        found = x.join(y, "key").where((F.col("comp_a") != F.col("comp_b")) & first & (agreement("sketch_a", "sketch_b") >= MATCHES))
+        return found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
     def link(self, pairs: DataFrame, collisions: int = 1) -> bool:
         """Count agreeing coordinates of the pairs (a, b), confirm those above the threshold on full sets, and join components. Whether any pair was confirmed now."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).drop("n")
@@ -118,8 +138,7 @@ class _Job:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         sig = self.sigs.select("cls", "sketch")
         both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
-        agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        likely = self.scratch.keep(both.where(agree >= MATCHES).select("a", "b"))
+        likely = self.scratch.keep(both.where(agreement("sa", "sb") >= MATCHES).select("a", "b"))
         if likely.isEmpty():
             return False
         self.tested = likely if self.tested is None else self.tested.union(likely)
@@ -168,12 +187,7 @@ class _Job:
                 break
             pairs = opened.select(F.col("leader").alias("a"), F.col("cls").alias("b"))
             if r == BAND_ROUNDS - 1:
-                # members outside a list's largest component, where they are few, meet every member of another component
-                parts = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
-                few = self.scratch.keep(parts.where((F.col("all") <= SHORT_LIST) | (F.col("all") - F.col("most.n") <= FEW)).select("key", F.col("most.comp").alias("main")))
-                near = opened.join(few, "key")
-                x, y = near.where("comp <> main").select("key", F.col("cls").alias("a"), F.col("comp").alias("ca")), near.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-                pairs = pairs.union(x.join(y, "key").where("ca <> cb").select("a", "b"))
+                pairs = pairs.union(self.across(opened))
             self.link(pairs)
             postings = opened.select("cls", "key")
         return self.result()
@@ -207,8 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     are skipped in the merge and compared from the sketch), pairs above MATCHES are confirmed on full sets, and
     components are joined. Lists that then hold one component are done, so a large group of copies costs a number of
     pairs in proportion to its size. A second round gives every list a leader of its own. Classes in lists that still hold
-    several components are posted under bands of coordinates, where members meet leaders again and, where few are outside the list's largest
-    component, every other member. A link can be missed only between components that shared no such list and whose members met no common leader; confirmed links are exact.
+    several components are posted under bands of coordinates, where members meet leaders again and then those outside a list's largest
+    component meet every member of another component, in lists of any length. A link can be missed only where the two share no band or agree
+    in fewer than MATCHES coordinates; confirmed links are exact.
 
     Null or blank text: n_shingles 0, its own component, kept. Null doc_id: such a row can link others but is never kept
     unless no other row shares its component (then component_id is null and kept false). Repeated rows: each gets the same result. Extra columns are ignored.

@@ -65,12 +65,13 @@ def test_against_brute_force(spark, seed):
     assert got(near_duplicates(df)) == brute(rows)
 
 
-def test_dense_group_of_variants(spark):
+@pytest.mark.parametrize("size", [150, 400])
+def test_dense_group_of_variants(spark, size):
     """A group whose members are close to a few others only: no leader links them all."""
     r = random.Random(5)
     base = [f"w{i}" for i in range(300)]
     rows = []
-    for i in range(150):
+    for i in range(size):
         t = list(base)
         for _ in range(4):
             t[r.randrange(300)] = f"v{r.random()}"
