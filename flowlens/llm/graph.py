@@ -12,8 +12,9 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """Distributed union-find: edges (a long, b long) -> (node, label), one label per component, for each node of an edge between two nodes.
 
     Each round every node takes the smallest name among itself and its neighbours under an order that a seeded
-    bijection shuffles anew (so that a long path shrinks by a constant factor), then the edges are rewritten between
-    the names taken and those inside one name vanish. The round maps are composed from the last one back.
+    bijection shuffles, then the edges are rewritten between the names taken and those inside one name vanish. An order
+    serves two rounds: in the second, what is left of a star hangs on its smallest leaf, so that a star takes two rounds;
+    a new order then shrinks long paths by a constant factor. The round maps are composed from the last one back.
     An empty table gives an empty result; self-loops, repeated edges and null ends are ignored. The label is the name of some
     node of the component, not its smallest. Nothing is collected: only counts reach the driver.
     """
@@ -22,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     for r in range(max_rounds):
         if current.isEmpty():
             break
-        salt = F.xxhash64(F.lit(r))
+        salt = F.xxhash64(F.lit(r // 2))
         both = current.select(F.col("a").alias("node"), F.col("b").alias("other")).union(current.select(F.col("b"), F.col("a")))
         # x ^ salt is a bijection of longs, so the smallest can be turned back into the node it names
         taken = both.groupBy("node").agg(F.min(F.least(F.col("node").bitwiseXOR(salt), F.col("other").bitwiseXOR(salt))).bitwiseXOR(salt).alias("label"))
