@@ -15,8 +15,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCH, KEPT, LONG, SHORT = 4, 16, 80, 100
 #: Share of the signature that a pair must have in common before its shingle sets are compared: at similarity 0.8, 7 of 16 is 3.6 standard deviations below the mean; the sample that long lines use varies more.
 COMMON, COMMON_LONG = 0.42, 0.3
-#: Lists of at most so many lines are paired in full in the last round.
-SHORT_LIST, LEADER_ROUNDS = 24, 3
+#: Rounds in which members of a list meet its leader; in the last, those outside its largest component also meet every member of another component, in lists of any length.
+LEADER_ROUNDS = 3
 
 
 def _smallest(parts: Column, seed: int) -> Column:
@@ -55,6 +55,23 @@ def _similar(p: Column) -> Column:
     return F.when(F.least(F.size(x), F.size(y)) < SIMILARITY * F.greatest(F.size(x), F.size(y)), F.lit(False)).otherwise(let(F.size(F.array_intersect(x, y)), lambda c: c >= SIMILARITY * (sizes - c)))
 
 
+def _across(opened: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components of a list, one of them outside its largest component, whose signatures are near.
+
+    A pair is made only in the first list that it shares, and the signatures are compared in the join itself, so that what
+    leaves the join are likely links. Both sides are tables, so that Spark splits a long list.
+    """
+    main = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    # a line has at most a dozen keys
+    own = opened.groupBy("h").agg(F.collect_set("key").alias("keys")).join(signed, "h")
+    every = scratch.keep(opened.select("key", "h", "comp").join(own, "h"))
+    outside = scratch.keep(every.join(main, "key").where("comp <> main").drop("main"))
+    x, y = (side.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("h", "comp", "keys", "short", "long")]) for e, side in (("a", outside), ("b", every)))
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    near = _near(F.col("short_a"), F.col("short_b"), COMMON) | _near(F.col("long_a"), F.col("long_b"), COMMON_LONG)
+    return x.join(y, "key").where((F.col("comp_a") != F.col("comp_b")) & first & near).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """Every line with a visible character: document key, doc_id, place, text and its hash."""
     text = F.col("text").cast("string")
@@ -71,7 +88,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     Lines are split at \\n. Equal lines form a class. Classes that share a band key are paired with the first of each list (in an order of the list's own),
     pairs are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), components are joined, and lists that
-    still hold several components are paired again, in full where short. Of each component the first line by (doc_id, place) stays.
+    still hold several components are paired again, in the last round across their components, at any length. Of each component the first line by (doc_id, place) stays.
 
     Null and blank texts, and blank lines, have nothing to drop. A null doc_id comes first. Rows that repeat both doc_id and text are one document. Extra columns are ignored.
     """
@@ -97,16 +114,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         last = r == LEADER_ROUNDS - 1
         order = F.xxhash64("key", F.lit(r))
         at = postings.withColumn("comp", F.col("h")) if labels is None else postings.join(labels.select(F.col("node").alias("h"), "label"), "h", "left").select("h", "key", F.coalesce("label", "h").alias("comp"))
-        opened = at.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(order)).bitwiseXOR(order).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
+        opened = at.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(order)).bitwiseXOR(order).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         at = at.join(scratch.keep(opened.drop("low", "high")), "key")
         if r:
             at = scratch.keep(at)
             postings = at.select("h", "key")
         pairs = at.select(F.col("leader").alias("a"), F.col("h").alias("b"))
         if last:
-            few = at.where(F.col("size") <= SHORT_LIST)
-            x, y = few.select("key", F.col("h").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("h").alias("b"), F.col("comp").alias("cb"))
-            pairs = pairs.union(x.join(y, "key").where("ca <> cb and a < b").select("a", "b"))
+            pairs = pairs.union(_across(at, signed, scratch))
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
