@@ -115,7 +115,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         order = F.xxhash64("key", F.lit(r))
         at = postings.withColumn("comp", F.col("h")) if labels is None else postings.join(labels.select(F.col("node").alias("h"), "label"), "h", "left").select("h", "key", F.coalesce("label", "h").alias("comp"))
         opened = at.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(order)).bitwiseXOR(order).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        at = at.join(scratch.keep(opened.drop("low", "high")), "key")
+        opened = scratch.keep(opened.drop("low", "high"))
+        # only this ends the rounds early: a round that links nothing says nothing about members other than its leaders
+        if opened.isEmpty():
+            break
+        at = at.join(opened, "key")
         if r:
             at = scratch.keep(at)
             postings = at.select("h", "key")
@@ -125,7 +129,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         ends = [signed.select(F.col("h").alias(e), F.col("short").alias(f"short_{e}"), F.col("long").alias(f"long_{e}")) for e in "ab"]
         likely = scratch.keep(pairs.join(ends[1], "b").join(ends[0], "a").where(_near(F.col("short_a"), F.col("short_b"), COMMON) | _near(F.col("long_a"), F.col("long_b"), COMMON_LONG)).select("a", "b"))
@@ -134,7 +138,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         similar = let(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")), _similar)
         sure = scratch.keep(both.where(similar).select("a", "b"))
         if sure.isEmpty():
-            break
+            continue
         links = sure if links is None else links.union(sure)
         labels = components(links, scratch)
 

@@ -1,6 +1,8 @@
 """Quality rules, mixing, line dedup and licence scan against plain Python."""
 
+import random
 from collections import Counter, defaultdict
+from itertools import product
 
 import pytest
 
@@ -97,6 +99,19 @@ def test_line_dedup(spark):
     assert line_dedup.duplicate_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_links_without_a_leader(spark):
+    """Lines that share all band keys and are unlike, but for two that no leader round pairs: the last round links them."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    short = spark.createDataFrame([("".join(w),) for w in product("qwxyzjkv", repeat=5)], "w string").orderBy(F.shiftright(F.xxhash64("w", F.lit(1)), 32).cast("int")).limit(4)
+    common = " ".join(x.w for x in short.collect())
+    rows = [(i, common + " " + "".join(r.choice("abcdefghilmnoprstu ") for _ in range(50)) + "s") for i in range(150)]
+    rows.append((150, rows[7][1][:-1] + "t"))
+    out = {x.doc_id: x.dropped for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, d in sorted(out.items()) if d] == [150]
+
+
 def test_licences(spark, docs):
     given = [(1, "Some words here that mean nothing at all\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "this licence plate was released under pressure by the institute"), (5, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
