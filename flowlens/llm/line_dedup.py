@@ -10,18 +10,35 @@ from .graph import components
 
 #: Characters of a shingle in the exact comparison, and the similarity from which two lines are the same.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Signatures hold the KEPT smallest hashes, of which the SKETCH smallest make bands. Lines of up to SHORT characters use all their shingles; lines of more than LONG use those of eight
+#: Signatures hold the KEPT smallest hashes, of which the SKETCH smallest make bands. Lines of up to SHORT distinct shingles use them all; lines of more than LONG characters use those of eight
 #: characters that begin a word, a sample that depends on the content only. Lines between use both, so any two similar lines share a kind.
-SKETCH, KEPT, LONG, SHORT = 4, 16, 80, 100
+#: A longer line uses all its shingles as well if fewer than KEPT words begin in it, or fewer than one in SPARSE shingles: the sample would not cover it (no blanks, few blanks, repeated passages).
+SKETCH, KEPT, LONG, SHORT, SPARSE = 4, 16, 80, 100, 16
 #: Share of the signature that a pair must have in common before its shingle sets are compared: at similarity 0.8, 7 of 16 is 3.6 standard deviations below the mean; the sample that long lines use varies more.
 COMMON, COMMON_LONG = 0.42, 0.3
 #: Rounds in which members of a list meet its leader; in the last, those outside its largest component also meet every member of another component, in lists of any length.
 LEADER_ROUNDS = 3
 
 
-def _smallest(parts: Column, seed: int) -> Column:
-    hashes = F.transform(parts, lambda s: F.shiftright(F.xxhash64(s, F.lit(seed)), 32).cast("int"))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, KEPT)
+def _hashes(parts: Column, seed: int) -> Column:
+    return F.array_distinct(F.transform(parts, lambda s: F.shiftright(F.xxhash64(s, F.lit(seed)), 32).cast("int")))
+
+
+def _smallest(hashes: Column) -> Column:
+    return F.slice(F.sort_array(hashes), 1, KEPT)
+
+
+def signatures(line: Column) -> Column:
+    """Struct of the signatures of both kinds, null where the line does not use one."""
+    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    starts = F.when(F.length(line) > LONG, F.regexp_extract_all(line, F.lit("(?s)(?:^| )(?=(.{1,8}))"), F.lit(1)))
+
+    def chosen(p: Column) -> Column:
+        size, begun = F.size(p["every"]), F.size(p["starts"])
+        whole = (size <= SHORT) | p["starts"].isNull() | (begun < KEPT) | (SPARSE * begun < size)
+        return F.struct(F.when(whole, _smallest(p["every"])).alias("short"), _smallest(p["starts"]).alias("long"))
+
+    return let(F.struct(_hashes(every, 1).alias("every"), _hashes(starts, 2).alias("starts")), chosen)
 
 
 def _near(x: Column, y: Column, share: float) -> Column:
@@ -94,10 +111,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = _occurrences(docs)
-    n = F.length("line")
-    short = F.when(n <= SHORT, _smallest(F.when(n < SHINGLE, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))), 1))
-    long = F.when(n > LONG, _smallest(F.regexp_extract_all("line", F.lit("(?s)(?:^| )(?=(.{1,8}))"), F.lit(1)), 2))
-    rows = scratch.keep(lines.select("k", "doc_id", "place", "h", short.alias("short"), long.alias("long")))
+    rows = scratch.keep(lines.select("k", "doc_id", "place", "h", signatures(F.col("line")).alias("s"))).select("k", "doc_id", "place", "h", "s.short", "s.long")
     classes = scratch.keep(rows.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first")))
     sketches = rows.select("h", "short", "long").dropDuplicates(["h"])
     posted = scratch.keep(sketches.select("h", F.explode(F.array_distinct(band_keys(F.col("short"), F.col("long")))).alias("key")))

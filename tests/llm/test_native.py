@@ -112,6 +112,15 @@ def test_line_dedup_links_without_a_leader(spark):
     assert [i for i, d in sorted(out.items()) if d] == [150]
 
 
+def test_line_dedup_without_blanks(spark):
+    """Long lines without U+0020 that differ in one of their first eight characters, and lines whose repeated passages differ in length."""
+    r = random.Random(3)
+    cjk, code = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300)), "".join(r.choice("0123456789abcdef\t/") for _ in range(240))
+    texts = [cjk, cjk[:3] + "x" + cjk[4:], code, code[:6] + "#" + code[7:], "=" * 60, "=" * 160]
+    out = {x.doc_id: x.dropped for x in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [i for i, d in sorted(out.items()) if d] == [1, 3, 5]
+
+
 def test_licences(spark, docs):
     given = [(1, "Some words here that mean nothing at all\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "this licence plate was released under pressure by the institute"), (5, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
