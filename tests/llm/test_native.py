@@ -46,6 +46,17 @@ def test_quality_verdict(spark, docs):
     assert sum(r.kept for r in rest) > 0.9 * len(rest)
 
 
+def test_quality_without_common_words(spark):
+    """Lower-case gibberish has normal character classes; only its words tell."""
+    r = random.Random(2)
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(10_000_000 + i, " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n)) + ".", "en") for i, n in enumerate([80, 150, 300, 900])]
+    out = {x.doc_id: x for x in quality.quality(plain.union(spark.createDataFrame(junk, plain.schema))).collect()}
+    assert all(out[i].class_distance < quality.MOST_CLASS_DISTANCE and not out[i].base_failed and not out[i].kept for i, _, _ in junk)
+    good = [x.doc_id for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()]
+    assert sum(out[i].kept for i in good if not out[i].base_failed) > 0.97 * sum(not out[i].base_failed for i in good)
+
+
 def test_mixing(docs, rows):
     out = mixing.mix(docs).collect()
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
