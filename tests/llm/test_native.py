@@ -140,3 +140,16 @@ def test_licences(spark, docs):
     for r in both.where("doc_id >= 1000").collect():
         has = any(t in (r.text or "").split("\n") for ts in licenses.TEMPLATES.values() for t in ts)
         assert bool(out[r.doc_id].families) == has, r.text
+
+
+def test_wrapped_licences(spark, docs):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights"]
+    given = [(1, "\n".join(f"# {x}" for x in gpl)), (2, "words before\n\n" + "\n".join(mit)), (3, "\n".join(f" * {x}" for x in gpl[2:]))]
+    both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
+    out = {r.doc_id: r for r in licenses.scan(both).collect() if r.doc_id < 1000}
+    assert [out[i].families for i in (1, 2, 3)] == [["gpl"], ["mit"], []]
+    assert out[1].licence_places == [0] and out[2].licence_places == [2] and out[1].n_paragraphs == 4
+    templates = licenses.template_pairs(spark)
+    telling = set(licenses.telling_words(templates))
+    assert all(sum(not telling & set(p.split(" ")) for p in t.pairs) < licenses.LEAST_CONFIRMED * len(t.pairs) for t in templates)
