@@ -24,9 +24,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near copies, from similarity 0.8 on.
+
+    Rows are told apart by a key of their own, so that null ids stay and of repeated rows one is kept, whatever their ids. Which row of a group stays depends on the order of the rows.
+    """
+    keyed = row_keys(docs, Scratch(spark, "row-keys"))
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), percent=80)
+    kept = found.where("kept").select(F.col("doc_id").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").select(docs.columns)
+
+
+def row_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a number __row of its own for every row, kept as a table so that it does not change when the plan runs again."""
+    return scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,22 +14,29 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, column_bytes, mix, small_batches, split_words
 from .graph import components
 
-#: Signature coordinates, and how many must agree for a pair to be confirmed on full sets. At similarity 0.85, 40 of 64 is five standard deviations below the mean.
-COORDINATES, MATCHES = 64, 40
-#: A pair that agrees in MATCHES coordinates agrees in one of any COORDINATES - MATCHES + 1: only so many are posted.
-PREFIX = COORDINATES - MATCHES + 1
+#: Signature coordinates; so many standard deviations below the mean of a pair at the threshold may its agreeing coordinates lie (40 of 64 at similarity 0.85, 35 at 0.8).
+COORDINATES, DEVIATIONS = 64, 5
 #: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares none with probability 0.0003, one at 0.9 in none of 40,000 trials (drawn at random, these bands).
 #: Members meet a leader there first; in the last of BAND_ROUNDS those outside a list's largest component meet every member of another component, in lists of any length.
+#: BAND_WIDTH is that at similarity 0.85; at others a band is as likely to be shared (5 coordinates at 0.8).
 BANDS, BAND_WIDTH, BAND_ROUNDS = 48, 7, 2
 #: Lists that a pair must share with the same leader in the first round; the later rounds take pairs that share fewer.
 COLLISIONS = 2
 #: Needed texts are picked by a broadcast list only up to so many ids (8 bytes each).
 BROADCAST_IDS = 100_000
 
-_BAND_PLACES = np.random.default_rng(7).permuted(np.tile(np.arange(COORDINATES), (BANDS, 1)), axis=1)[:, :BAND_WIDTH].tolist()
+_ORDERS = np.random.default_rng(7).permuted(np.tile(np.arange(COORDINATES), (BANDS, 1)), axis=1)
 _FACTORS = np.random.default_rng(20240601).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def limits(percent: int) -> tuple[int, int, int]:
+    """How many coordinates must agree before full sets are compared, how many are posted (a pair that agrees in so many agrees in one of any of the rest and one more), and the band width."""
+    p = percent / 100
+    matches = max(1, math.floor(COORDINATES * p - DEVIATIONS * math.sqrt(COORDINATES * p * (1 - p))))
+    width = BAND_WIDTH if percent >= 85 else max(1, math.floor(BAND_WIDTH * math.log(0.85) / math.log(p)))
+    return matches, COORDINATES - matches + 1, width
+
+
 def shingles(text: bytes | None, hashes: WordHashes, size: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word shingles; one for the whole sequence if it is shorter than size; none without words."""
     ws = split_words(text, lower=True)
@@ -50,18 +58,21 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for b in small_batches(batches):
-        n, cls, prefix, sketch = [], [], [], []
-        for text in column_bytes(b, "text"):
-            s = shingles(text, hashes)
-            n.append(len(s))
-            cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-            sig = signature(s) if len(s) else None
-            prefix.append(None if sig is None else sig[:PREFIX].view(np.int64))
-            sketch.append(None if sig is None else (mix(sig) >> np.uint64(56)).astype(np.uint8).view(np.int8))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], names=["doc_id", "n_shingles", "cls", "prefix", "sketch"])
+def _signed(posted: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in small_batches(batches):
+            n, cls, prefix, sketch = [], [], [], []
+            for text in column_bytes(b, "text"):
+                s = shingles(text, hashes)
+                n.append(len(s))
+                cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                sig = signature(s) if len(s) else None
+                prefix.append(None if sig is None else sig[:posted].view(np.int64))
+                sketch.append(None if sig is None else (mix(sig) >> np.uint64(56)).astype(np.uint8).view(np.int8))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], names=["doc_id", "n_shingles", "cls", "prefix", "sketch"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -92,9 +103,10 @@ class _Job:
 
     def __init__(self, docs: DataFrame, percent: int):
         self.spark, self.percent = docs.sparkSession, percent
+        self.matches, self.posted, self.width = limits(percent)
         self.scratch = Scratch(self.spark, "near-dedup")
         self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.docs = self.scratch.keep(self.source.mapInArrow(_signed, "doc_id long, n_shingles long, cls long, prefix array<long>, sketch array<tinyint>"))
+        self.docs = self.scratch.keep(self.source.mapInArrow(_signed(self.posted), "doc_id long, n_shingles long, cls long, prefix array<long>, sketch array<tinyint>"))
         known = self.docs.where("cls is not null")
         self.classes = self.scratch.keep(known.groupBy("cls").agg(F.min("doc_id").alias("first_id")))
         sigs = known.select("cls", "prefix", "sketch").dropDuplicates(["cls"])
@@ -116,7 +128,7 @@ class _Job:
         return postings.join(self.scratch.keep(lists.where("low <> high").drop("low", "high")), "key")
 
     def across(self, opened: DataFrame) -> DataFrame:
-        """Pairs of members of different components of a list, one of them outside its largest component, that agree in MATCHES coordinates.
+        """Pairs of members of different components of a list, one of them outside its largest component, that agree in `matches` coordinates.
 
         Lists are not limited in length. A pair is made only in the first list that it shares, and only if it agrees often enough, both in
         the join itself, so that what leaves the join are likely links. Both sides are tables, so that Spark splits a long list.
@@ -128,7 +140,7 @@ class _Job:
         outside = self.scratch.keep(near.join(self.scratch.keep(main), "key").where("comp <> main").drop("main"))
         x, y = (side.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("cls", "comp", "keys", "sketch")]) for e, side in (("a", outside), ("b", near)))
         first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-        found = x.join(y, "key").where((F.col("comp_a") != F.col("comp_b")) & first & (agreement("sketch_a", "sketch_b") >= MATCHES))
+        found = x.join(y, "key").where((F.col("comp_a") != F.col("comp_b")) & first & (agreement("sketch_a", "sketch_b") >= self.matches))
         return found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
 
     def link(self, pairs: DataFrame, collisions: int = 1) -> bool:
@@ -138,7 +150,7 @@ class _Job:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         sig = self.sigs.select("cls", "sketch")
         both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = self.scratch.keep(both.where(agreement("sa", "sb") >= MATCHES).select("a", "b"))
+        likely = self.scratch.keep(both.where(agreement("sa", "sb") >= self.matches).select("a", "b"))
         if likely.isEmpty():
             return False
         self.tested = likely if self.tested is None else self.tested.union(likely)
@@ -177,7 +189,7 @@ class _Job:
         self.link(opened.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
         left = self.with_component(opened.select("cls", "key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         left = opened.select("cls", "key").join(self.scratch.keep(left), "key").select("cls").distinct().join(self.sigs.select("cls", "sketch"), "cls")
-        bands = F.array(*[F.xxhash64(F.lit(i), *[F.get("sketch", F.lit(k)) for k in places]) for i, places in enumerate(_BAND_PLACES)])
+        bands = F.array(*[F.xxhash64(F.lit(i), *[F.get("sketch", F.lit(k)) for k in places]) for i, places in enumerate(_ORDERS[:, : self.width].tolist())])
         postings = left.select("cls", F.explode(bands).alias("key"))
         lists = self.scratch.keep(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size"))
         postings = self.scratch.keep(postings.join(lists, "key"))
@@ -216,14 +228,14 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
-    Documents with equal shingle sets form a class; a class is posted under each of its first PREFIX coordinate values.
+    Documents with equal shingle sets form a class; a class is posted under each of its first `posted` coordinate values.
     Members of a list are first paired with the list's leader only, agreeing coordinates are counted (the ones not posted
-    are skipped in the merge and compared from the sketch), pairs above MATCHES are confirmed on full sets, and
+    are skipped in the merge and compared from the sketch), pairs with `matches` of them (see `limits`) are confirmed on full sets, and
     components are joined. Lists that then hold one component are done, so a large group of copies costs a number of
     pairs in proportion to its size. A second round gives every list a leader of its own. Classes in lists that still hold
     several components are posted under bands of coordinates, where members meet leaders again and then those outside a list's largest
     component meet every member of another component, in lists of any length. A link can be missed only where the two share no band or agree
-    in fewer than MATCHES coordinates; confirmed links are exact.
+    in fewer than `matches` coordinates; confirmed links are exact.
 
     Null or blank text: n_shingles 0, its own component, kept. Null doc_id: such a row can link others but is never kept
     unless no other row shares its component (then component_id is null and kept false). Repeated rows: each gets the same result. Extra columns are ignored.

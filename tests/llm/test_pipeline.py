@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -8,3 +10,27 @@ def test_stages(spark):
     out = corpus_pipeline.run(spark, d).collect()
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in docs.select("doc_id").collect()} and all(r.n_tokens > 0 for r in out)
     assert corpus_pipeline.language(spark, docs, d).columns == docs.columns
+
+
+def test_near_duplicates_stage(spark):
+    """Against brute force: one row of each group linked from similarity 0.8 on, whatever the ids."""
+    r = random.Random(4)
+    texts, groups = [None, "", "own text without any copy at all"], []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(104)]
+        other = base[:50] + ["x"] + base[51:75] + ["y"] + base[76:]
+        groups.append({" ".join(base), " ".join(other)})
+        texts += [" ".join(base), " ".join(other)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    rows += [rows[2], rows[5]]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [x.text for x in corpus_pipeline.near_duplicate_documents(spark, docs, "").collect()]
+    assert sum(t is None for t in out) == 1 and out.count("") == 1 and out.count(texts[2]) == 1
+    assert all(sum(t in g for t in out) == 1 for g in groups) and len(out) == 3 + len(groups)
+
+
+def test_limits():
+    from flowlens.llm.near_dedup import limits
+
+    assert limits(85) == (40, 25, 7) and limits(80) == (35, 30, 5)
