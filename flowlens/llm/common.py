@@ -20,12 +20,14 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class Scratch:
     """Tables written to the folder that driver and executors share, to cut lineage so that a lost executor costs no recomputation.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) a local one is made.
+    The folder is the session's `spark.checkpoint.dir`, which a cluster must set. Where it is unset, a session on this machine alone (local[n]) takes a temporary one; any other stops.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="flowlens-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root, self.paths = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
@@ -54,6 +56,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are computed once, however often later columns and filters use them: the optimizer moves nothing through a generator."""
+    for name, value in values.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def words(text: Column) -> Column:
     """Native array of the words of a text; null and blank texts give an empty array."""
     trimmed = F.btrim(text, F.lit(_TRIM))

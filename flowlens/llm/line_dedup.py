@@ -2,176 +2,248 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, bound, let
 from .graph import components
 
 #: Characters of a shingle in the exact comparison, and the similarity from which two lines are the same.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Signatures hold the KEPT smallest hashes, of which the SKETCH smallest make bands. Lines of up to SHORT distinct shingles use them all; lines of more than LONG characters use those of eight
-#: characters that begin a word, a sample that depends on the content only. Lines between use both, so any two similar lines share a kind.
-#: A longer line uses all its shingles as well if fewer than KEPT words begin in it, or fewer than one in SPARSE shingles: the sample would not cover it (no blanks, few blanks, repeated passages).
-SKETCH, KEPT, LONG, SHORT, SPARSE = 4, 16, 80, 100, 16
-#: Share of the signature that a pair must have in common before its shingle sets are compared: at similarity 0.8, 7 of 16 is 3.6 standard deviations below the mean; the sample that long lines use varies more.
-COMMON, COMMON_LONG = 0.42, 0.3
-#: Rounds in which members of a list meet its leader; in the last, those outside its largest component also meet every member of another component, in lists of any length.
-LEADER_ROUNDS = 3
-
-
-def _hashes(parts: Column, seed: int) -> Column:
-    return F.array_distinct(F.transform(parts, lambda s: F.shiftright(F.xxhash64(s, F.lit(seed)), 32).cast("int")))
+#: Lines of up to SHORT characters are signed by all their shingles; lines of more than LONG by a sample of longer shingles, of WIDE characters, those that start with a character of SAMPLED.
+#: The sample depends on the content alone, whatever the script: it takes about one position in seven of text in Latin letters, digits and base64, and all of those beyond U+00FF.
+#: Lines between are signed both ways, and so are longer lines whose sample holds fewer than FEW shingles, so that two similar lines share a kind.
+SHORT, LONG, WIDE, FEW = 160, 128, 8, 16
+SAMPLED = "[ndlgyCKQWX39/\\u0100-\\x{10FFFF}]"
+#: Band keys: each two of the 5 smallest hashes of a sample, each three of the 5 smallest of all shingles (short lines share their most frequent shingles with many others).
+BANDS = {"sample": (5, 2), "every": (5, 3)}
+#: The KEPT smallest hashes set bits in two words of 64, about half of them, so that unlike lines share 0.3 of their bits as well. A pair is compared in full if it has at least LIKELY
+#: of its bits in common: that of similarity 0.54 for all shingles, four deviations below 0.8, and of 0.37 for samples, whose longer shingles agree in about 0.7 at similarity 0.8.
+KEPT, LIKELY_EVERY, LIKELY_SAMPLE = 40, 0.68, 0.56
+#: Lines to fetch are sent to all tasks up to so many hashes (8 bytes each), else both sides are shuffled.
+BROADCAST_LINES = 500_000
 
 
-def _smallest(hashes: Column) -> Column:
-    return F.slice(F.sort_array(hashes), 1, KEPT)
+def _hashes(parts: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(parts, lambda s: F.hash(s))))
 
 
-def signatures(line: Column) -> Column:
-    """Struct of the signatures of both kinds, null where the line does not use one."""
-    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    starts = F.when(F.length(line) > LONG, F.regexp_extract_all(line, F.lit("(?s)(?:^| )(?=(.{1,8}))"), F.lit(1)))
+def _bits(hashes: Column, skip: int) -> Column:
+    """A bit for each of the smallest hashes, by 6 of its own bits (a shift of a long takes the lowest 6)."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.slice(hashes, 1, KEPT), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(x, skip) if skip else x)))
 
-    def chosen(p: Column) -> Column:
-        size, begun = F.size(p["every"]), F.size(p["starts"])
-        whole = (size <= SHORT) | p["starts"].isNull() | (begun < KEPT) | (SPARSE * begun < size)
-        return F.struct(F.when(whole, _smallest(p["every"])).alias("short"), _smallest(p["starts"]).alias("long"))
 
-    return let(F.struct(_hashes(every, 1).alias("every"), _hashes(starts, 2).alias("starts")), chosen)
+def _parts(line: Column) -> Column:
+    """Character shingles of a line; a line shorter than one is a shingle itself."""
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
-def _near(x: Column, y: Column, share: float) -> Column:
-    """Whether two signatures have at least the share in common; false where either is null. Signatures of fewer than KEPT hashes hold the whole set."""
-    return F.coalesce(F.size(F.array_intersect(x, y)) >= share * F.greatest(F.size(x), F.size(y)), F.lit(False))
+def signed(lines: DataFrame) -> DataFrame:
+    """lines (with a column line) and, for each kind of signature, the smallest hashes, two words of bits and the number of shingles; null where the line does not use the kind.
 
-
-def _pairs(sketch: Column, seed: int) -> Column:
-    """Band keys: each two of the smallest hashes; the one hash there is, for lines with a single shingle."""
-    two = [F.xxhash64(F.get(s, F.lit(i)), F.get(s, F.lit(j)), F.lit(seed)) for s in [sketch] for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    size = F.size(sketch)
-    # keys in the order (0,1) (0,2) ... ; those whose second hash is missing are left out
-    ends = [j for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    whole = F.array(*[F.when(size > j, k) for j, k in zip(ends, two, strict=True)])
-    return F.when(size == 1, F.array(F.xxhash64(F.get(sketch, F.lit(0)), F.lit(seed)))).otherwise(F.array_compact(whole))
+    What several columns need is bound first, so that it is computed once.
+    """
+    length = F.length("line")
+    sample = F.when(length > LONG, F.regexp_extract_all("line", F.lit(f"(?s)(?=({SAMPLED}.{{{WIDE - 1}}}))"), F.lit(1)))
+    at = bound(lines, sample=_hashes(sample))
+    whole = (length <= SHORT) | (F.size("sample") < FEW)
+    at = bound(at, every=F.when(whole, _hashes(_parts(F.col("line"))))).withColumn("sample", F.when(F.size("sample") >= BANDS["sample"][1], F.col("sample")))
+    cols = [c for kind, (most, _) in BANDS.items() for c in (F.slice(kind, 1, most).alias(f"{kind}_low"), _bits(F.col(kind), 0).alias(f"{kind}_m0"), _bits(F.col(kind), 6).alias(f"{kind}_m1"), F.when(F.col(kind).isNotNull(), F.size(kind)).alias(f"{kind}_n"))]
+    return at.select(*lines.columns, *cols)
 
 
-def band_keys(short: Column, long: Column) -> Column:
-    return F.concat(F.coalesce(let(short, lambda s: _pairs(s, 1)), F.array().cast("array<bigint>")), F.coalesce(let(long, lambda s: _pairs(s, 2)), F.array().cast("array<bigint>")))
+def band_keys(low: Column, kind: str) -> Column:
+    """Array of a key for each choice of the smallest hashes, null where one is missing; the first is of all hashes for lines that have fewer than a choice takes."""
+    most, take = BANDS[kind]
+    seed, size = F.lit(kind), F.size(low)
+    keys = [F.when(size > c[-1], F.xxhash64(*[F.get(low, F.lit(i)) for i in c], seed)) for c in combinations(range(most), take)]
+    keys[0] = F.when(size < take, F.xxhash64(low, seed)).otherwise(keys[0])
+    return F.array(*keys)
 
 
 def shingles(line: Column) -> Column:
-    """Distinct character shingles of a line; a line shorter than one is a shingle itself."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
+    """Distinct 64-bit hashes of the character shingles of a line."""
+    return F.array_distinct(F.transform(_parts(line), lambda s: F.xxhash64(s)))
 
 
-def _similar(p: Column) -> Column:
-    """Exact test on a struct of two shingle sets; sets whose sizes differ too much are not compared."""
-    x, y = p["x"], p["y"]
+def similar(x: Column, y: Column) -> Column:
+    """Exact test on two shingle sets; sets whose sizes differ too much are not compared."""
     sizes = F.size(x) + F.size(y)
-    return F.when(F.least(F.size(x), F.size(y)) < SIMILARITY * F.greatest(F.size(x), F.size(y)), F.lit(False)).otherwise(let(F.size(F.array_intersect(x, y)), lambda c: c >= SIMILARITY * (sizes - c)))
+    return F.when(F.least(F.size(x), F.size(y)) < SIMILARITY * F.greatest(F.size(x), F.size(y)), F.lit(False)).otherwise((1 + SIMILARITY) * F.size(F.array_intersect(x, y)) >= SIMILARITY * sizes)
 
 
-def _across(opened: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components of a list, one of them outside its largest component, whose signatures are near.
-
-    A pair is made only in the first list that it shares, and the signatures are compared in the join itself, so that what
-    leaves the join are likely links. Both sides are tables, so that Spark splits a long list.
-    """
-    main = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    # a line has at most a dozen keys
-    own = opened.groupBy("h").agg(F.collect_set("key").alias("keys")).join(signed, "h")
-    every = scratch.keep(opened.select("key", "h", "comp").join(own, "h"))
-    outside = scratch.keep(every.join(main, "key").where("comp <> main").drop("main"))
-    x, y = (side.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("h", "comp", "keys", "short", "long")]) for e, side in (("a", outside), ("b", every)))
-    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    near = _near(F.col("short_a"), F.col("short_b"), COMMON) | _near(F.col("long_a"), F.col("long_b"), COMMON_LONG)
-    return x.join(y, "key").where((F.col("comp_a") != F.col("comp_b")) & first & near).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a visible character: document key, doc_id, place, text and its hash."""
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("k"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return keyed.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("h", F.xxhash64("line"))
+def _likely(a: str, b: str) -> Column:
+    """Whether the signatures of two members of a list allow similarity 0.8: sizes (with four deviations of room, since they may be those of samples) and shared bits."""
+    low, high = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
+    words = [(F.col(f"m{i}_{a}"), F.col(f"m{i}_{b}")) for i in range(2)]
+    shared = sum((F.bit_count(x.bitwiseAND(y)) for x, y in words[1:]), F.bit_count(words[0][0].bitwiseAND(words[0][1])))
+    either = sum((F.bit_count(x.bitwiseOR(y)) for x, y in words[1:]), F.bit_count(words[0][0].bitwiseOR(words[0][1])))
+    return (low + 1.8 * F.sqrt(high) >= SIMILARITY * high) & (shared >= F.when(F.col(f"every_{a}"), LIKELY_EVERY).otherwise(LIKELY_SAMPLE) * either)
 
 
 def document_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.lit("/"), F.col("text").cast("string"))
 
 
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """Every line with a visible character: document key, doc_id, place, text, its hash and its signatures."""
+    # the key is made before the lines are taken apart, so that it is made once for a document
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("k"), F.split(F.col("text").cast("string"), "\n").alias("parts"))
+    lines = keyed.select("doc_id", "k", F.posexplode("parts").alias("place", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    return signed(lines.withColumn("h", F.xxhash64("line")))
+
+
+class _Job:
+    """State of one run: the lines, the links found so far and the texts fetched for them."""
+
+    def __init__(self, docs: DataFrame):
+        self.scratch = Scratch(docs.sparkSession, "line-dedup")
+        self.lines = self.scratch.keep(_occurrences(docs))
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.texts: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def posted(self) -> DataFrame:
+        """(key, h, m0, m1, n, every) of each line in each list that holds two different lines or more."""
+        kinds = [self.lines.where(F.col(f"{kind}_n").isNotNull()).select("h", F.explode(band_keys(F.col(f"{kind}_low"), kind)).alias("key"), *[F.col(f"{kind}_{c}").alias(c) for c in ("m0", "m1", "n")], F.lit(kind == "every").alias("every")) for kind in BANDS]
+        rows = kinds[0].union(kinds[1]).where("key is not null")
+        # lists of one line cannot link anything; the bounds are combined before the shuffle
+        lists = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+        # a table of its own on either side of the join lets Spark split a hot key
+        lists = self.scratch.keep(lists)
+        found = rows.join(lists.hint("shuffle_hash"), "key").groupBy("key", "h").agg(*[F.max(c).alias(c) for c in ("m0", "m1", "n", "every")])
+        out = self.scratch.keep(found)
+        self.scratch.drop(lists)
+        return out
+
+    def with_component(self, df: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return df.withColumn("comp", F.col("h"))
+        return df.join(self.labels.select(F.col("node").alias("h"), "label"), "h", "left").withColumn("comp", F.coalesce("label", "h")).drop("label")
+
+    def open_lists(self, members: DataFrame) -> DataFrame:
+        """Members, with their components, of lists that still hold two components or more."""
+        at = self.scratch.keep(self.with_component(members))
+        lists = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        out = self.scratch.keep(at.join(self.scratch.keep(lists), "key"))
+        self.scratch.drop(at)
+        return out
+
+    def led(self, members: DataFrame, order: Column) -> DataFrame:
+        """Likely pairs of each member with the leader of its list, the first in an order given by xor with `order`."""
+        name = F.col("h").bitwiseXOR(order)
+        cols = ("h", "comp", "m0", "m1", "n", "every")
+        first = members.groupBy("key").agg(F.min(F.struct(name.alias("name"), *cols)).alias("x"))
+        first = self.scratch.keep(first.select("key", *[F.col(f"x.{c}").alias(f"{c}_b") for c in cols]))
+        both = members.select("key", *[F.col(c).alias(f"{c}_a") for c in cols]).join(first, "key")
+        return both.where((F.col("comp_a") != F.col("comp_b")) & _likely("a", "b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Pairs of members of different components of a list, one of them outside its largest component, that share enough shingles, in lists of any length.
+
+        A pair is made in the first list that it shares only. Semi joins find the members that have a likely partner at all; the shingle sets of these are
+        compared within the join, so that no more rows leave it than there are links. Both sides are tables, so that Spark splits a long list.
+        """
+        main = members.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
+        own = members.groupBy("h").agg(F.collect_set("key").alias("keys"))  # a line has 20 keys at most
+        every = self.scratch.keep(members.join(own, "h"))
+        outside = self.scratch.keep(every.join(main, "key").where("comp <> main").drop("main"))
+
+        def side(df: DataFrame, e: str) -> DataFrame:
+            return df.select(*[F.col(c).alias(f"{c}_{e}") for c in df.columns])
+
+        first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")
+        pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _likely("a", "b") & first
+        x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
+        y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
+        self.fetch(x.select(F.col("h_a").alias("a"), F.col("h_a").alias("b")).union(y.select("h_b", "h_b")))
+        # 32 bits a shingle; one collision of hashes more or less is left to the exact test that follows
+        sets = self.scratch.keep(self.texts.select("h", F.array_distinct(F.transform(_parts(F.col("line")), lambda z: F.hash(z))).alias("set")))
+        x, y = (self.scratch.keep(df.join(side(sets, e), f"h_{e}")) for df, e in ((x, "a"), (y, "b")))
+        sizes = F.least(F.size("set_a"), F.size("set_b")) >= SIMILARITY * F.greatest(F.size("set_a"), F.size("set_b")) - 2
+        enough = sizes & ((1 + SIMILARITY) * F.size(F.array_intersect("set_a", "set_b")) >= SIMILARITY * (F.size("set_a") + F.size("set_b")) - 2)
+        return x.join(y, pair & enough).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+
+    def fetch(self, pairs: DataFrame) -> None:
+        """Add the texts of lines in pairs that are not fetched yet."""
+        need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        need = self.scratch.keep(need if self.texts is None else need.join(self.texts.select("h"), "h", "left_anti"))
+        few = need.count() <= BROADCAST_LINES
+        found = self.lines.select("h", "line").join(F.broadcast(need) if few else need.hint("shuffle_hash"), "h", "left_semi").dropDuplicates(["h"])
+        found = self.scratch.keep(found)
+        self.texts = found if self.texts is None else self.texts.union(found)
+
+    def link(self, pairs: DataFrame) -> None:
+        """Confirm pairs on full shingle sets and join components."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = self.scratch.keep(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self.fetch(pairs)
+        both = pairs.join(self.texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(self.texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+        sets = bound(both.select("a", "b", "x", "y"), s=shingles(F.col("x")), t=shingles(F.col("y")))
+        sure = self.scratch.keep(sets.where(similar(F.col("s"), F.col("t"))).select("a", "b"))
+        if not sure.isEmpty():
+            self.links = sure if self.links is None else self.links.union(sure)
+            self.labels = components(self.links, self.scratch)
+
+    def run(self) -> DataFrame:
+        """(h, first) for each line: the first occurrence of its component."""
+        members = self.posted()
+        for round_ in range(3):
+            if round_:
+                members = self.open_lists(members.select("key", "h", "m0", "m1", "n", "every"))
+                if members.isEmpty():
+                    break
+            else:
+                members = self.with_component(members)
+            # one order for all lists at first, so that a line meets few leaders; then one for each list; then all across
+            self.link(self.across(members) if round_ == 2 else self.led(members, F.lit(0).cast("long") if round_ == 0 else F.xxhash64("key")))
+        classes = self.lines.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first"))
+        if self.labels is None:
+            return self.scratch.keep(classes)
+        named = self.scratch.keep(self.with_component(classes))
+        roots = self.scratch.keep(named.groupBy("comp").agg(F.min("first").alias("first")))
+        return self.scratch.keep(named.select("h", "comp").join(roots, "comp").select("h", "first"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(k, n_lines, dropped) for each document with a visible line."""
+    job = _Job(docs)
+    leading = job.run()
+    marked = job.lines.select("k", "place", "h").join(leading, "h")
+    repeated = (F.col("first.k") != F.col("k")) | (F.col("first.place") != F.col("place"))
+    places = F.array_sort(F.collect_set(F.when(repeated, F.col("place"))))
+    return marked.groupBy("k").agg(F.size(F.collect_set("place")).cast("long").alias("n_lines"), places.alias("dropped"))
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """(k, doc_id, n_lines, dropped): for each document, how many visible lines it has and the sorted places (from 0) of those that repeat.
+    """(k, doc_id, n_lines, dropped): for each row of docs, how many visible lines it has and the sorted places (from 0) of those that repeat.
 
-    Lines are split at \\n. Equal lines form a class. Classes that share a band key are paired with the first of each list (in an order of the list's own),
-    pairs are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), components are joined, and lists that
-    still hold several components are paired again, in the last round across their components, at any length. Of each component the first line by (doc_id, place) stays.
+    Lines are split at \\n. Equal lines form a class. Classes that share a band key form a list and are paired with the leader of each list, first in an order for all
+    lists, then in one of the list's own; pairs whose signatures allow it are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), and
+    components are joined. Lists that still hold several components are paired across them, at any length. Of each component the first line by (doc_id, place) stays.
 
-    Null and blank texts, and blank lines, have nothing to drop. A null doc_id comes first. Rows that repeat both doc_id and text are one document. Extra columns are ignored.
+    Null and blank texts have 0 lines and nothing to drop; blank lines are never dropped. A null doc_id comes first. Rows that repeat both doc_id and text are one
+    document: each gets the same result. Of equal lines at the same (doc_id, place) one stays. An empty table gives an empty result. Extra columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    lines = _occurrences(docs)
-    rows = scratch.keep(lines.select("k", "doc_id", "place", "h", signatures(F.col("line")).alias("s"))).select("k", "doc_id", "place", "h", "s.short", "s.long")
-    classes = scratch.keep(rows.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first")))
-    sketches = rows.select("h", "short", "long").dropDuplicates(["h"])
-    posted = scratch.keep(sketches.select("h", F.explode(F.array_distinct(band_keys(F.col("short"), F.col("long")))).alias("key")))
-    lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    # a table of its own on either side of the join lets Spark split a hot key
-    posted_many = scratch.keep(posted.join(scratch.keep(lists.select("key")), "key"))
-    scratch.drop(posted)
-    need = posted_many.select("h").distinct()
-    texts = scratch.keep(lines.select("h", "line").join(need, "h", "left_semi").dropDuplicates(["h"]))
-    signed = scratch.keep(rows.select("h", "short", "long").join(need, "h", "left_semi").dropDuplicates(["h"]))
-
-    links, labels, tested, postings = None, None, None, posted_many
-    for r in range(LEADER_ROUNDS):
-        last = r == LEADER_ROUNDS - 1
-        order = F.xxhash64("key", F.lit(r))
-        at = postings.withColumn("comp", F.col("h")) if labels is None else postings.join(labels.select(F.col("node").alias("h"), "label"), "h", "left").select("h", "key", F.coalesce("label", "h").alias("comp"))
-        opened = at.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(order)).bitwiseXOR(order).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        opened = scratch.keep(opened.drop("low", "high"))
-        # only this ends the rounds early: a round that links nothing says nothing about members other than its leaders
-        if opened.isEmpty():
-            break
-        at = at.join(opened, "key")
-        if r:
-            at = scratch.keep(at)
-            postings = at.select("h", "key")
-        pairs = at.select(F.col("leader").alias("a"), F.col("h").alias("b"))
-        if last:
-            pairs = pairs.union(_across(at, signed, scratch))
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        ends = [signed.select(F.col("h").alias(e), F.col("short").alias(f"short_{e}"), F.col("long").alias(f"long_{e}")) for e in "ab"]
-        likely = scratch.keep(pairs.join(ends[1], "b").join(ends[0], "a").where(_near(F.col("short_a"), F.col("short_b"), COMMON) | _near(F.col("long_a"), F.col("long_b"), COMMON_LONG)).select("a", "b"))
-        both = likely.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-        # one binding holds both sets, since a filter on plain columns would evaluate them once for each use
-        similar = let(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")), _similar)
-        sure = scratch.keep(both.where(similar).select("a", "b"))
-        if sure.isEmpty():
-            continue
-        links = sure if links is None else links.union(sure)
-        labels = components(links, scratch)
-
-    if labels is None:
-        leading = classes.select("h", "first")
-    else:
-        named = classes.join(labels.select(F.col("node").alias("h"), "label"), "h", "left").select("h", "first", F.coalesce("label", "h").alias("comp"))
-        roots = scratch.keep(named.groupBy("comp").agg(F.min("first").alias("first")))
-        leading = scratch.keep(named.select("h", "comp").join(roots, "comp").select("h", "first"))
-    marked = rows.select("k", "doc_id", "place", "h").join(leading, "h")
-    repeated = (F.col("first.k") != F.col("k")) | (F.col("first.place") != F.col("place"))
-    places = F.array_sort(F.collect_set(F.when(repeated, F.col("place"))))
-    return marked.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.size(F.collect_set("place")).cast("long").alias("n_lines"), places.alias("dropped"))
+    rows = docs.select(document_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = rows.join(_marked(docs), "k", "left")
+    return found.select("k", "doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """docs with the repeated lines taken out of text, its other columns as they are (n_chars, where there is one, is counted anew); documents in which no visible line is left, and had one, go."""
-    found = duplicate_lines(docs).where(F.size("dropped") > 0).select("k", "n_lines", "dropped")
-    joined = docs.withColumn("__k", document_key()).join(found.select(F.col("k").alias("__k"), F.col("n_lines").alias("__n"), F.col("dropped").alias("__d")), "__k", "left")
+    """docs with the repeated lines taken out of text, its other columns as they are (n_chars, where there is one, is counted anew); documents in which no visible line is left, and had one, go.
+
+    Rows without a visible line (null and blank texts) stay as they are. Ties, repeated rows and clashing columns are treated as in duplicate_lines.
+    """
+    found = _marked(docs).where(F.size("dropped") > 0).select(F.col("k").alias("__k"), F.col("n_lines").alias("__n"), F.col("dropped").alias("__d"))
+    joined = docs.withColumn("__k", document_key()).join(found, "__k", "left")
     joined = joined.where(F.col("__d").isNull() | (F.size("__d") < F.col("__n")))
     parts = F.split(F.col("text").cast("string"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__d"))

@@ -104,7 +104,7 @@ def test_line_dedup(spark):
     rows = [(1, f"{base}\n{other}\n\n{base}"), (2, f"own words\n{near}"), (3, None), (4, ""), (5, f"{other}x\nown wordz\nab\nab"), (None, "only here, before all others"), (6, "only here, before all others")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as place", "2 as h", "length(text) as n_chars")
     out = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.duplicate_lines(docs).collect()}
-    assert out == {1: (3, [3]), 2: (2, [1]), 5: (4, [0, 3]), None: (1, []), 6: (1, [0])}
+    assert out == {1: (3, [3]), 2: (2, [1]), 3: (0, []), 4: (0, []), 5: (4, [0, 3]), None: (1, []), 6: (1, [0])}
     clean = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(docs).collect()}
     assert clean == {1: f"{base}\n{other}\n", 2: "own words", 3: None, 4: "", 5: "own wordz\nab", None: "only here, before all others"}
     assert line_dedup.duplicate_lines(docs.limit(0)).count() == 0
@@ -132,6 +132,35 @@ def test_line_dedup_without_blanks(spark):
     assert [i for i, d in sorted(out.items()) if d] == [1, 3, 5]
 
 
+def _line_sets(line):
+    return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
+
+
+def _edited(line, r):
+    """A copy with as many edits as keep the similarity at 0.8 or more, and its similarity."""
+    own, last = _line_sets(line), line
+    while True:
+        at = r.randrange(len(last))
+        new = last[:at] + r.choice("etaoinshrdlu0123 ") + last[at + r.randrange(2) :]
+        sets = _line_sets(new)
+        if len(own & sets) < 0.8 * len(own | sets) or r.random() < 0.05:
+            return last
+        last = new
+
+
+def test_line_dedup_recall(spark):
+    """Lines of 20 to 2,000 characters with and without blanks and in other scripts, each with a copy at similarity 0.8 or more; no other pair comes near."""
+    r = random.Random(17)
+    kinds = ["abcdefghijklmnopqrstuvwxyz      ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x5600))), "".join(map(chr, range(0x430, 0x450))) + "    "]
+    lines = [("".join(r.choice(kinds[i % 5]) for _ in range(int(20 * 100 ** r.random()))).strip() or "x" * 20) for i in range(1000)]
+    pairs = [(a, _edited(a, r)) for a in lines]
+    rows = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (a, b) in enumerate(pairs) if a != b]
+    out = {x.doc_id: x.dropped for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = [i for i, _ in rows if i >= 1000]
+    assert sum(out[i] == [0] for i in copies) >= 0.95 * len(copies) and len(copies) > 750
+    assert not any(out[i] for i in range(1000))
+
+
 def test_licences(spark, docs):
     given = [(1, "Some words here that mean nothing at all\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "this licence plate was released under pressure by the institute"), (5, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
