@@ -17,7 +17,7 @@ from .graph import components
 #: Signature coordinates; so many standard deviations below the mean of a pair at the threshold may its agreeing coordinates lie (40 of 64 at similarity 0.85, 35 at 0.8).
 COORDINATES, DEVIATIONS = 64, 5
 #: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares none with probability 0.0003, one at 0.9 in none of 40,000 trials (drawn at random, these bands).
-#: Members meet a leader there first; in the last of BAND_ROUNDS those outside a list's largest component meet every member of another component, in lists of any length.
+#: Members meet a leader there in BAND_ROUNDS rounds; then those outside a list's largest component meet every member of another component, in lists of any length.
 #: BAND_WIDTH is that at similarity 0.85; at others a band is as likely to be shared (5 coordinates at 0.8).
 BANDS, BAND_WIDTH, BAND_ROUNDS = 48, 7, 2
 #: Lists that a pair must share with the same leader in the first round; the later rounds take pairs that share fewer.
@@ -62,7 +62,7 @@ def _signed(posted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in small_batches(batches):
-            n, cls, prefix, sketch = [], [], [], []
+            n, cls, prefix, sketch = [], [], [], []  # of each text
             for text in column_bytes(b, "text"):
                 s = shingles(text, hashes)
                 n.append(len(s))
@@ -70,7 +70,7 @@ def _signed(posted: int):
                 sig = signature(s) if len(s) else None
                 prefix.append(None if sig is None else sig[:posted].view(np.int64))
                 sketch.append(None if sig is None else (mix(sig) >> np.uint64(56)).astype(np.uint8).view(np.int8))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], names=["doc_id", "n_shingles", "cls", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], names=["doc_id", "text_key", "n_shingles", "cls", "prefix", "sketch"])
 
     return run
 
@@ -105,10 +105,10 @@ class _Job:
         self.spark, self.percent = docs.sparkSession, percent
         self.matches, self.posted, self.width = limits(percent)
         self.scratch = Scratch(self.spark, "near-dedup")
-        self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.docs = self.scratch.keep(self.source.mapInArrow(_signed(self.posted), "doc_id long, n_shingles long, cls long, prefix array<long>, sketch array<tinyint>"))
+        self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+        self.docs = self.scratch.keep(self.source.mapInArrow(_signed(self.posted), "doc_id long, text_key long, n_shingles long, cls long, prefix array<long>, sketch array<tinyint>"))
         known = self.docs.where("cls is not null")
-        self.classes = self.scratch.keep(known.groupBy("cls").agg(F.min("doc_id").alias("first_id")))
+        self.classes = self.scratch.keep(known.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key")))
         sigs = known.select("cls", "prefix", "sketch").dropDuplicates(["cls"])
         self.sigs = self.scratch.keep(sigs)
         self.links: DataFrame | None = None
@@ -128,20 +128,33 @@ class _Job:
         return postings.join(self.scratch.keep(lists.where("low <> high").drop("low", "high")), "key")
 
     def across(self, opened: DataFrame) -> DataFrame:
-        """Pairs of members of different components of a list, one of them outside its largest component, that agree in `matches` coordinates.
+        """Links between members of different components of a list, one of them outside its largest component, in lists of any length.
 
-        Lists are not limited in length. A pair is made only in the first list that it shares, and only if it agrees often enough, both in
-        the join itself, so that what leaves the join are likely links. Both sides are tables, so that Spark splits a long list.
+        A pair is made in the first list that it shares only. Semi joins find the members that have a likely partner at all (one that agrees in
+        `matches` coordinates); the full shingle sets of these are compared within the join, so that no more rows leave it than there are links.
+        Both sides are tables, so that Spark splits a long list.
         """
         main = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
         # a class is in at most BANDS lists
         own = opened.groupBy("cls").agg(F.collect_set("key").alias("keys")).join(self.sigs.select("cls", "sketch"), "cls")
-        near = self.scratch.keep(opened.select("key", "cls", "comp").join(self.scratch.keep(own), "cls"))
-        outside = self.scratch.keep(near.join(self.scratch.keep(main), "key").where("comp <> main").drop("main"))
-        x, y = (side.select("key", *[F.col(c).alias(f"{c}_{e}") for c in ("cls", "comp", "keys", "sketch")]) for e, side in (("a", outside), ("b", near)))
-        first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-        found = x.join(y, "key").where((F.col("comp_a") != F.col("comp_b")) & first & (agreement("sketch_a", "sketch_b") >= self.matches))
-        return found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        every = self.scratch.keep(opened.select("key", "cls", "comp").join(self.scratch.keep(own), "cls"))
+        outside = self.scratch.keep(every.join(self.scratch.keep(main), "key").where("comp <> main").drop("main"))
+
+        def side(df: DataFrame, e: str) -> DataFrame:
+            return df.select(*[F.col(c).alias(f"{c}_{e}") for c in df.columns])
+
+        first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")
+        pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (agreement("sketch_a", "sketch_b") >= self.matches) & first
+        x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
+        y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
+        texts = self.fetch(x.select(F.col("cls_a").alias("a"), F.col("cls_a").alias("b")).union(y.select("cls_b", "cls_b")))
+        wanted = x.select(F.col("cls_a").alias("cls")).union(y.select("cls_b")).distinct()
+        sets = self.scratch.keep(texts.join(wanted, "cls", "left_semi").mapInArrow(_sets, "cls long, set array<long>"))
+        x, y = (self.scratch.keep(df.join(side(sets, e), f"cls_{e}")) for df, e in ((x, "a"), (y, "b")))
+        sizes = F.size("set_a") + F.size("set_b")
+        common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+        near = (100 * F.least(F.size("set_a"), F.size("set_b")) >= self.percent * F.greatest(F.size("set_a"), F.size("set_b"))) & ((100 + self.percent) * common >= self.percent * sizes)
+        return x.join(y, pair & near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
     def link(self, pairs: DataFrame, collisions: int = 1) -> bool:
         """Count agreeing coordinates of the pairs (a, b), confirm those above the threshold on full sets, and join components. Whether any pair was confirmed now."""
@@ -156,7 +169,11 @@ class _Job:
         self.tested = likely if self.tested is None else self.tested.union(likely)
         texts = self.fetch(likely)
         full = likely.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-        sure = self.scratch.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.percent), "a long, b long"))
+        return self.joined(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.percent), "a long, b long"))
+
+    def joined(self, sure: DataFrame) -> bool:
+        """Add confirmed links and join components anew. Whether there were any."""
+        sure = self.scratch.keep(sure)
         if sure.isEmpty():
             return False
         self.links = sure if self.links is None else self.links.union(sure)
@@ -168,13 +185,12 @@ class _Job:
         need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         if self.texts is not None:
             need = need.join(self.texts.select("cls"), "cls", "left_anti")
-        need = self.scratch.keep(need.join(self.classes, "cls"))
+        need = self.scratch.keep(need.join(self.classes.select("cls", "text_key"), "cls"))
         count = need.count()
         if count:
-            ids = need.select(F.col("first_id").alias("doc_id")).distinct()
-            picked = self.source.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-            found = picked.mapInArrow(_classed, "cls long, text string").join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-            found = self.scratch.keep(found)
+            keys = need.select("text_key")
+            picked = self.source.select("text_key", "text").join(F.broadcast(keys) if count <= BROADCAST_IDS else keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+            found = self.scratch.keep(picked.join(need, "text_key").select("cls", "text"))
             self.texts = found if self.texts is None else self.texts.union(found)
         return self.texts
 
@@ -197,10 +213,10 @@ class _Job:
             opened = self.scratch.keep(self.open_lists(self.with_component(postings), F.xxhash64("key", F.lit(r))))
             if opened.isEmpty():
                 break
-            pairs = opened.select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+            self.link(opened.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
             if r == BAND_ROUNDS - 1:
-                pairs = pairs.union(self.across(opened))
-            self.link(pairs)
+                opened = self.scratch.keep(self.open_lists(self.with_component(opened.select("cls", "key")), F.xxhash64("key")))
+                self.joined(self.across(opened))
             postings = opened.select("cls", "key")
         return self.result()
 
@@ -217,12 +233,11 @@ class _Job:
         return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in small_batches(batches):
-        text = column_bytes(b, "text")
-        sets = [shingles(t, hashes) for t in text]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets], pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=["cls", "text"])
+        sets = [shingles(t, hashes).view(np.int64) for t in column_bytes(b, "text")]
+        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "set"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

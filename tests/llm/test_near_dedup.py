@@ -79,6 +79,14 @@ def test_dense_group_of_variants(spark, size):
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_null_ids(spark):
+    """A row without an id links others and is told apart by its text: texts of 81 and 82 shingles with 81 in common."""
+    base = [f"w{i}" for i in range(85)]
+    rows = [(None, " ".join(base)), (7, " ".join([*base, "more"])), (None, "words of its own that nothing else has at all"), (None, None)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out))) == sorted(map(str, [(None, 81, 7, False), (7, 82, 7, True), (None, 6, None, False), (None, 0, None, False)]))
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
