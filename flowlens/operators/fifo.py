@@ -16,22 +16,25 @@ def cumulative(daily: DataFrame) -> DataFrame:
     return daily.withColumns({k: F.sum(c).over(w) for k, c in sums.items()}).withColumn("m", F.least("b", "s"))
 
 
-def _cost(c: DataFrame, total: str, cost: str, shares: str, amount: str) -> DataFrame:
-    """Cost of the first m shares of one side: each m finds the first day whose running total reaches it (as-of by union and a window of the account)."""
-    days = c.where(F.col(shares) > 0).select(*ACCOUNT, F.col(total).alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("date").alias("date"),
-        F.struct((F.col(total) - F.col(shares)).alias("x0"), (F.col(cost) - F.col(amount)).alias("c0"), (F.col(amount) / F.col(shares)).alias("avg")).alias("day"))
-    asked = c.select(*ACCOUNT, F.col("m").alias("x"), F.lit(1).alias("kind"), "date", F.lit(None).cast("struct<x0:bigint,c0:double,avg:double>").alias("day"))
-    w = W.partitionBy(*ACCOUNT).orderBy(F.desc("x"), "kind").rowsBetween(W.unboundedPreceding, 0)
-    found = days.unionByName(asked).withColumn("day", F.last("day", ignorenulls=True).over(w)).where("kind = 1")
-    value = F.when(F.col("x") > 0, F.col("day.c0") + (F.col("x") - F.col("day.x0")) * F.col("day.avg")).otherwise(F.lit(0.0))
-    return found.select(*ACCOUNT, "date", value.alias(f"cost_{total}"))
-
-
 def positions(daily: DataFrame) -> DataFrame:
-    """Per account and trade day: running totals, realised profit to date and cost of what is open."""
+    """Per account and trade day: running totals, realised profit to date and cost of what is open.
+
+    The matched number m is the smaller running total, so the cost of the first m shares of that side is its running amount; only the
+    other side is looked up: m finds the first day whose running total reaches it. Questions and days stand in one list for each account
+    and side, over which one window carries the day, and each question carries its row along, so that nothing is joined back.
+    """
     c = cumulative(daily)
-    keys = [*ACCOUNT, "date"]
-    out = c.join(_cost(c, "b", "bc", "buy_shares", "buy_amount"), keys).join(_cost(c, "s", "sc", "sell_shares", "sell_amount"), keys)
+    rest = [x for x in c.columns if x not in ACCOUNT]
+    whole = c.select(F.struct(*rest).alias("r")).schema["r"].dataType
+    day = lambda side, total, cost, shares, amount: F.when(F.col(shares) > 0, F.struct(F.lit(side).alias("side"), F.col(total).alias("x"), F.lit(0).alias("kind"),
+        F.struct((F.col(total) - F.col(shares)).alias("x0"), (F.col(cost) - F.col(amount)).alias("c0"), (F.col(amount) / F.col(shares)).alias("avg")).alias("day"), F.lit(None).cast(whole).alias("row")))
+    asked = F.struct(F.when(F.col("b") <= F.col("s"), "sell").otherwise("buy").alias("side"), F.col("m").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("struct<x0:bigint,c0:double,avg:double>").alias("day"), F.struct(*rest).alias("row"))
+    points = F.array(asked, day("buy", "b", "bc", "buy_shares", "buy_amount"), day("sell", "s", "sc", "sell_shares", "sell_amount"))
+    each = c.select(*ACCOUNT, F.explode(points).alias("p")).where("p is not null").select(*ACCOUNT, "p.*")
+    w = W.partitionBy(*ACCOUNT, "side").orderBy(F.desc("x"), "kind").rowsBetween(W.unboundedPreceding, 0)
+    found = each.withColumn("day", F.last("day", ignorenulls=True).over(w)).where("kind = 1")
+    cost = F.when(F.col("x") > 0, F.col("day.c0") + (F.col("x") - F.col("day.x0")) * F.col("day.avg")).otherwise(F.lit(0.0))
+    out = found.select(*ACCOUNT, "row.*", F.when(F.col("side") == "buy", cost).otherwise(F.col("row.bc")).alias("cost_b"), F.when(F.col("side") == "sell", cost).otherwise(F.col("row.sc")).alias("cost_s"))
     return out.withColumn("realized_total", F.col("cost_s") - F.col("cost_b"))
 
 
@@ -48,14 +51,23 @@ def fifo_daily(daily: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def matches(daily: DataFrame) -> DataFrame:
-    """Closed trades: each overlap of a day's bought interval of shares with a day's sold one. A trade is long if it was bought on an earlier day."""
+    """Closed trades: each overlap of a day's bought interval of shares with a day's sold one. A trade is long if it was bought on an earlier day.
+
+    The running totals of both sides cut the shares of an account into slices; a slice belongs to the next day of either side, which one
+    window finds, so that the work grows with the days and not with their pairs.
+    """
     c = cumulative(daily)
-    buys = c.where("buy_shares > 0").select(*ACCOUNT, F.col("date").alias("buy_date"), (F.col("b") - F.col("buy_shares")).alias("b0"), F.col("b").alias("b1"), (F.col("buy_amount") / F.col("buy_shares")).alias("buy_price"))
-    sells = c.where("sell_shares > 0").select(*ACCOUNT, F.col("date").alias("sell_date"), (F.col("s") - F.col("sell_shares")).alias("s0"), F.col("s").alias("s1"), (F.col("sell_amount") / F.col("sell_shares")).alias("sell_price"))
-    j = buys.join(sells, [*ACCOUNT]).where("b0 < s1 and s0 < b1")
-    shares = F.least("b1", "s1") - F.greatest("b0", "s0")
-    kind = F.when(F.col("buy_date") < F.col("sell_date"), "long").otherwise("short")
-    return j.select(*ACCOUNT, shares.alias("shares"), "buy_date", "buy_price", "sell_date", "sell_price", (shares * (F.col("sell_price") - F.col("buy_price"))).alias("realized_pnl"), kind.alias("trade_type"))
+    lot = lambda shares, amount: F.struct("date", (F.col(amount) / F.col(shares)).alias("price"))
+    none = F.lit(None).cast("struct<date:date,price:double>")
+    cut = lambda total, shares, bought, sold: F.when(F.col(shares) > 0, F.struct(F.col(total).alias("x"), bought.alias("bought"), sold.alias("sold")))
+    points = F.array(cut("b", "buy_shares", lot("buy_shares", "buy_amount"), none), cut("s", "sell_shares", none, lot("sell_shares", "sell_amount")))
+    each = c.select(*ACCOUNT, F.explode(points).alias("p")).where("p is not null").select(*ACCOUNT, "p.*")
+    order = W.partitionBy(*ACCOUNT).orderBy(F.desc("x"), F.col("bought").isNull())
+    w = order.rowsBetween(W.unboundedPreceding, 0)
+    slices = each.select(*ACCOUNT, (F.col("x") - F.coalesce(F.lead("x").over(order), F.lit(0))).alias("shares"), F.last("bought", ignorenulls=True).over(w).alias("bought"), F.last("sold", ignorenulls=True).over(w).alias("sold"))
+    kind = F.when(F.col("bought.date") < F.col("sold.date"), "long").otherwise("short")
+    closed = slices.where("shares > 0 and bought is not null and sold is not null")
+    return closed.select(*ACCOUNT, "shares", F.col("bought.date").alias("buy_date"), F.col("bought.price").alias("buy_price"), F.col("sold.date").alias("sell_date"), F.col("sold.price").alias("sell_price"), (F.col("shares") * (F.col("sold.price") - F.col("bought.price"))).alias("realized_pnl"), kind.alias("trade_type"))
 
 
 def open_lots(daily: DataFrame) -> DataFrame:

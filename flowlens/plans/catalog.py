@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import stats
 from flowlens.operators import events as ev
 from flowlens.operators import fifo as ff
+from flowlens.operators import holdings as ho
 from flowlens.operators import series as se
 from flowlens.sources import tables as tb
 
@@ -126,12 +127,12 @@ def b1_b2_b3_clean_prints(t):
     return tb.clean_prints(raw).select("l_orderkey", "l_linenumber", "price", "date")
 
 
-@query("", "with f(old, new) as (select s_suppkey, s_nationkey + 1 from supplier where s_suppkey > 25), recursive_free as (select 1) select concat('S', l_suppkey) broker, concat('S', coalesce(new, l_suppkey)) merged, cast(sum(l_quantity) as bigint) shares from lineitem left join f on l_suppkey = old group by all")
+@query("prints", """, f as (select concat('S', s_suppkey) broker, concat('F', s_nationkey) merged from supplier where s_suppkey > 25)
+    select date, coalesce(merged, p.broker) broker, cast(sum(buy) as bigint) buy, cast(sum(sell) as bigint) sell from prints p left join f on f.broker = p.broker group by all""")
 def b5_merged_shares(t):
-    remap = t.raw("supplier").where("s_suppkey > 25").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") + 1).alias("new"))
-    name = lambda c: F.concat(F.lit("S"), c.cast("string"))
-    j = t.raw("lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")).join(remap, "l_suppkey", "left")
-    return j.groupBy(name(F.col("l_suppkey")).alias("broker"), name(F.coalesce("new", "l_suppkey")).alias("merged")).agg(F.sum("q").cast("long").alias("shares"))
+    s = t.raw("supplier").where("s_suppkey > 25")
+    mapping = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("broker"), F.concat(F.lit("F"), F.col("s_nationkey").cast("string")).alias("merged"))
+    return ho.remapped(t.prints, mapping).groupBy("date", "broker").agg(F.sum("buy").alias("buy"), F.sum("sell").alias("sell"))
 
 
 _CHAIN = "select s_suppkey k, s_suppkey // 2 nxt from supplier where s_suppkey > 1"
@@ -257,10 +258,14 @@ def d4_forward_fill(t):
     return t.prices.select("symbol", "date", rd(F.last(gap, ignorenulls=True).over(se.by_symbol().rowsBetween(W.unboundedPreceding, 0)), 6).alias("filled"))
 
 
-@query("fifo", f"select symbol, broker, round(sum(case when date >= date '{START}' then realized_pnl else 0 end) + arg_max(unrealized_pnl, date), 3) total_pnl from fifo group by all")
+@query("fifo state", f"""select f.symbol, f.broker, round(sum(case when date >= date '{START}' then f.realized_pnl else 0 end) + max(s.unrealized_pnl), 3) total_pnl
+    from fifo f join state s on s.symbol = f.symbol and s.broker = f.broker group by all""")
 def d6_backtest_window(t):
-    late = F.col("date") >= F.lit(START).cast("date")
-    return t.fifo.groupBy("symbol", "broker").agg(rd(F.sum(F.when(late, F.col("realized_pnl")).otherwise(0.0)) + F.max_by("unrealized_pnl", "date"), 3).alias("total_pnl"))
+    """Profit realised from START on and the mark of what is open at the symbol's last close; accounting starts with the first trade."""
+    f = t.fifo
+    late = f.where(F.col("date") >= F.lit(START).cast("date")).groupBy("symbol", "broker").agg(F.sum("realized_pnl").alias("late"))
+    s = ff.last_state(f, t.prices).select("symbol", "broker", "unrealized_pnl").join(late, ["symbol", "broker"], "left")
+    return s.select("symbol", "broker", rd(F.coalesce("late", F.lit(0.0)) + F.col("unrealized_pnl"), 3).alias("total_pnl"))
 
 
 @query("state", "select symbol, broker, round(total_pnl, 2) total_pnl, round(realized_pnl, 2) realized_pnl, round(unrealized_pnl, 2) unrealized_pnl, row_number() over (partition by symbol order by round(total_pnl, 4) desc, broker) as rank from state")
@@ -296,12 +301,6 @@ def d11_mark_to_market(t):
 _PERIOD = "select symbol, broker, sum(realized_pnl) filter (date > {a} and date <= {b}) + coalesce(arg_max(unrealized_pnl, date) filter (date > {a} and date <= {b}), 0) - coalesce(arg_max(unrealized_pnl, date) filter (date <= {a}), 0) total_pnl from fifo where date <= {b} group by all having count(*) filter (date > {a} and date <= {b}) > 0"
 
 
-@query("fifo", "select * from (select broker, round(sum(total_pnl), 2) total_pnl from (" + _PERIOD.format(a="date '1997-11-04'", b="date '2000-11-04'") + ") group by 1)")
-def e3_rolling_ranking(t):
-    p = ev.period_pnl(t.fifo, F.date_add(F.add_months(F.lit("2000-11-04").cast("date"), -36), 1), F.lit("2000-11-04").cast("date"))
-    return p.groupBy("broker").agg(rd(F.sum("total_pnl"), 2).alias("total_pnl"))
-
-
 @query("daily", "select * from (select symbol, broker, net, row_number() over (partition by symbol order by net desc, broker) top, row_number() over (partition by symbol order by net, broker) bottom from (select symbol, broker, cast(sum(buy_shares - sell_shares) as bigint) net from daily group by all)) where top <= 5 or bottom <= 5")
 def e9_net_buyers(t):
     n = t.daily.groupBy("symbol", "broker").agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("net"))
@@ -317,16 +316,6 @@ def e11_latest_top_prints(t):
     return x.withColumn("n", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("volume"), "l_orderkey", "l_linenumber"))).where("n <= 10").select("symbol", "broker", "volume", "l_orderkey", "l_linenumber")
 
 
-@query("daily", "select symbol, w, count(*) n_active, cast(sum(net) filter (top <= 15) as bigint) top_net, cast(sum(net) filter (bottom <= 15) as bigint) bottom_net from (select *, row_number() over (partition by symbol, w order by net desc, broker) top, row_number() over (partition by symbol, w order by net, broker) bottom from (select d.symbol, w, broker, sum(buy_shares - sell_shares) net from (select *, dense_rank() over (partition by symbol order by date desc) back from daily) d join (values (1), (5), (10), (20), (60)) v(w) on back <= w group by all)) group by all")
-def e8_smart_money(t):
-    d = t.daily.withColumn("back", F.dense_rank().over(W.partitionBy("symbol").orderBy(F.desc("date"))))
-    wide = d.withColumn("w", F.explode(F.filter(F.array(*map(F.lit, (1, 5, 10, 20, 60))), lambda x: x >= F.col("back"))))
-    n = wide.groupBy("symbol", "w", "broker").agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("net"))
-    w = W.partitionBy("symbol", "w")
-    n = n.withColumn("top", F.row_number().over(w.orderBy(F.desc("net"), "broker"))).withColumn("bottom", F.row_number().over(w.orderBy("net", "broker")))
-    return n.groupBy("symbol", "w").agg(F.count("*").alias("n_active"), F.sum(F.when(F.col("top") <= 15, F.col("net"))).alias("top_net"), F.sum(F.when(F.col("bottom") <= 15, F.col("net"))).alias("bottom_net"))
-
-
 # ---------------------------------------------------------------- windows and series
 
 
@@ -394,9 +383,9 @@ def g2_dense_large_days(t):
     return ev.dense_large_days(t.daily, t.prices).select("symbol", "broker", rd("mean", 6).alias("mean"), rd("std", 6).alias("std"), "large_days")
 
 
-@query("daily", "select symbol, date, round(sum(buy_shares + sell_shares) / (sum(abs(buy_shares - sell_shares)) + 1), 6) churn_ratio from daily group by all")
+@query("daily", "select symbol, date, round(sum(buy_shares + sell_shares) / (abs(sum(buy_shares - sell_shares)) + 1), 6) churn_ratio from daily group by all")
 def g6_churn(t):
-    return ev.churn(t.daily).select("symbol", "date", rd("churn_ratio", 6).alias("churn_ratio"))
+    return ho.churn(t.daily).select("symbol", "date", rd("churn_ratio", 6).alias("churn_ratio"))
 
 
 _EVENTS = "select symbol, date, cast(sign(sum(direction)) as int) direction, abs(sum(direction)) signal_value, count(*) signal_count from large group by all having sum(direction) <> 0"
@@ -425,32 +414,6 @@ def g10_splits(t):
     return p.where(F.exists(known, lambda x: F.abs(F.col("ratio") / x - 1) <= 0.05)).select("symbol", "date", rd("ratio").alias("ratio"))
 
 
-@query("fifo", "select symbol, broker, row_number() over (partition by symbol order by round(total_pnl, 4) desc, broker) pos from (" + _PERIOD.format(a="date '1996-06-29'", b=f"date '{TRAIN_END}'") + ") qualify pos <= 20")
-def h1_top_k(t):
-    end = F.lit(TRAIN_END).cast("date")
-    return ev.top_k(ev.period_pnl(t.fifo, F.add_months(end, -36), end), 20)
-
-
-@query("daily", f"select symbol, broker, count(*) as days from daily where date <= date '{TRAIN_END}' group by all having count(*) >= 3")
-def h7_all_active(t):
-    return t.daily.where(F.col("date") <= F.lit(TRAIN_END).cast("date")).groupBy("symbol", "broker").agg(F.count("*").alias("days")).where("days >= 3")
-
-
-@query("state", "select broker, symbol, round(abs(unrealized_pnl) / sum(abs(unrealized_pnl)) over (partition by broker), 6) weight, round(sum(power(abs(unrealized_pnl), 2)) over (partition by broker) / power(sum(abs(unrealized_pnl)) over (partition by broker), 2), 6) hhi from state")
-def h8_l6_concentration(t):
-    w = W.partitionBy("broker")
-    a, total = F.abs("unrealized_pnl"), F.sum(F.abs("unrealized_pnl")).over(W.partitionBy("broker"))
-    return t.state.select("broker", "symbol", rd(F.try_divide(a, total), 6).alias("weight"), rd(F.try_divide(F.sum(a * a).over(w), total * total), 6).alias("hhi"))
-
-
-@query("fifo", f", sel as (select symbol, broker from (" + _PERIOD.format(a="date '1996-06-29'", b=f"date '{TRAIN_END}'") + f") qualify row_number() over (partition by symbol order by round(total_pnl, 4) desc, broker) <= 20) select symbol, date, count(*) signal_count, round(sum(buy_amount), 2) conviction_amount, 1 direction from fifo semi join sel using (symbol, broker) where date >= date '{TEST_START}' and net > 0 and \"close\" - unrealized_pnl / nullif(net, 0) > 0 and unrealized_pnl / (nullif(abs(net), 0) * (\"close\" - unrealized_pnl / nullif(net, 0))) > 0.05 and buy_shares > sell_shares group by all")
-def i2_conviction(t):
-    end = F.lit(TRAIN_END).cast("date")
-    f = t.fifo
-    e = ev.conviction(f, ev.top_k(ev.period_pnl(f, F.add_months(end, -36), end), 20), profit=0.05, brokers=1)
-    return e.where(F.col("date") >= F.lit(TEST_START).cast("date")).select("symbol", "date", "signal_count", rd("conviction_amount", 2).alias("conviction_amount"), "direction")
-
-
 # ---------------------------------------------------------------- statistics and jobs
 
 
@@ -562,3 +525,7 @@ def u3_u4_invariants(t):
     w = W.partitionBy("symbol", "broker").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     f = t.fifo.withColumn("gap", F.sum("realized_pnl").over(w) + F.col("unrealized_pnl") - F.sum(F.col("sell_amount") - F.col("buy_amount")).over(w) - F.col("net") * F.col("close"))
     return f.agg(F.count("*").alias("n"), F.count_if((F.col("net") != 0) & F.col("unrealized_pnl").isNull()).alias("missing"), (F.count("*") - F.count_distinct("symbol", "broker", "date")).alias("repeated"), (rd(F.max(F.abs("gap")), 3) < 0.01).alias("reconciled"))
+
+
+# the rest of the catalogue registers itself
+from flowlens.plans import rankings  # noqa: E402, F401
