@@ -346,13 +346,6 @@ def f11_month_ends(t):
     return t.prices.groupBy("symbol", F.trunc("date", "month").alias("m")).agg(F.max("date").alias("month_end")).select("symbol", "month_end")
 
 
-@query("rets", "select a.symbol s1, b.symbol s2, round(corr(a.ret, b.prev), 6) r, count(*) n from rets a join (select *, lag(ret) over (partition by symbol order by date) prev from rets) b on a.date = b.date and a.symbol < b.symbol where b.prev is not null group by all")
-def f13_k14_lead_lag(t):
-    b = t.rets.select("symbol", "date", F.lag("ret").over(se.by_symbol()).alias("prev")).where("prev is not null").select(F.col("symbol").alias("s2"), "date", "prev")
-    j = t.rets.select(F.col("symbol").alias("s1"), "date", "ret").join(b, "date").where("s1 < s2")
-    return j.groupBy("s1", "s2").agg(rd(F.corr("ret", "prev"), 6).alias("r"), F.count("*").alias("n"))
-
-
 @query("fifo", "select broker, symbol, coalesce(max(n) filter (win), 0) win_run, coalesce(max(n) filter (not win), 0) loss_run from (select symbol, broker, win, g, count(*) n from (select *, row_number() over (partition by symbol, broker order by date) - row_number() over (partition by symbol, broker, win order by date) g from (select symbol, broker, date, round(realized_pnl, 3) > 0 win from fifo where round(realized_pnl, 3) <> 0)) group by all) group by all")
 def f14_streaks(t):
     return se.streaks(t.fifo.withColumn("pnl", rd("realized_pnl", 3)), ("symbol", "broker"), "pnl")
@@ -468,41 +461,9 @@ def m6_m10_open_to_close(t):
     return j.groupBy("symbol").agg(F.count("*").alias("n"), rd(F.avg(r), 8).alias("mean_ret"), rd(F.avg((r > 0).cast("int")), 6).alias("win_rate"), F.count_if(F.col("direction") > 0).alias("n_long"))
 
 
-@query("rets", "select symbol, round(max(eq_last), 6) total_return, round(min(eq / greatest(peak, 1.0) - 1), 6) max_drawdown from (select *, max(eq) over (partition by symbol order by date) peak, last_value(eq) over (partition by symbol order by date rows between unbounded preceding and unbounded following) - 1 eq_last from (select symbol, date, exp(sum(ln(1 + ret)) over (partition by symbol order by date)) eq from rets where ret > -1)) group by 1")
-def m7_m8_buy_and_hold(t):
-    w = se.by_symbol().rowsBetween(W.unboundedPreceding, 0)
-    e = t.rets.where("ret > -1").withColumn("eq", F.exp(F.sum(F.log1p("ret")).over(w)))
-    e = e.withColumn("peak", F.greatest(F.max("eq").over(w), F.lit(1.0)))
-    return e.groupBy("symbol").agg(rd(F.max_by("eq", "date") - 1, 6).alias("total_return"), rd(F.min(F.col("eq") / F.col("peak") - 1), 6).alias("max_drawdown"))
-
-
-@query("rets", "select symbol, strftime(date, '%Y-%m') as month, round((exp(sum(ln(1 + ret))) - 1) * 100, 2) ret_pct from rets where ret > -1 group by all")
-def m9_monthly(t):
-    return t.rets.where("ret > -1").groupBy("symbol", F.date_format("date", "yyyy-MM").alias("month")).agg(rd((F.exp(F.sum(F.log1p("ret"))) - 1) * 100, 2).alias("ret_pct"))
-
-
 # ---------------------------------------------------------------- profiles, episodes, quality
 
 
-@query("daily rets", ", x as (select d.symbol, d.broker, ret, buy_shares - sell_shares nb, lead(ret) over (partition by d.symbol, d.broker order by d.date) nx from daily d join rets r on d.symbol = r.symbol and d.date = r.date) select symbol, broker, round(corr(nb, nx), 5) lead_corr, count(nx) n from x group by all having count(nx) >= 10 and stddev_samp(case when nx is not null then nb end) > 0")
-def n3_lead_corr(t):
-    w = W.partitionBy("symbol", "broker").orderBy("date")
-    x = t.daily.join(t.rets.select("symbol", "date", "ret"), ["symbol", "date"]).withColumn("nb", (F.col("buy_shares") - F.col("sell_shares")).cast("double")).withColumn("nx", F.lead("ret").over(w)).where("nx is not null")
-    return x.groupBy("symbol", "broker").agg(rd(F.corr("nb", "nx"), 5).alias("lead_corr"), F.count("nx").alias("n"), F.stddev_samp("nb").alias("s")).where("n >= 10 and s > 0").drop("s")
-
-
-@query("daily", "select broker, min(date) first_trade, max(date) last_trade, count(*) active_rows, count(distinct date_trunc('month', date)) active_months from daily group by 1")
-def n8_activity(t):
-    return t.daily.groupBy("broker").agg(F.min("date").alias("first_trade"), F.max("date").alias("last_trade"), F.count("*").alias("active_rows"), F.count_distinct(F.trunc("date", "month")).alias("active_months"))
-
-
-@query("ticks", "select a.event_id, round(b.price, 6) last_price from ticks a asof join (select symbol, ts, max(price) price from ticks where symbol = 'click' group by all) b on a.ts >= b.ts where a.symbol = 'purchase'")
-def o3_as_of_quote(t):
-    tk = t.ticks.withColumn("k", F.lit(1))
-    quotes = tk.where("symbol = 'click'").groupBy("k", "ts").agg(F.max("price").alias("last_price"))
-    return se.as_of(tk.where("symbol = 'purchase'").select("k", "ts", "event_id"), quotes, ("k",), "ts", "last_price").where("last_price is not null").select("event_id", rd("last_price", 6).alias("last_price"))
-
-
 _CLASS = "case when days <= 2 then 'single' when buyd >= 0.6 then 'accumulate' when selld >= 0.6 then 'distribute' when abs(buyd - selld) < 0.2 then 'speculative' else 'mixed' end"
 
 
@@ -513,13 +474,6 @@ def o5_behaviour_classes(t):
     return g.groupBy(F.expr(_CLASS).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("daily", "select symbol, broker, coalesce(a.net, 0) first_half, coalesce(b.net, 0) second_half from (select symbol, broker, cast(sum(buy_shares - sell_shares) as bigint) net from daily where date < date '1998-06-01' group by all) a full join (select symbol, broker, cast(sum(buy_shares - sell_shares) as bigint) net from daily where date >= date '1998-06-01' group by all) b using (symbol, broker)")
-def o6_reversals(t):
-    half = lambda cond, name: t.daily.where(cond).groupBy("symbol", "broker").agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias(name))
-    cut = F.col("date") < F.lit("1998-06-01").cast("date")
-    return half(cut, "first_half").join(half(~cut, "second_half"), ["symbol", "broker"], "full").na.fill(0, ["first_half", "second_half"])
-
-
 @query("fifo", "select count(*) n, count(*) filter (net <> 0 and unrealized_pnl is null) missing, count(*) - count(distinct (symbol, broker, date)) repeated, round(max(abs(total - cash)), 3) < 0.01 reconciled from (select *, sum(realized_pnl) over w + unrealized_pnl total, sum(sell_amount - buy_amount) over w + net * \"close\" cash from fifo window w as (partition by symbol, broker order by date))")
 def u3_u4_invariants(t):
     w = W.partitionBy("symbol", "broker").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
@@ -528,4 +482,4 @@ def u3_u4_invariants(t):
 
 
 # the rest of the catalogue registers itself
-from flowlens.plans import rankings  # noqa: E402, F401
+from flowlens.plans import rankings, research  # noqa: E402, F401
