@@ -51,38 +51,9 @@ def timing_alpha(daily: DataFrame, prices: DataFrame) -> DataFrame:
     return m.select(*ACCOUNT, F.when((F.col("n") >= 2) & (std > 1e-9), (F.col("cross") - mean * F.col("all_ret")) / std).otherwise(F.lit(0.0)).alias("timing_alpha"))
 
 
-def top_k(ranked: DataFrame, k: int) -> DataFrame:
-    """Selector: the first k brokers of each symbol by total_pnl."""
-    w = W.partitionBy("symbol").orderBy(F.desc(F.floor(F.col("total_pnl") * 1e4 + 0.500001)), "broker")
-    return ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(*ACCOUNT, "pos")
-
-
-def period_pnl(fifo: DataFrame, start, end) -> DataFrame:
-    """Realised profit within [start, end] plus the change of the last unrealised profit since before start."""
-    at = lambda cond: F.max_by(F.when(cond, F.col("unrealized_pnl")), F.when(cond, F.col("date")))
-    inside, before = F.col("date").between(start, end), F.col("date") < start
-    g = fifo.where(F.col("date") <= end).groupBy(*ACCOUNT).agg(F.sum(F.when(inside, F.col("realized_pnl"))).alias("realized"), at(inside).alias("last"), at(before).alias("base"), F.count(F.when(inside, 1)).alias("n"))
-    return g.where("n > 0").select(*ACCOUNT, (F.col("realized") + F.coalesce("last", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))).alias("total_pnl"))
-
-
-def conviction(fifo: DataFrame, selected: DataFrame, profit: float = 0.2, brokers: int = 3) -> DataFrame:
-    """Days on which enough selected brokers add to a holding that is up by `profit` of its cost."""
-    x = fifo.join(selected.select(*ACCOUNT), [*ACCOUNT], "left_semi")
-    cost = F.col("close") - F.try_divide(F.col("unrealized_pnl"), F.col("net"))
-    up = (F.col("net") > 0) & (cost > 0) & (F.try_divide(F.col("unrealized_pnl"), F.abs("net") * cost) > profit) & (net() > 0)
-    s = x.where(up).groupBy("symbol", "date").agg(F.count("*").alias("signal_count"), F.sum("buy_amount").alias("conviction_amount"))
-    return s.where(F.col("signal_count") >= brokers).withColumn("direction", F.lit(1))
-
-
-def churn(daily: DataFrame) -> DataFrame:
-    g = daily.groupBy("symbol", "date").agg(F.sum(F.col("buy_shares") + F.col("sell_shares")).alias("gross"), F.sum(F.abs(net())).alias("net"))
-    return g.withColumn("churn_ratio", F.col("gross") / (F.col("net") + 1))
-
-
-def benjamini_hochberg(df: DataFrame, p: str, run: tuple[str, ...], alpha: float = 0.05) -> DataFrame:
-    """Marks which p pass: all up to the largest k with p(k) <= alpha k / n."""
+def benjamini_hochberg(df: DataFrame, p: Column, run: tuple[str, ...], alpha: float = 0.05, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Marks which tests of a run pass: all up to the largest k with p(k) <= alpha k / n. The window runs over one row a test."""
     w = W.partitionBy(*run)
-    k = F.row_number().over(W.partitionBy(*run).orderBy(p))
-    x = df.withColumn("k", k).withColumn("n_tests", F.count("*").over(w))
-    x = x.withColumn("k_max", F.max(F.when(F.col(p) <= alpha * F.col("k") / F.col("n_tests"), F.col("k"))).over(w))
-    return x.withColumn("rejected", F.col("k") <= F.coalesce("k_max", F.lit(0))).drop("k", "n_tests", "k_max")
+    x = df.withColumn("__p", p).withColumn("__k", F.row_number().over(w.orderBy("__p", *ties))).withColumn("__n", F.count("*").over(w))
+    x = x.withColumn("__top", F.max(F.when(F.col("__p") <= alpha * F.col("__k") / F.col("__n"), F.col("__k"))).over(w))
+    return x.withColumn("rejected", F.col("__k") <= F.coalesce("__top", F.lit(0))).drop("__p", "__k", "__n", "__top")

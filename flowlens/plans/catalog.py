@@ -298,9 +298,6 @@ def d11_mark_to_market(t):
 
 # ---------------------------------------------------------------- rankings and look-ups
 
-_PERIOD = "select symbol, broker, sum(realized_pnl) filter (date > {a} and date <= {b}) + coalesce(arg_max(unrealized_pnl, date) filter (date > {a} and date <= {b}), 0) - coalesce(arg_max(unrealized_pnl, date) filter (date <= {a}), 0) total_pnl from fifo where date <= {b} group by all having count(*) filter (date > {a} and date <= {b}) > 0"
-
-
 @query("daily", "select * from (select symbol, broker, net, row_number() over (partition by symbol order by net desc, broker) top, row_number() over (partition by symbol order by net, broker) bottom from (select symbol, broker, cast(sum(buy_shares - sell_shares) as bigint) net from daily group by all)) where top <= 5 or bottom <= 5")
 def e9_net_buyers(t):
     n = t.daily.groupBy("symbol", "broker").agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("net"))
@@ -439,11 +436,8 @@ def k5_k7_compare(t):
 
 @query("large prices", _COMPARE + ", r as (select *, row_number() over (order by round(p, 9), symbol, horizon) k, count(*) over () nt from pv) select symbol, horizon, round(p, 5) p, k <= coalesce(max(k) filter (round(p, 9) <= 0.05 * k / nt) over (), 0) rejected from r")
 def k11_l4_fdr(t):
-    c = compare(t).withColumn("one", F.lit(1)).withColumn("p9", rd("p", 9))
-    w = W.partitionBy("one")
-    k = c.withColumn("k", F.row_number().over(w.orderBy("p9", "symbol", "horizon"))).withColumn("nt", F.count("*").over(w))
-    k = k.withColumn("top", F.max(F.when(F.col("p9") <= 0.05 * F.col("k") / F.col("nt"), F.col("k"))).over(w))
-    return k.select("symbol", "horizon", rd("p", 5).alias("p"), (F.col("k") <= F.coalesce("top", F.lit(0))).alias("rejected"))
+    c = ev.benjamini_hochberg(compare(t).withColumn("run", F.lit(1)), rd("p", 9), ("run",), ties=("symbol", "horizon"))
+    return c.select("symbol", "horizon", rd("p", 5).alias("p"), "rejected")
 
 
 @query("rets", ", mk as (select date, avg(ret) mret from rets group by 1) select symbol, round(regr_slope(ret, mret), 6) beta, round(regr_intercept(ret, mret) * 252, 6) alpha, round(regr_r2(ret, mret), 6) r2, round(avg(ret) / stddev_samp(ret) * sqrt(252), 5) sharpe, count(*) n from rets join mk using (date) group by 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import stats
 from flowlens.operators import events as ev
 from flowlens.operators import holdings as ho
+from flowlens.operators import hypothesis as hy
 from flowlens.operators import series as se
 from flowlens.plans.catalog import _CTE, _EVENTS, HORIZONS, TEST_START, TRAIN_END, query, rd
 from flowlens.plans.rankings import _WHOLE, TOP, _pos, day, marks, mdaily, top, whole
@@ -237,6 +238,45 @@ def k8_permutation(t):
     return m.groupBy("symbol", "n", "observed").agg(F.count_if(far).alias("extreme"), rd(F.avg(far.cast("int")), 6).alias("p")).select("symbol", "n", rd(F.col("observed") / 1e4).alias("observed_bps"), "extreme", "p")
 
 
+# ---------------------------------------------------------------- hypothesis jobs
+
+FOLDS = [hy.Fold(f"{y}", f"{y - 1}-12-31", f"{y}-01-01", f"{y}-12-31") for y in range(1997, 2002)]
+
+
+def _scan_sql(f: hy.Fold) -> str:
+    """The scan of contrarian_smart over one fold, as a sub-query."""
+    sel = f"(select symbol, broker from {_pos(f"(date '{f.train_end}' - interval 36 month)", f"date '{f.train_end}'")} where pos <= 20)"
+    fwd = " union all ".join(f'select symbol, date, {h} horizon, (lead("close", {h}) over (partition by symbol order by date) / "close" - 1) * 10000 ret from prices' for h in HORIZONS)
+    falls = """(select symbol, date, "close" / lag("close") over w - 1 r1, "close" / lag("close", 3) over w - 1 r3 from prices window w as (partition by symbol order by date))"""
+    e = f"""(select f.symbol, f.date from {falls} f join (select symbol, date from mdaily semi join {sel} using (symbol, broker) where buy_shares > sell_shares group by all having count(*) >= 3) b on b.symbol = f.symbol and b.date = f.date
+        where r3 is not null and (r1 < -0.02 or r3 < -0.05) and f.date between date '{f.test_start}' and date '{f.test_end}')"""
+    c = f"""(select symbol, horizon, a.n, a.m, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) t, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) d from
+        (select symbol, horizon, avg(ret) m, var_samp(ret) v, count(*) n from ({fwd}) semi join {e} using (symbol, date) where ret is not null group by all having count(*) >= 3) a join
+        (select symbol, horizon, avg(ret) m, var_samp(ret) v, count(*) n from ({fwd}) where ret is not null group by all) b using (symbol, horizon))"""
+    r = f"(select *, least(p * 4, 1) < 0.05 and abs(d) >= 0.2 significant, round(p, 9) p9 from (select *, {stats.erfc_sql('(abs(t)/sqrt(2.0))')} p from {c}))"
+    k = f"(select *, count(*) filter (significant) over (partition by symbol) hits, row_number() over (order by p9, symbol, horizon) k, count(*) over () nt from {r})"
+    return f"(select '{f.label}' run, *, case when hits >= 2 then 'significant' when hits = 1 then 'marginal' else 'none' end conclusion, k <= coalesce(max(k) filter (p9 <= 0.05 * k / nt) over (), 0) rejected from {k})"
+
+
+def market(t):
+    return hy.Market(marks(t), mdaily(t), t.prices)
+
+
+@query("marks mdaily prices", f"select symbol, horizon, n, round(m, 3) mean_bps, round(p, 5) p, significant, conclusion, rejected from {_scan_sql(FOLDS[3])}")
+def l1_l2_l4_scan(t):
+    """Selector, filter, outcome, baseline and test of one strategy over one fold, with the false-discovery rate over all symbols and horizons."""
+    s = hy.scan(market(t), "contrarian_smart", FOLDS[3])
+    return s.select("symbol", "horizon", "n", rd("mean_bps", 3).alias("mean_bps"), rd("p", 5).alias("p"), "significant", "conclusion", "rejected")
+
+
+@query("marks mdaily prices", f""", x as ({" union all ".join(f"select * from {_scan_sql(f)}" for f in FOLDS)}), s as (select run, symbol, max(conclusion <> 'none') hit, max(rejected) fdr, avg(m) > 0 up from x group by all),
+    g as (select run, count(*) n_symbols, avg(cast(hit as int)) sig_rate, count(*) filter (fdr) fdr_stocks, avg(cast(up as int)) us from s group by 1)
+    select run, n_symbols, round(sig_rate, 6) sig_rate, fdr_stocks, round(greatest(us, 1 - us), 6) consistency, sig_rate > 0.05 and fdr_stocks >= 10 and greatest(us, 1 - us) > 0.6 passed from g""")
+def l5_cross_validation(t):
+    g = hy.cross_validated(market(t), "contrarian_smart", FOLDS)
+    return g.select("run", "n_symbols", rd("sig_rate", 6).alias("sig_rate"), "fdr_stocks", rd("consistency", 6).alias("consistency"), "passed")
+
+
 # ---------------------------------------------------------------- signals and returns
 
 @query("rets", """, e as (select symbol, date, ret, exp(sum(ln(greatest(1 + ret, 1e-12))) over (partition by symbol order by date)) eq from rets), d as (select *, greatest(max(eq) over (partition by symbol order by date), 1.0) peak from e)
@@ -305,6 +345,45 @@ def n3_lead_lag_corr(t):
     return c.select(*ACCOUNT, "n", rd("lead_corr", 5).alias("lead_corr"), rd("lag_corr", 5).alias("lag_corr"), style.alias("style"))
 
 
+_MATCHES = """, o as (select b.symbol, b.broker, least(b.b, s.s) - greatest(b.b - b.buy_shares, s.s - s.sell_shares) shares, b.date buy_date, s.date sell_date, b.buy_amount / b.buy_shares buy_price, s.sell_amount / s.sell_shares sell_price
+    from mcum b join mcum s on b.symbol = s.symbol and b.broker = s.broker and b.b - b.buy_shares < s.s and s.s - s.sell_shares < b.b where b.buy_shares > 0 and s.sell_shares > 0),
+    c as (select *, buy_date < sell_date is_long, least(buy_date, sell_date) opened, greatest(buy_date, sell_date) closed from o)"""
+
+
+def closed_trades(t):
+    from flowlens.operators import fifo as ff
+
+    m = ff.matches(mdaily(t)).withColumn("is_long", F.col("buy_date") < F.col("sell_date"))
+    return m.withColumn("opened", F.least("buy_date", "sell_date")).withColumn("closed", F.greatest("buy_date", "sell_date"))
+
+
+@query("mcum", f"{_MATCHES} select symbol, broker, opened, closed, cast(sum(shares) as bigint) shares, round(sum(shares * (sell_price - buy_price)), 3) pnl, cast(date_diff('day', opened, closed) as int) holding_days, opened = closed day_trade, sum(shares * (sell_price - buy_price)) > 1e-6 profitable from c group by symbol, broker, opened, closed, is_long".replace("select symbol, broker, opened", "select symbol, broker, is_long, opened"))
+def d13_u9_trade_attributes(t):
+    pnl = F.sum(F.col("shares") * (F.col("sell_price") - F.col("buy_price")))
+    g = closed_trades(t).groupBy(*ACCOUNT, "is_long", "opened", "closed").agg(F.sum("shares").alias("shares"), pnl.alias("raw"))
+    return g.select(*ACCOUNT, "is_long", "opened", "closed", "shares", rd("raw", 3).alias("pnl"), F.datediff("closed", "opened").alias("holding_days"), (F.col("opened") == F.col("closed")).alias("day_trade"), (F.col("raw") > 1e-6).alias("profitable"))
+
+
+@query("mcum prices", f"""{_MATCHES}, x as (select c.*, case when is_long then sell_price / buy_price - 1 else 1 - buy_price / sell_price end trade, case when is_long then 1 else -1 end * (q."close" / p."close" - 1) bench, shares * case when is_long then buy_price else sell_price end value
+    from c join prices p on p.symbol = c.symbol and p.date = opened join prices q on q.symbol = c.symbol and q.date = closed)
+    select broker, count(*) n_trades, cast(sum(shares) as bigint) shares, round(sum((trade - bench) * value) / sum(value), 6) execution_alpha, round(sum((trade - bench) * value), 2) alpha_amount from x group by 1""".replace("count(*) n_trades, ", ""))
+def n1_execution_alpha(t):
+    """Return of each closed trade less that of closes over the same days, weighted by the value opened."""
+    p = t.prices.select("symbol", "date", "close")
+    c = closed_trades(t).join(p.select("symbol", F.col("date").alias("opened"), F.col("close").alias("c0")), ["symbol", "opened"]).join(p.select("symbol", F.col("date").alias("closed"), F.col("close").alias("c1")), ["symbol", "closed"])
+    trade = F.when(F.col("is_long"), F.col("sell_price") / F.col("buy_price") - 1).otherwise(1 - F.col("buy_price") / F.col("sell_price"))
+    gap = trade - F.when(F.col("is_long"), 1).otherwise(-1) * (F.col("c1") / F.col("c0") - 1)
+    value = F.col("shares") * F.when(F.col("is_long"), F.col("buy_price")).otherwise(F.col("sell_price"))
+    return c.groupBy("broker").agg(F.sum("shares").alias("shares"), rd(F.sum(gap * value) / F.sum(value), 6).alias("execution_alpha"), rd(F.sum(gap * value), 2).alias("alpha_amount"))
+
+
+@query("cum", "select side, count(*) n, count(*) filter (shares <= 0) bad_shares, count(*) filter (cost <= 0) bad_cost from (select 'long' side, b - greatest(b - buy_shares, mt) shares, buy_amount / buy_shares as cost from (select *, least(max(b) over w, max(s) over w) mt from cum window w as (partition by symbol, broker)) where buy_shares > 0 and b > mt union all select 'short', s - greatest(s - sell_shares, mt), sell_amount / sell_shares from (select *, least(max(b) over w, max(s) over w) mt from cum window w as (partition by symbol, broker)) where sell_shares > 0 and s > mt) group by 1")
+def u5_lot_invariants(t):
+    from flowlens.operators import fifo as ff
+
+    return ff.open_lots(t.daily).groupBy("side").agg(F.count("*").alias("n"), F.count_if(F.col("shares") <= 0).alias("bad_shares"), F.count_if(F.col("cost_per_share") <= 0).alias("bad_cost"))
+
+
 @query("daily", """select broker, min(date) first_trade, max(date) last_trade, count(distinct date) active_days, round(count(distinct date) / (date_diff('day', min(date), max(date)) + 1.0), 6) frequency,
     count(distinct date_trunc('month', date)) active_months, max(buy_months) net_buy_months from daily join (select broker, count(*) filter (net > 0) buy_months from (select broker, date_trunc('month', date) mo, sum(buy_shares - sell_shares) net from daily group by all) group by 1) using (broker) group by 1""")
 def n8_activity(t):

@@ -71,8 +71,8 @@ def trade_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_symbol(df: DataFrame, path: str) -> None:
-    """One folder for each symbol, rows in order of broker and date."""
-    df.repartition("symbol").sortWithinPartitions("broker", "date").write.mode("overwrite").partitionBy("symbol").parquet(path)
+    """One folder for each symbol, the rows of each file in order of broker and date. Rows are dealt by ranges of symbol and broker, so that a hot symbol is written by several tasks."""
+    df.repartitionByRange("symbol", "broker").sortWithinPartitions("symbol", "broker", "date").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
 def save_report(df: DataFrame, path: str, formats: tuple[str, ...] = ("csv",)) -> None:

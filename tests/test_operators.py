@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.stats import normal_p
 from flowlens.operators import events as ev
 from flowlens.operators import fifo as ff
+from flowlens.operators import holdings as ho
 from flowlens.sources import tables as tb
 from flowlens.streaming import incremental as inc
 
@@ -86,7 +87,7 @@ def test_statistics(spark):
     p = spark.range(1).select(normal_p(F.lit(0.0)).alias("a"), normal_p(F.lit(1.959964)).alias("b")).first()
     assert p.a == pytest.approx(1, abs=1e-6) and p.b == pytest.approx(0.05, abs=1e-6)
     df = spark.createDataFrame([("r", x) for x in (0.001, 0.02, 0.03, 0.5, 0.9)], "run string, p double")
-    assert sorted((x.p, x.rejected) for x in ev.benjamini_hochberg(df, "p", ("run",)).collect()) == [(0.001, True), (0.02, True), (0.03, True), (0.5, False), (0.9, False)]
+    assert sorted((x.p, x.rejected) for x in ev.benjamini_hochberg(df, F.col("p"), ("run",)).collect()) == [(0.001, True), (0.02, True), (0.03, True), (0.5, False), (0.9, False)]
 
 
 def test_incremental(spark, tmp_path):
@@ -125,3 +126,55 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "daily")).count() == tb.daily_summary(p).count()
     tb.save_report(tb.prices(p), str(tmp_path / "r"), ("csv", "parquet", "json"))
     assert spark.read.json(str(tmp_path / "r.json")).count() == spark.read.parquet(str(tmp_path / "r.parquet")).count()
+
+
+def test_daily_marks_against_a_loop(spark):
+    """Every date of a symbol from an account's first trade on, also those on which only others trade; closed positions have no rows."""
+    r = random.Random(4)
+    rows, close = [], {}
+    for s in ("A", "B"):
+        days = sorted(r.sample(range(60), 40))
+        close.update({(s, day(d)): round(r.uniform(5, 20), 2) for d in days})
+        for b in ("x", "y", "z"):
+            for d in sorted(r.sample(days, 9)):
+                bs, ss = r.choice([(10, 0), (0, 10), (30, 10), (0, 25), (7, 7)])
+                rows.append((s, b, day(d), bs, ss, bs * r.uniform(5, 20), ss * r.uniform(5, 20)))
+    rows.sort(key=lambda x: x[2])
+    want = {}
+    for s, b in {x[:2] for x in rows}:
+        own = [x for x in rows if x[:2] == (s, b)]
+        longs, shorts = deque(), deque()
+        for d in sorted(k[1] for k in close if k[0] == s and k[1] >= own[0][2]):
+            got = 0.0
+            for x in (x for x in own if x[2] == d):
+                for side, other, n, p, sign in ((longs, shorts, x[4], x[6] / x[4] if x[4] else 0, 1), (shorts, longs, x[3], x[5] / x[3] if x[3] else 0, -1)):
+                    while n and side:
+                        take = min(n, side[0][0])
+                        got += sign * take * (p - side[0][1])
+                        n -= take
+                        side[0][0] -= take
+                        if not side[0][0]:
+                            side.popleft()
+                    if n:
+                        other.append([n, p])
+            c = close[s, d]
+            mark = sum(n * (c - p) for n, p in longs) + sum(n * (p - c) for n, p in shorts)
+            if abs(got) > 1e-6 or abs(mark) > 1e-6:
+                want[s, b, d] = (got, mark)
+    out = ho.daily_marks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(s, d, c) for (s, d), c in close.items()], PRICES)).collect()
+    got = {(x.symbol, x.broker, x.date): (x.realized_pnl, x.unrealized_pnl) for x in out}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert any(k[2] not in {x[2] for x in rows if x[:2] == k[:2]} for k in want)
+
+
+def test_period_counts_from_its_first_day_and_holders(spark):
+    """The start counts, marks before it are taken off, and an account that only holds is ranked."""
+    m = spark.createDataFrame([("A", "x", day(1), 0.0, 5.0), ("A", "x", day(3), 2.0, 9.0), ("A", "y", day(2), 7.0, 0.0), ("A", "z", day(0), 0.0, 4.0), ("A", "z", day(4), 0.0, 1.0)], "symbol string, broker string, date date, realized_pnl double, unrealized_pnl double")
+    at = lambda i: F.lit(day(i))
+    assert {x.broker: x.total_pnl for x in ho.period(m, at(2), at(4)).collect()} == {"x": 6.0, "y": 7.0, "z": -3.0}
+    assert {x.broker: x.total_pnl for x in ho.period(m, at(2), at(4), baseline=False).collect()} == {"x": 11.0, "y": 7.0, "z": 1.0}
+
+
+def test_churn_nets_over_brokers(spark):
+    d = spark.createDataFrame([("A", "x", day(1), 100, 0, 0.0, 0.0), ("A", "y", day(1), 0, 90, 0.0, 0.0)], SCHEMA)
+    assert ho.churn(d).first().churn_ratio == pytest.approx(190 / 11)
