@@ -13,20 +13,39 @@ from flowlens.llm.mixing import mixed_documents
 from flowlens.llm.near_dedup import near_duplicates
 
 
+#: The columns that operators know; others are renamed for a stage, so that none clashes with what it adds.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def guarded(docs: DataFrame, stage) -> DataFrame:
+    """stage(docs) for a stage that returns the columns of docs, with columns it does not know under names of their own meanwhile."""
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in KNOWN}
+    back = {v: k for k, v in names.items()}
+    out = stage(docs.withColumnsRenamed(names) if names else docs)
+    return (out.withColumnsRenamed(back) if back else out).select(docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language; texts that are null, without letters or rejected go."""
-    return identify(docs, keep=docs.columns).where(~F.col("rejected")).select(docs.columns)
+    """Documents whose text is in a known language; texts that are null, without letters or rejected go.
+
+    Rows are judged one by one: repeated rows share a verdict, null ids stay, an empty table stays empty. Columns of any name pass through.
+    """
+    return guarded(docs, lambda d: identify(d, keep=d.columns).where(~F.col("rejected")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one."""
-    return without_duplicate_lines(docs)
+    """Documents without the lines that repeat an earlier one, near copies of lines included; documents left without a visible line go.
+
+    Null and blank texts stay as they are, a null id comes first, rows that repeat id and text keep the same lines, an empty table stays empty. Columns of any name pass through.
+    """
+    return guarded(docs, without_duplicate_lines)
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, from similarity 0.8 on.
 
     Rows are told apart by a key of their own, so that null ids stay and of repeated rows one is kept, whatever their ids. Which row of a group stays depends on the order of the rows.
+    Null and blank texts stay, an empty table stays empty, columns of any name pass through.
     """
     keyed = row_keys(docs, Scratch(spark, "row-keys"))
     found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), percent=80)
@@ -40,12 +59,15 @@ def row_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row for each use of a document, with the words taken."""
-    return mixed_documents(docs)
+    """Sources at their target weights: a row for each use of a document, with the words taken.
+
+    Documents without words are not taken. A null source is a source of its own. Repeated rows are documents each. An empty table stays empty. Columns of any name pass through.
+    """
+    return guarded(docs, mixed_documents)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row."""
+    """Token counts and digests of every row; a null text counts as empty, repeated rows are encoded each, extra columns are dropped."""
     import public_tokenizers
 
     return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
