@@ -15,7 +15,11 @@ from flowlens.plans.rankings import _WHOLE, TOP, _pos, day, marks, mdaily, top,
 
 ACCOUNT = ("symbol", "broker")
 _MEVENTS = _EVENTS.replace("from large", "from mlarge")
-NET = F.col("buy_shares") - F.col("sell_shares")
+
+
+def net():
+    return F.col("buy_shares") - F.col("sell_shares")
+
 
 # ---------------------------------------------------------------- sources and cleaning
 
@@ -55,7 +59,7 @@ def b9_b15_expiry(t):
 
 @query("daily", "select symbol, date, broker, row_number() over (partition by symbol, date order by buy_shares - sell_shares desc, broker) as rank from daily")
 def f5_rank_in_date(t):
-    return t.daily.select("symbol", "date", "broker", F.row_number().over(W.partitionBy("symbol", "date").orderBy(F.desc(NET), "broker")).alias("rank"))
+    return t.daily.select("symbol", "date", "broker", F.row_number().over(W.partitionBy("symbol", "date").orderBy(F.desc(net()), "broker")).alias("rank"))
 
 
 _DECAY = f""", e as ({_EVENTS}), b as (select symbol, date, "close", row_number() over (partition by symbol order by date) i from prices)
@@ -91,7 +95,7 @@ _HALF = """, i as (select symbol, date, row_number() over (partition by symbol o
 def halves(t):
     i = t.prices.select("symbol", "date", (F.row_number().over(se.by_symbol()) - 1).alias("i"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
     j = t.daily.join(i, ["symbol", "date"]).withColumn("half", F.when(F.col("i") < F.floor(F.col("n") / 2), 1).otherwise(2))
-    return j.groupBy(*ACCOUNT, "half").agg(F.sum(NET).alias("net"))
+    return j.groupBy(*ACCOUNT, "half").agg(F.sum(net()).alias("net"))
 
 
 _KIND = "case when first_half > 0 and second_half < 0 then 'buy to sell' when first_half < 0 and second_half > 0 then 'sell to buy' else 'none' end"
@@ -110,7 +114,7 @@ def f17_o6_reversals(t):
 @query("mdaily", """select symbol, date, round(sum(gross) over w / (abs(sum(net) over w) + 1), 6) churn_20 from (select symbol, date, sum(buy_shares + sell_shares) gross, sum(buy_shares - sell_shares) net from mdaily group by all)
     window w as (partition by symbol order by date rows 19 preceding) qualify count(*) over w = 20""")
 def g7_rolling_churn(t):
-    g = mdaily(t).groupBy("symbol", "date").agg(F.sum(F.col("buy_shares") + F.col("sell_shares")).alias("gross"), F.sum(NET).alias("net"))
+    g = mdaily(t).groupBy("symbol", "date").agg(F.sum(F.col("buy_shares") + F.col("sell_shares")).alias("gross"), F.sum(net()).alias("net"))
     x = g.select("symbol", "date", rd(se.rolling("gross", 20, ("symbol",)) / (F.abs(se.rolling("net", 20, ("symbol",))) + 1), 6).alias("churn_20"))
     return x.where("churn_20 is not null")
 
@@ -119,7 +123,7 @@ def g7_rolling_churn(t):
     (select symbol, (net - avg(net) over w) / stddev_samp(net) over w z, stddev_samp(net) over w s from (select *, buy_shares - sell_shares net from mdaily) window w as (partition by symbol, broker)) where s > 0 group by 1""")
 def g11_threshold_calibration(t):
     w = W.partitionBy(*ACCOUNT)
-    z = mdaily(t).withColumn("net", NET).withColumn("s", F.stddev_samp("net").over(w)).withColumn("m", F.avg("net").over(w)).where("s > 0").withColumn("z", (F.col("net") - F.col("m")) / F.col("s"))
+    z = mdaily(t).withColumn("net", net()).withColumn("s", F.stddev_samp("net").over(w)).withColumn("m", F.avg("net").over(w)).where("s > 0").withColumn("z", (F.col("net") - F.col("m")) / F.col("s"))
     return z.groupBy("symbol").agg(F.count("*").alias("n"), rd(100 * F.avg((F.abs("z") > 2).cast("int"))).alias("beyond_pct"), rd(F.percentile("z", F.lit(0.95)), 5).alias("p95"), rd(F.avg(F.col("z") * F.col("z") * F.col("z")), 5).alias("skew"))
 
 
@@ -131,7 +135,7 @@ def g11_threshold_calibration(t):
 def i7_herding_divergence(t):
     """Share of net buyers in the crowd less that among selected brokers, mean of 5 rows, at its extreme twentieths. One crowd broker a day is enough, where the reference asks five: the tables have some 8 firms a symbol and day."""
     d, sel = mdaily(t), top(t).select(*ACCOUNT)
-    share = lambda x, name: x.groupBy("symbol", "date").agg(F.avg((NET > 0).cast("int")).alias(name), F.count_distinct("broker").alias("n"))
+    share = lambda x, name: x.groupBy("symbol", "date").agg(F.avg((net() > 0).cast("int")).alias(name), F.count_distinct("broker").alias("n"))
     j = share(d.join(sel, [*ACCOUNT], "left_semi"), "smart").drop("n").join(share(d.join(sel, [*ACCOUNT], "left_anti"), "crowd").where("n >= 1").drop("n"), ["symbol", "date"])
     g = j.withColumn("diff", F.col("crowd") - F.col("smart")).withColumn("gap", se.rolling("diff", 5, ("symbol",), how=F.avg)).where("gap is not null")
     w = W.partitionBy("symbol")
@@ -170,7 +174,7 @@ def j5_disagreement_days(t):
     end = day(TRAIN_END)
     r = ho.ranked(ho.period(marks(t), F.add_months(end, -36), end)).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
     g = r.select(*ACCOUNT, F.when(F.col("pos") <= 5, 1).when(F.col("pos") > F.col("n") - 5, -1).alias("side")).where("side is not null")
-    s = mdaily(t).join(g, [*ACCOUNT]).groupBy("symbol", "date").agg(F.sum(F.when(F.col("side") == 1, NET)).alias("up"), F.sum(F.when(F.col("side") == -1, NET)).alias("down")).where("up * down < 0")
+    s = mdaily(t).join(g, [*ACCOUNT]).groupBy("symbol", "date").agg(F.sum(F.when(F.col("side") == 1, net())).alias("up"), F.sum(F.when(F.col("side") == -1, net())).alias("down")).where("up * down < 0")
     j = s.join(se.forward_returns(t.prices, (5,)), ["symbol", "date"])
     return j.groupBy("symbol").agg(F.count("*").alias("n"), rd(F.avg("ret_bps")).alias("mean_bps"))
 
@@ -301,7 +305,7 @@ def m1_large_day_spread(t):
     """Next-bar return after a broker's large days less that after its other trade days."""
     w = W.partitionBy(*ACCOUNT)
     p = t.prices.select("symbol", "date", (F.lead("close").over(se.by_symbol()) / F.col("close") - 1).alias("nr"))
-    d = mdaily(t).withColumn("net", NET).withColumn("m", F.avg("net").over(w)).withColumn("s", F.stddev_samp("net").over(w)).where("s > 0").join(p, ["symbol", "date"]).where("nr is not null")
+    d = mdaily(t).withColumn("net", net()).withColumn("m", F.avg("net").over(w)).withColumn("s", F.stddev_samp("net").over(w)).where("s > 0").join(p, ["symbol", "date"]).where("nr is not null")
     d = d.withColumn("big", F.abs(F.col("net") - F.col("m")) > 2 * F.col("s"))
     of = lambda f, big: f(F.when(F.col("big") == big, F.col("nr")))
     g = d.groupBy(*ACCOUNT).agg(F.count_if("big").alias("n1"), F.count_if(~F.col("big")).alias("n2"), *[of(f, b).alias(f"{n}{k}") for n, f in (("m", F.avg), ("v", F.var_samp)) for k, b in ((1, True), (2, False))]).where("n1 >= 3 and n2 >= 3")
@@ -334,7 +338,7 @@ def n3_lead_lag_corr(t):
     w = se.by_symbol()
     g = t.rets.select("symbol", "date", F.col("ret"), F.lead("ret").over(w).alias("next_ret"), F.lag("ret").over(w).alias("prev_ret"), F.lag("date").over(w).alias("prev_date"))
     tot = g.where("prev_date is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("ret").alias("sr"), F.sum(F.col("ret") * F.col("ret")).alias("srr"), F.sum("prev_ret").alias("sp"), F.sum(F.col("prev_ret") * F.col("prev_ret")).alias("spp"))
-    x = mdaily(t).select(*ACCOUNT, "date", NET.cast("double").alias("v")).join(g, ["symbol", "date"])
+    x = mdaily(t).select(*ACCOUNT, "date", net().cast("double").alias("v")).join(g, ["symbol", "date"])
     ahead, back = F.col("next_ret").isNotNull(), F.col("prev_date").isNotNull()
     s = lambda cond, e: F.coalesce(F.sum(F.when(cond, e)), F.lit(0.0))
     v = F.col("v")
@@ -388,7 +392,7 @@ def u5_lot_invariants(t):
     count(distinct date_trunc('month', date)) active_months, max(buy_months) net_buy_months from daily join (select broker, count(*) filter (net > 0) buy_months from (select broker, date_trunc('month', date) mo, sum(buy_shares - sell_shares) net from daily group by all) group by 1) using (broker) group by 1""")
 def n8_activity(t):
     d = t.daily
-    b = d.groupBy("broker", F.trunc("date", "month").alias("mo")).agg(F.sum(NET).alias("net")).groupBy("broker").agg(F.count_if(F.col("net") > 0).alias("net_buy_months"), F.count("*").alias("active_months"))
+    b = d.groupBy("broker", F.trunc("date", "month").alias("mo")).agg(F.sum(net()).alias("net")).groupBy("broker").agg(F.count_if(F.col("net") > 0).alias("net_buy_months"), F.count("*").alias("active_months"))
     a = d.groupBy("broker").agg(F.min("date").alias("first_trade"), F.max("date").alias("last_trade"), F.count_distinct("date").alias("active_days"))
     return a.join(b, "broker").withColumn("frequency", rd(F.col("active_days") / (F.datediff("last_trade", "first_trade") + 1.0), 6))
 
@@ -438,7 +442,7 @@ _D = "date '1998-06-01'"
 def o7_veterans(t):
     cut = day("1998-06-01")
     d = t.daily.where(F.col("date") >= F.add_months(cut, -6))
-    g = d.groupBy(*ACCOUNT).agg(F.bool_or(F.col("date") < cut).alias("veteran"), F.sum(F.when(F.col("date") >= cut, NET).otherwise(0)).alias("net"), F.count_if(F.col("date") >= cut).alias("n"))
+    g = d.groupBy(*ACCOUNT).agg(F.bool_or(F.col("date") < cut).alias("veteran"), F.sum(F.when(F.col("date") >= cut, net()).otherwise(0)).alias("net"), F.count_if(F.col("date") >= cut).alias("n"))
     return g.where("n > 0").drop("n")
 
 
@@ -449,7 +453,7 @@ def o8_tier_flow(t):
     r = ho.ranked(ho.period(marks(t), F.add_months(end, -36), end)).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
     tier = F.when(F.col("pos") <= 5, "top").when(F.col("pos") > F.col("n") - 5, "bottom").otherwise("other")
     d = mdaily(t).where(F.col("date") >= day(TEST_START)).join(r.select(*ACCOUNT, "pos", "n"), [*ACCOUNT], "left")
-    return d.groupBy("symbol", "date", tier.alias("tier")).agg(F.sum(NET).alias("net"))
+    return d.groupBy("symbol", "date", tier.alias("tier")).agg(F.sum(net()).alias("net"))
 
 
 # ---------------------------------------------------------------- data quality

@@ -1,4 +1,7 @@
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -29,3 +32,9 @@ def test_as_sql(spark, duck, name):
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=key)
     assert got == want
     assert not any(isinstance(x, float) and math.isnan(x) for r in got for x in r)
+
+
+def test_entry_imports_without_a_session():
+    """Nothing may need a running session at import."""
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], capture_output=True, text=True, cwd=Path(__file__).parents[1])
+    assert out.returncode == 0 and out.stdout.split()[-1] == "True", out.stderr[-800:]
