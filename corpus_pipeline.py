@@ -20,9 +20,8 @@ KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 def guarded(docs: DataFrame, stage) -> DataFrame:
     """stage(docs) for a stage that returns the columns of docs, with columns it does not know under names of their own meanwhile."""
     names = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in KNOWN}
-    back = {v: k for k, v in names.items()}
-    out = stage(docs.withColumnsRenamed(names) if names else docs)
-    return (out.withColumnsRenamed(back) if back else out).select(docs.columns)
+    out = stage(docs.withColumnsRenamed(names)).select([names.get(c, c) for c in docs.columns])
+    return out.withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
