@@ -34,3 +34,17 @@ def test_limits():
     from flowlens.llm.near_dedup import limits
 
     assert limits(85) == (40, 25, 7) and limits(80) == (35, 30, 5)
+
+
+def test_stages_take_odd_rows(spark):
+    """Null ids and texts, repeated rows, an empty table and columns named as the stages' own: no stage stops, and each returns the columns it was given."""
+    text = "the quick brown fox and the lazy dog of the river bank were in the sun for a while and it was good to see them there"
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(None, text, "en", None), (None, text, "en", None), (90001, None, None, "a"), (90002, " \n", "en", "a"), (90003, "x" * 20_000, None, "é")], "doc_id long, text string, lang string, source string")
+    docs = given.union(odd).selectExpr("*", *[f"1 as `{c}`" for c in ("score", "rejected", "bits", "lang_pred", "parts", "use", "turn", "k", "h", "key", "place", "comp", "cls")])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() >= 0
+        assert stage(spark, docs.limit(0), "").count() == 0
+    near = corpus_pipeline.near_duplicate_documents(spark, docs, "")
+    assert near.where("doc_id is null").count() == 1
