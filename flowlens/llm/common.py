@@ -17,6 +17,10 @@ _TRIM = " \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: The least number of files of a table whose number of rows is known.
+FEW_FILES = 8
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share, to cut lineage so that a lost executor costs no recomputation.
 
@@ -32,8 +36,10 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root, self.paths = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and return the table read back."""
+    def keep(self, df: DataFrame, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+        """Write df as Parquet and return the table read back. Where a bound on its rows is known, small tables are written in few files, large ones by all partitions."""
+        if rows is not None:
+            df = df.coalesce(max(FEW_FILES, -(-rows // per_file)))
         path = f"{self.root}/{uuid.uuid4().hex[:12]}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

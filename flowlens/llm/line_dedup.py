@@ -103,6 +103,7 @@ class _Job:
         self.scratch = Scratch(docs.sparkSession, "line-dedup")
         self.lines = self.scratch.keep(_occurrences(docs))
         self.links: DataFrame | None = None
+        self.n_links = 0
         self.labels: DataFrame | None = None
         self.texts: DataFrame | None = None
         self.tested: DataFrame | None = None
@@ -157,7 +158,7 @@ class _Job:
             return df.select(*[F.col(c).alias(f"{c}_{e}") for c in df.columns])
 
         first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")
-        pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _likely("a", "b") & first
+        pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _likely("a", "b")
         x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
         y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
         self.fetch(x.select(F.col("h_a").alias("a"), F.col("h_a").alias("b")).union(y.select("h_b", "h_b")))
@@ -166,31 +167,34 @@ class _Job:
         x, y = (self.scratch.keep(df.join(side(sets, e), f"h_{e}")) for df, e in ((x, "a"), (y, "b")))
         sizes = F.least(F.size("set_a"), F.size("set_b")) >= SIMILARITY * F.greatest(F.size("set_a"), F.size("set_b")) - 2
         enough = sizes & ((1 + SIMILARITY) * F.size(F.array_intersect("set_a", "set_b")) >= SIMILARITY * (F.size("set_a") + F.size("set_b")) - 2)
-        return x.join(y, pair & enough).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+        return x.join(y, pair & first & enough).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
 
     def fetch(self, pairs: DataFrame) -> None:
         """Add the texts of lines in pairs that are not fetched yet."""
         need = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
         need = self.scratch.keep(need if self.texts is None else need.join(self.texts.select("h"), "h", "left_anti"))
-        few = need.count() <= BROADCAST_LINES
+        size = need.count()
+        few = size <= BROADCAST_LINES
         found = self.lines.select("h", "line").join(F.broadcast(need) if few else need.hint("shuffle_hash"), "h", "left_semi").dropDuplicates(["h"])
-        found = self.scratch.keep(found)
+        found = self.scratch.keep(found, size, 10_000)
         self.texts = found if self.texts is None else self.texts.union(found)
 
     def link(self, pairs: DataFrame) -> None:
         """Confirm pairs on full shingle sets and join components."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = self.scratch.keep(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+        size = pairs.count()
+        if not size:
             return
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         self.fetch(pairs)
         both = pairs.join(self.texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(self.texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
         sets = bound(both.select("a", "b", "x", "y"), s=shingles(F.col("x")), t=shingles(F.col("y")))
-        sure = self.scratch.keep(sets.where(similar(F.col("s"), F.col("t"))).select("a", "b"))
-        if not sure.isEmpty():
+        sure = self.scratch.keep(sets.where(similar(F.col("s"), F.col("t"))).select("a", "b"), size)
+        if linked := sure.count():
+            self.n_links += linked
             self.links = sure if self.links is None else self.links.union(sure)
-            self.labels = components(self.links, self.scratch)
+            self.labels = components(self.links, self.scratch, self.n_links)
 
     def run(self) -> DataFrame:
         """(h, first) for each line: the first occurrence of its component."""

@@ -16,10 +16,12 @@ from .graph import components
 
 #: Signature coordinates; so many standard deviations below the mean of a pair at the threshold may its agreeing coordinates lie (40 of 64 at similarity 0.85, 35 at 0.8).
 COORDINATES, DEVIATIONS = 64, 5
+#: Bits of a parity map of a full set: two sets differ in at least as many shingles as their maps differ in bits, so no link is lost by it.
+PARITIES = 512
 #: Lists that still hold several components after two leader rounds are posted anew under BANDS bands of BAND_WIDTH coordinates: a pair at similarity 0.85 shares none with probability 0.0003, one at 0.9 in none of 40,000 trials (drawn at random, these bands).
-#: Members meet a leader there in BAND_ROUNDS rounds; then those outside a list's largest component meet every member of another component, in lists of any length.
+#: Members meet a leader there in BAND_ROUNDS round; then those outside a list's largest component meet every member of another component, in lists of any length.
 #: BAND_WIDTH is that at similarity 0.85; at others a band is as likely to be shared (5 coordinates at 0.8).
-BANDS, BAND_WIDTH, BAND_ROUNDS = 48, 7, 2
+BANDS, BAND_WIDTH, BAND_ROUNDS = 48, 7, 1
 #: Lists that a pair must share with the same leader in the first round; the later rounds take pairs that share fewer.
 COLLISIONS = 2
 #: Needed texts are picked by a broadcast list only up to so many ids (8 bytes each).
@@ -58,19 +60,26 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of PARITIES buckets of the hashes, whether it holds an odd number of them; 64 a long."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8")
+
+
 def _signed(posted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in small_batches(batches):
-            n, cls, prefix, sketch = [], [], [], []  # of each text
+            n, cls, prefix, sketch, odd = [], [], [], [], []  # of each text
             for text in column_bytes(b, "text"):
                 s = shingles(text, hashes)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
                 sig = signature(s) if len(s) else None
                 prefix.append(None if sig is None else sig[:posted].view(np.int64))
-                sketch.append(None if sig is None else (mix(sig) >> np.uint64(56)).astype(np.uint8).view(np.int8))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int8()))], names=["doc_id", "text_key", "n_shingles", "cls", "prefix", "sketch"])
+                sketch.append(None if sig is None else (mix(sig) >> np.uint64(56)).astype(np.uint8).view("<i8"))
+                odd.append(None if sig is None else parities(s))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *[pa.array(x, pa.list_(pa.int64())) for x in (sketch, odd)]], names=["doc_id", "text_key", "n_shingles", "cls", "prefix", "sketch", "odd"])
 
     return run
 
@@ -94,8 +103,31 @@ def _confirm(percent: int):
 
 
 def agreement(x: str, y: str) -> Column:
-    """In how many coordinates two sketches agree."""
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+    """In how many coordinates two sketches agree. A sketch holds a byte a coordinate, eight in a long; no lambda, so that joins compile it."""
+    differing = F.lit(0)
+    for i in range(COORDINATES // 8):
+        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        differing = differing + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(COORDINATES) - differing
+
+
+def likely(a: str, b: str, percent: int, matches: int) -> Column:
+    """Whether sketch, parity map and set size of classes a and b (suffixes of the columns) allow a link: `matches` coordinates agree, and the sets need not differ in too many shingles."""
+    flipped = F.lit(0)
+    for i in range(PARITIES // 64):
+        flipped = flipped + F.bit_count(F.get(f"odd_{a}", F.lit(i)).bitwiseXOR(F.get(f"odd_{b}", F.lit(i))))
+    sizes = F.col(f"n_shingles_{a}") + F.col(f"n_shingles_{b}")
+    return ((100 + percent) * flipped <= (100 - percent) * sizes) & (agreement(f"sketch_{a}", f"sketch_{b}") >= matches)
+
+
+EVIDENCE = ("n_shingles", "sketch", "odd")
+
+
+def coordinate(sketch: str, k: int) -> Column:
+    """The byte of coordinate k."""
+    return F.shiftright(F.get(sketch, F.lit(k // 8)), 8 * (k % 8)).bitwiseAND(F.lit(255))
 
 
 class _Job:
@@ -106,11 +138,11 @@ class _Job:
         self.matches, self.posted, self.width = limits(percent)
         self.scratch = Scratch(self.spark, "near-dedup")
         self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-        self.docs = self.scratch.keep(self.source.mapInArrow(_signed(self.posted), "doc_id long, text_key long, n_shingles long, cls long, prefix array<long>, sketch array<tinyint>"))
+        self.docs = self.scratch.keep(self.source.mapInArrow(_signed(self.posted), "doc_id long, text_key long, n_shingles long, cls long, prefix array<long>, sketch array<long>, odd array<long>"))
         known = self.docs.where("cls is not null")
-        self.classes = self.scratch.keep(known.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key")))
-        sigs = known.select("cls", "prefix", "sketch").dropDuplicates(["cls"])
-        self.sigs = self.scratch.keep(sigs)
+        # equal sets have equal signatures
+        self.classes = self.sigs = self.scratch.keep(known.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n_shingles", "prefix", "sketch", "odd")]))
+        self.n_links = 0
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.texts: DataFrame | None = None
@@ -130,13 +162,12 @@ class _Job:
     def across(self, opened: DataFrame) -> DataFrame:
         """Links between members of different components of a list, one of them outside its largest component, in lists of any length.
 
-        A pair is made in the first list that it shares only. Semi joins find the members that have a likely partner at all (one that agrees in
-        `matches` coordinates); the full shingle sets of these are compared within the join, so that no more rows leave it than there are links.
+        A pair is made in the first list that it shares only. Semi joins find the members that have a likely partner at all (see `likely`); the full shingle sets of these are compared within the join, so that no more rows leave it than there are links.
         Both sides are tables, so that Spark splits a long list.
         """
         main = opened.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
         # a class is in at most BANDS lists
-        own = opened.groupBy("cls").agg(F.collect_set("key").alias("keys")).join(self.sigs.select("cls", "sketch"), "cls")
+        own = opened.groupBy("cls").agg(F.collect_set("key").alias("keys")).join(self.sigs.select("cls", *EVIDENCE), "cls")
         every = self.scratch.keep(opened.select("key", "cls", "comp").join(self.scratch.keep(own), "cls"))
         outside = self.scratch.keep(every.join(self.scratch.keep(main), "key").where("comp <> main").drop("main"))
 
@@ -144,7 +175,7 @@ class _Job:
             return df.select(*[F.col(c).alias(f"{c}_{e}") for c in df.columns])
 
         first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")
-        pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (agreement("sketch_a", "sketch_b") >= self.matches) & first
+        pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & likely("a", "b", self.percent, self.matches)
         x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
         y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
         texts = self.fetch(x.select(F.col("cls_a").alias("a"), F.col("cls_a").alias("b")).union(y.select("cls_b", "cls_b")))
@@ -154,30 +185,33 @@ class _Job:
         sizes = F.size("set_a") + F.size("set_b")
         common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         near = (100 * F.least(F.size("set_a"), F.size("set_b")) >= self.percent * F.greatest(F.size("set_a"), F.size("set_b"))) & ((100 + self.percent) * common >= self.percent * sizes)
-        return x.join(y, pair & near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+        return x.join(y, pair & first & near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
     def link(self, pairs: DataFrame, collisions: int = 1) -> bool:
         """Count agreeing coordinates of the pairs (a, b), confirm those above the threshold on full sets, and join components. Whether any pair was confirmed now."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).drop("n")
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        sig = self.sigs.select("cls", "sketch")
-        both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = self.scratch.keep(both.where(agreement("sa", "sb") >= self.matches).select("a", "b"))
-        if likely.isEmpty():
+        sides = [self.sigs.select(F.col("cls").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in EVIDENCE]) for e in "ab"]
+        both = pairs.join(sides[0], "a").join(sides[1], "b")
+        found = self.scratch.keep(both.where(likely("a", "b", self.percent, self.matches)).select("a", "b"))
+        size = found.count()
+        if not size:
             return False
-        self.tested = likely if self.tested is None else self.tested.union(likely)
-        texts = self.fetch(likely)
-        full = likely.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-        return self.joined(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.percent), "a long, b long"))
+        self.tested = found if self.tested is None else self.tested.union(found)
+        texts = self.fetch(found)
+        full = found.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+        return self.joined(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.percent), "a long, b long"), size)
 
-    def joined(self, sure: DataFrame) -> bool:
+    def joined(self, sure: DataFrame, rows: int | None = None) -> bool:
         """Add confirmed links and join components anew. Whether there were any."""
-        sure = self.scratch.keep(sure)
-        if sure.isEmpty():
+        sure = self.scratch.keep(sure, rows)
+        size = sure.count()
+        if not size:
             return False
+        self.n_links += size
         self.links = sure if self.links is None else self.links.union(sure)
-        self.labels = components(self.links, self.scratch)
+        self.labels = components(self.links, self.scratch, self.n_links)
         return True
 
     def fetch(self, pairs: DataFrame) -> DataFrame:
@@ -190,7 +224,7 @@ class _Job:
         if count:
             keys = need.select("text_key")
             picked = self.source.select("text_key", "text").join(F.broadcast(keys) if count <= BROADCAST_IDS else keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-            found = self.scratch.keep(picked.join(need, "text_key").select("cls", "text"))
+            found = self.scratch.keep(picked.join(need, "text_key").select("cls", "text"), count, 2_000)
             self.texts = found if self.texts is None else self.texts.union(found)
         return self.texts
 
@@ -205,7 +239,7 @@ class _Job:
         self.link(opened.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
         left = self.with_component(opened.select("cls", "key")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         left = opened.select("cls", "key").join(self.scratch.keep(left), "key").select("cls").distinct().join(self.sigs.select("cls", "sketch"), "cls")
-        bands = F.array(*[F.xxhash64(F.lit(i), *[F.get("sketch", F.lit(k)) for k in places]) for i, places in enumerate(_ORDERS[:, : self.width].tolist())])
+        bands = F.array(*[F.xxhash64(F.lit(i), *[coordinate("sketch", k) for k in places]) for i, places in enumerate(_ORDERS[:, : self.width].tolist())])
         postings = left.select("cls", F.explode(bands).alias("key"))
         lists = self.scratch.keep(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size"))
         postings = self.scratch.keep(postings.join(lists, "key"))
