@@ -177,6 +177,8 @@ class _Job:
         first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")
         pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & likely("a", "b", self.percent, self.matches)
         x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
+        if x.isEmpty():
+            return self.spark.createDataFrame([], "a long, b long")
         y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
         texts = self.fetch(x.select(F.col("cls_a").alias("a"), F.col("cls_a").alias("b")).union(y.select("cls_b", "cls_b")))
         wanted = x.select(F.col("cls_a").alias("cls")).union(y.select("cls_b")).distinct()
@@ -226,7 +228,7 @@ class _Job:
             picked = self.source.select("text_key", "text").join(F.broadcast(keys) if count <= BROADCAST_IDS else keys, "text_key", "left_semi").dropDuplicates(["text_key"])
             found = self.scratch.keep(picked.join(need, "text_key").select("cls", "text"), count, 2_000)
             self.texts = found if self.texts is None else self.texts.union(found)
-        return self.texts
+        return self.spark.createDataFrame([], "cls long, text string") if self.texts is None else self.texts
 
     def run(self) -> DataFrame:
         postings = self.sigs.select("cls", F.posexplode("prefix").alias("pos", "value")).select("cls", F.xxhash64("pos", "value").alias("key"))

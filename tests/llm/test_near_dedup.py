@@ -87,6 +87,18 @@ def test_null_ids(spark):
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out))) == sorted(map(str, [(None, 81, 7, False), (7, 82, 7, True), (None, 6, None, False), (None, 0, None, False)]))
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.75])
+def test_corpus_without_near_copies(spark, similarity):
+    """Pairs that share lists but are no near copies: nothing is linked, every row is kept."""
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(200)]
+        n = round(200 * similarity)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:n] + [f"g{g}v{i}" for i in range(200 - n)]))]
+    out = got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows) and all(r[3] for r in out)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

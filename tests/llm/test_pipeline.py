@@ -30,6 +30,21 @@ def test_near_duplicates_stage(spark):
     assert all(sum(t in g for t in out) == 1 for g in groups) and len(out) == 3 + len(groups)
 
 
+def test_near_duplicates_stage_without_copies(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(60))) for i in range(40)]
+    out = corpus_pipeline.near_duplicate_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(tuple(x) for x in out.collect()) == rows
+
+
+def test_near_duplicates_stage_is_the_same_for_any_order(spark):
+    """Of a group stays the smallest id, of rows without ids the one that a hash of the text picks."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(9, " ".join(base)), (4, " ".join([*base, "x"])), (None, " ".join([*base, "y"])), (6, " ".join(base))]
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.near_duplicate_documents(spark, spark.createDataFrame(order, "doc_id long, text string").repartition(3), "")
+        assert [x.doc_id for x in out.collect()] == [4]
+
+
 def test_limits():
     from flowlens.llm.near_dedup import limits
 
