@@ -43,12 +43,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, from similarity 0.8 on.
 
-    Rows are told apart by a key of their own, so that null ids stay and of repeated rows one is kept, whatever their ids. Which row of a group stays depends on the order of the rows.
+    Rows are told apart by a key of their own, so that null ids stay and of repeated rows one is kept, whatever their ids. The row with the smallest id stays (null last, ties by a hash of the text), so that reruns agree.
     Null and blank texts stay, an empty table stays empty, columns of any name pass through.
     """
     keyed = row_keys(docs, Scratch(spark, "row-keys"))
     found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("__row"))
+    ranks = keyed.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("rank"))
+    members = found.select(F.col("doc_id").alias("__row"), "component_id").join(ranks, "__row")
+    kept = members.groupBy("component_id").agg(F.min_by("__row", "rank").alias("__row")).select("__row")
     return keyed.join(kept, "__row", "left_semi").select(docs.columns)
 
 
