@@ -75,6 +75,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_conversations
 
@@ -83,7 +89,7 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.union(hostile)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_fuzzy_line_dedup, op3_quality_divergence, op4_mix_to_targets, op5_license_scan, op6_exact_top_k, op7_ngram_lm_scoring, op8_warc_zstd, op9_bpe, op10_language_id, op12_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_fuzzy_line_dedup, op3_quality_divergence, op4_mix_to_targets, op5_license_scan, op6_exact_top_k, op7_ngram_lm_scoring, op8_warc_zstd, op9_bpe, op10_language_id, op11_qdwh_whitening, op12_chat_format)}
 SQL: dict[str, str] = {
     "op6_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
