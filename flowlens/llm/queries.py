@@ -89,7 +89,13 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.union(hostile)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_fuzzy_line_dedup, op3_quality_divergence, op4_mix_to_targets, op5_license_scan, op6_exact_top_k, op7_ngram_lm_scoring, op8_warc_zstd, op9_bpe, op10_language_id, op11_qdwh_whitening, op12_chat_format)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group_variants, vocabulary
+
+    return group_variants(vocabulary(table(spark, sf_dir, "documents"), least_chars=6, least_count=5, slip_every=199))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_fuzzy_line_dedup, op3_quality_divergence, op4_mix_to_targets, op5_license_scan, op6_exact_top_k, op7_ngram_lm_scoring, op8_warc_zstd, op9_bpe, op10_language_id, op11_qdwh_whitening, op12_chat_format, op13_spelling_variants)}
 SQL: dict[str, str] = {
     "op6_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
