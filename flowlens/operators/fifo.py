@@ -102,3 +102,39 @@ def market_ranking(state: DataFrame) -> DataFrame:
     sums = state.groupBy("broker").agg(*(_cents(F.sum(c)).alias(c) for c in cols))
     sums = sums.withColumn("total_amount", _cents(F.col("total_buy_amount") + F.col("total_sell_amount")))
     return sums.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total_pnl"), "broker")))
+
+
+def seeded(lots: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Open lots as opening days of their accounts, followed by fresh days (`fresh` false and true). Lots are all of one side, so that none matches another, and keep their order by date."""
+    is_long = F.col("side") == "long"
+    of = lambda cond, c: F.when(cond, c).otherwise(F.lit(0))
+    amount = F.col("shares") * F.col("cost_per_share")
+    seed = lots.select(*ACCOUNT, F.col("open_date").alias("date"), of(is_long, F.col("shares")).cast("long").alias("buy_shares"), of(~is_long, F.col("shares")).cast("long").alias("sell_shares"),
+        of(is_long, amount).cast("double").alias("buy_amount"), of(~is_long, amount).cast("double").alias("sell_amount"), F.lit(False).alias("fresh"))
+    return seed.unionByName(fresh.select(*ACCOUNT, "date", "buy_shares", "sell_shares", "buy_amount", "sell_amount", F.lit(True).alias("fresh")))
+
+
+def resumed_daily(lots: DataFrame, fresh: DataFrame, prices: DataFrame) -> DataFrame:
+    """As fifo_daily for days after those that left `lots` open; the history itself is not read."""
+    w = W.partitionBy(*ACCOUNT).orderBy("date")
+    p = positions(seeded(lots, fresh))
+    today = F.col("realized_total") - F.coalesce(F.lag("realized_total").over(w), F.lit(0.0))
+    p = p.withColumn("realized_pnl", today).where("fresh").join(prices.select("symbol", "date", "close"), ["symbol", "date"])
+    return p.select(*ACCOUNT, "date", "realized_pnl", unrealized(F.col("close")).alias("unrealized_pnl"), (F.col("b") - F.col("s")).alias("net"))
+
+
+def resumed_marks(lots: DataFrame, fresh: DataFrame, closes: DataFrame) -> DataFrame:
+    """Marks of every account on every date of `closes` (those after `lots` were left open): of what was open and has not traded since as well.
+
+    The opening position counts as one that was taken before the first date. Rows in which both figures are 0 are left out.
+    """
+    days = closes.select("symbol", "date", "close").withColumn("day", F.row_number().over(W.partitionBy("symbol").orderBy("date")))
+    last = days.groupBy("symbol").agg(F.max("day").alias("last_day"))
+    w = W.partitionBy(*ACCOUNT).orderBy("date")
+    p = positions(seeded(lots, fresh)).withColumn("today", F.col("realized_total") - F.coalesce(F.lag("realized_total").over(w), F.lit(0.0))).withColumn("next_fresh", F.lead("fresh").over(w))
+    p = p.where("fresh or next_fresh is null or next_fresh").join(days.select("symbol", "date", "day"), ["symbol", "date"], "left").join(last, "symbol")
+    p = p.withColumn("first", F.when(F.col("fresh"), F.col("day")).otherwise(F.lit(1))).withColumn("until", F.coalesce(F.lead("day").over(w) - 1, "last_day")).drop("day").where("first <= until")
+    at = p.drop("date").withColumn("day", F.explode(F.sequence("first", "until"))).join(days, ["symbol", "day"])
+    traded = F.col("fresh") & (F.col("day") == F.col("first"))
+    out = at.select(*ACCOUNT, "date", F.when(traded, F.col("today")).otherwise(F.lit(0.0)).alias("realized_pnl"), unrealized(F.col("close")).alias("unrealized_pnl"))
+    return out.where((F.abs("realized_pnl") > 1e-6) | (F.abs("unrealized_pnl") > 1e-6))
