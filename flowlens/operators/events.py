@@ -13,19 +13,19 @@ def net() -> Column:
     return F.col("buy_shares") - F.col("sell_shares")
 
 
-def large_trades(daily: DataFrame, sigma: float = 2.0) -> DataFrame:
+def large_trades(daily: DataFrame, sigma: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Days on which an account's net shares lie more than sigma (sample) deviations from its mean over the days it traded."""
-    w = W.partitionBy(*ACCOUNT)
+    w = W.partitionBy(*by, *ACCOUNT)
     z = daily.withColumn("net", net()).withColumn("mean", F.avg("net").over(w)).withColumn("std", F.stddev_samp("net").over(w)).where("std > 0")
     z = z.withColumn("z", (F.col("net") - F.col("mean")) / F.col("std")).where(F.abs("z") > sigma)
     return z.withColumn("direction", F.signum("z").cast("int"))
 
 
-def large_trade_events(large: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+def large_trade_events(large: DataFrame, selected: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Daily sum of directions over the selected accounts; its sign is the event."""
-    x = large if selected is None else large.join(selected.select(*ACCOUNT), [*ACCOUNT], "left_semi")
-    s = x.groupBy("symbol", "date").agg(F.sum("direction").alias("total"), F.count("*").alias("signal_count"))
-    return s.where("total <> 0").select("symbol", "date", F.signum("total").cast("int").alias("direction"), F.abs("total").alias("signal_value"), "signal_count")
+    x = large if selected is None else large.join(selected.select(*by, *ACCOUNT), [*ACCOUNT], "inner" if by else "left_semi")
+    s = x.groupBy(*by, "symbol", "date").agg(F.sum("direction").alias("total"), F.count("*").alias("signal_count"))
+    return s.where("total <> 0").select(*by, "symbol", "date", F.signum("total").cast("int").alias("direction"), F.abs("total").alias("signal_value"), "signal_count")
 
 
 def dense_large_days(daily: DataFrame, prices: DataFrame, sigma: float = 2.0) -> DataFrame:

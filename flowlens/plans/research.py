@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from flowlens.functions import stats
 from flowlens.operators import events as ev
 from flowlens.operators import holdings as ho
-from flowlens.operators import hypothesis as hy
 from flowlens.operators import series as se
 from flowlens.plans.catalog import _CTE, _EVENTS, HORIZONS, TEST_START, TRAIN_END, query, rd
 from flowlens.plans.rankings import _WHOLE, TOP, _pos, day, marks, mdaily, top, whole
@@ -242,45 +241,6 @@ def k8_permutation(t):
     return m.groupBy("symbol", "n", "observed").agg(F.count_if(far).alias("extreme"), rd(F.avg(far.cast("int")), 6).alias("p")).select("symbol", "n", rd(F.col("observed") / 1e4).alias("observed_bps"), "extreme", "p")
 
 
-# ---------------------------------------------------------------- hypothesis jobs
-
-FOLDS = [hy.Fold(f"{y}", f"{y - 1}-12-31", f"{y}-01-01", f"{y}-12-31") for y in range(1997, 2002)]
-
-
-def _scan_sql(f: hy.Fold) -> str:
-    """The scan of contrarian_smart over one fold, as a sub-query."""
-    sel = f"(select symbol, broker from {_pos(f"(date '{f.train_end}' - interval 36 month)", f"date '{f.train_end}'")} where pos <= 20)"
-    fwd = " union all ".join(f'select symbol, date, {h} horizon, (lead("close", {h}) over (partition by symbol order by date) / "close" - 1) * 10000 ret from prices' for h in HORIZONS)
-    falls = """(select symbol, date, "close" / lag("close") over w - 1 r1, "close" / lag("close", 3) over w - 1 r3 from prices window w as (partition by symbol order by date))"""
-    e = f"""(select f.symbol, f.date from {falls} f join (select symbol, date from mdaily semi join {sel} using (symbol, broker) where buy_shares > sell_shares group by all having count(*) >= 3) b on b.symbol = f.symbol and b.date = f.date
-        where r3 is not null and (r1 < -0.02 or r3 < -0.05) and f.date between date '{f.test_start}' and date '{f.test_end}')"""
-    c = f"""(select symbol, horizon, a.n, a.m, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) t, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) d from
-        (select symbol, horizon, avg(ret) m, var_samp(ret) v, count(*) n from ({fwd}) semi join {e} using (symbol, date) where ret is not null group by all having count(*) >= 3) a join
-        (select symbol, horizon, avg(ret) m, var_samp(ret) v, count(*) n from ({fwd}) where ret is not null group by all) b using (symbol, horizon))"""
-    r = f"(select *, least(p * 4, 1) < 0.05 and abs(d) >= 0.2 significant, round(p, 9) p9 from (select *, {stats.erfc_sql('(abs(t)/sqrt(2.0))')} p from {c}))"
-    k = f"(select *, count(*) filter (significant) over (partition by symbol) hits, row_number() over (order by p9, symbol, horizon) k, count(*) over () nt from {r})"
-    return f"(select '{f.label}' run, *, case when hits >= 2 then 'significant' when hits = 1 then 'marginal' else 'none' end conclusion, k <= coalesce(max(k) filter (p9 <= 0.05 * k / nt) over (), 0) rejected from {k})"
-
-
-def market(t):
-    return hy.Market(marks(t), mdaily(t), t.prices)
-
-
-@query("marks mdaily prices", f"select symbol, horizon, n, round(m, 3) mean_bps, round(p, 5) p, significant, conclusion, rejected from {_scan_sql(FOLDS[3])}")
-def l1_l2_l4_scan(t):
-    """Selector, filter, outcome, baseline and test of one strategy over one fold, with the false-discovery rate over all symbols and horizons."""
-    s = hy.scan(market(t), "contrarian_smart", FOLDS[3])
-    return s.select("symbol", "horizon", "n", rd("mean_bps", 3).alias("mean_bps"), rd("p", 5).alias("p"), "significant", "conclusion", "rejected")
-
-
-@query("marks mdaily prices", f""", x as ({" union all ".join(f"select * from {_scan_sql(f)}" for f in FOLDS)}), s as (select run, symbol, max(conclusion <> 'none') hit, max(rejected) fdr, avg(m) > 0 up from x group by all),
-    g as (select run, count(*) n_symbols, avg(cast(hit as int)) sig_rate, count(*) filter (fdr) fdr_stocks, avg(cast(up as int)) us from s group by 1)
-    select run, n_symbols, round(sig_rate, 6) sig_rate, fdr_stocks, round(greatest(us, 1 - us), 6) consistency, sig_rate > 0.05 and fdr_stocks >= 10 and greatest(us, 1 - us) > 0.6 passed from g""")
-def l5_cross_validation(t):
-    g = hy.cross_validated(market(t), "contrarian_smart", FOLDS)
-    return g.select("run", "n_symbols", rd("sig_rate", 6).alias("sig_rate"), "fdr_stocks", rd("consistency", 6).alias("consistency"), "passed")
-
-
 # ---------------------------------------------------------------- signals and returns
 
 @query("rets", """, e as (select symbol, date, ret, exp(sum(ln(greatest(1 + ret, 1e-12))) over (partition by symbol order by date)) eq from rets), d as (select *, greatest(max(eq) over (partition by symbol order by date), 1.0) peak from e)

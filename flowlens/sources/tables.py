@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +82,20 @@ def save_report(df: DataFrame, path: str, formats: tuple[str, ...] = ("csv",)) -
     for f in formats:
         w = df.write.mode("overwrite")
         {"csv": lambda w=w: w.option("header", True).csv(f"{path}.csv"), "parquet": lambda w=w: w.parquet(f"{path}.parquet"), "json": lambda w=w: w.json(f"{path}.json")}[f]()
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables under `spark.checkpoint.dir`, which driver and executors share. Only a session on this machine alone may leave that unset; it then takes a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="flowlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written once as a table that several parts of a job read, so that none computes it again."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
