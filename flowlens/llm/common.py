@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,16 @@ class Scratch:
             _, path = self.paths.pop(id(t))
             self.delete(path)
 
+    def only(self, *tables: DataFrame) -> None:
+        """Delete every table of this folder that none of the given plans reads, and let Spark free what belonged to them."""
+        read = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for t in tables for f in t.inputFiles()}
+        for key, (_, path) in list(self.paths.items()):
+            if path.split(":", 1)[-1].lstrip("/") not in read:
+                del self.paths[key]
+                self.delete(path)
+        gc.collect()
+        self.spark._jvm.System.gc()  # shuffle files go with the plans that are no longer held
+
     def delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -196,6 +196,10 @@ class _Job:
             self.links = sure if self.links is None else self.links.union(sure)
             self.labels = components(self.links, self.scratch, self.n_links)
 
+    def held(self) -> list[DataFrame]:
+        """What later rounds read."""
+        return [t for t in (self.lines, self.links, self.labels, self.texts, self.tested) if t is not None]
+
     def run(self) -> DataFrame:
         """(h, first) for each line: the first occurrence of its component."""
         members = self.posted()
@@ -208,6 +212,7 @@ class _Job:
                 members = self.with_component(members)
             # one order for all lists at first, so that a line meets few leaders; then one for each list; then all across
             self.link(self.across(members) if round_ == 2 else self.led(members, F.lit(0).cast("long") if round_ == 0 else F.xxhash64("key")))
+            self.scratch.only(members, *self.held())
         classes = self.lines.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first"))
         if self.labels is None:
             return self.scratch.keep(classes)
@@ -220,7 +225,9 @@ def _marked(docs: DataFrame) -> DataFrame:
     """(k, n_lines, dropped) for each document with a visible line."""
     job = _Job(docs)
     leading = job.run()
-    marked = job.lines.select("k", "place", "h").join(leading, "h")
+    places = job.scratch.keep(job.lines.select("k", "place", "h"))
+    job.scratch.only(places, leading)
+    marked = places.join(leading, "h")
     repeated = (F.col("first.k") != F.col("k")) | (F.col("first.place") != F.col("place"))
     places = F.array_sort(F.collect_set(F.when(repeated, F.col("place"))))
     return marked.groupBy("k").agg(F.size(F.collect_set("place")).cast("long").alias("n_lines"), places.alias("dropped"))

@@ -266,7 +266,9 @@ class _Job:
         found = self.scratch.keep(smallest.select("cls", "component_id"))
         out = self.docs.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
         component = F.coalesce("component_id", "doc_id")
-        return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        self.scratch.only(out)
+        return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
