@@ -159,11 +159,12 @@ STRATEGIES = {
 # ---------------------------------------------------------------- outcome, baseline, test
 
 
-def compared(e: DataFrame, prices: DataFrame, horizons: tuple[int, ...], draws: int = 10_000, check: int = 200, least: int = 500, keys: tuple[str, ...] = RUN) -> DataFrame:
+def compared(e: DataFrame, prices: DataFrame, horizons: tuple[int, ...], draws: int = 10_000, check: int = 200, least: int = 500, keys: tuple[str, ...] = RUN, settle: bool = True) -> DataFrame:
     """One row for each (keys, symbol, horizon) of symbols with an event (keys, symbol, date, direction): n, mean_bps, base_bps, t, d, p, draws, significant.
 
     Returns after events, turned by their direction, against those of dates that have every horizon. Fewer than three of either: p is 1. Catalyst settles what
     it can: an effect size below 0.2 cannot count (p 1), a Welch p above 0.2 stands; only what is left is drawn, until it is clear (see `permutation.adaptive`).
+    With settle False every test with enough values is drawn.
     """
     returns = se.forward_returns(prices, horizons)
     dates = pm.baseline_dates(prices, horizons)
@@ -178,12 +179,13 @@ def compared(e: DataFrame, prices: DataFrame, horizons: tuple[int, ...], draws:
     enough = (F.col("n") >= 3) & (F.col("bn") >= 3)
     c = c.withColumn("t", F.when(enough, F.coalesce(stats.welch_t(*args), F.lit(0.0))).otherwise(0.0)).withColumn("d", F.when(enough, F.coalesce(stats.cohens_d(*args), F.lit(0.0))).otherwise(0.0))
     welch = F.when(F.col("t") == 0, F.lit(1.0)).otherwise(stats.normal_p(F.col("t")))
-    c = c.withColumn("settled", F.when(~enough | (F.abs("d") < 0.2), F.lit(1.0)).when(welch > 0.2, welch))
+    small = F.lit(settle) & (F.abs("d") < 0.2)
+    c = c.withColumn("settled", F.when(~enough | small, F.lit(1.0)).when(F.lit(settle) & (welch > 0.2), welch))
     alpha = 0.05 / len(horizons)
     open_ = c.where("settled is null").select(*each, "n", F.col("m").alias("observed"))
     drawn = pm.tested(open_, population, tuple(each), draws, alpha, check, least).select(*each, "p", "draws")
     c = c.join(drawn, each, "left").withColumn("p", F.coalesce("settled", "p"))
-    significant = F.col("settled").isNull() & (F.col("p") < alpha)
+    significant = F.col("settled").isNull() & (F.col("p") < alpha) & (F.abs("d") >= 0.2)
     return c.select(*each, "n", F.col("m").alias("mean_bps"), F.col("bm").alias("base_bps"), "t", "d", "p", F.coalesce("draws", F.lit(0)).alias("draws"), significant.alias("significant"))
 
 

@@ -57,3 +57,11 @@ def spread_out(events: DataFrame, keys: tuple[str, ...], gap: int) -> DataFrame:
     days = F.array_sort(F.collect_set("date"))
     pick = lambda kept, d: F.when((F.size(kept) == 0) | (F.datediff(d, F.element_at(kept, -1)) >= gap), F.concat(kept, F.array(d))).otherwise(kept)
     return events.groupBy(*keys).agg(days.alias("days")).select(*keys, F.explode(F.aggregate("days", F.array().cast("array<date>"), pick)).alias("date"))
+
+
+def filled_closes(prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """(symbol, date, close) for the dates of prices and those of `dates` (symbol, date), each with the last close known by then; dates before the first close are left out."""
+    asked = dates.select("symbol", "date", F.lit(None).cast("double").alias("close"))
+    both = prices.select("symbol", "date", "close").unionByName(asked).groupBy("symbol", "date").agg(F.max("close").alias("close"))
+    known = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("close", known).where(F.col("close").isNotNull())

@@ -140,9 +140,9 @@ _CHAIN = "select s_suppkey k, s_suppkey // 2 nxt from supplier where s_suppkey >
 
 @query("", f"with recursive m as ({_CHAIN}), c(k, root, step) as (select k, nxt, 1 from m union all select c.k, m.nxt, step + 1 from c join m on c.root = m.k) select k, arg_max(root, step) root from c group by k")
 def b6_successor_closure(t):
-    m = t.raw("supplier").where("s_suppkey > 1").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 2).cast("long").alias("nxt"))
-    chains = "with recursive c(k, root, step) as (select k, nxt, 1 from {m} union all select c.k, m.nxt, c.step + 1 from c join {m} m on c.root = m.k) select k, max_by(root, step) root from c group by k"
-    return t.spark.sql(chains, m=m)
+    """Chains of codes followed to their ends by doubling; cycles raise."""
+    m = t.raw("supplier").where("s_suppkey > 1").select(F.col("s_suppkey").alias("key"), F.floor(F.col("s_suppkey") / 2).cast("long").alias("to"))
+    return tb.closure(m).select(F.col("key").alias("k"), F.col("to").alias("root"))
 
 
 @query("daily", "select symbol, broker, date, case when buy_amount > 1.1 * sell_amount then 'long' when sell_amount > 1.1 * buy_amount then 'short' else 'neutral' end side, round(buy_amount / 1e8, 8) buy_yi from daily where not starts_with(symbol, 'Brand#1')")
@@ -476,4 +476,4 @@ def u3_u4_invariants(t):
 
 
 # the rest of the catalogue registers itself
-from flowlens.plans import inference, rankings, research, stored  # noqa: E402, F401
+from flowlens.plans import inference, rankings, research, stored, studies  # noqa: E402, F401

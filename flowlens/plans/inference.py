@@ -117,7 +117,7 @@ def _events_sql(f: hy.Fold) -> str:
         where r3 is not null and (r1 < -0.02 or r3 < -0.05) and f.date between date '{f.test_start}' and date '{f.test_end}'"""
 
 
-def compared_sql(events: str, keys: str = "run", n_h: int = len(HORIZONS)) -> str:
+def compared_sql(events: str, keys: str = "run", n_h: int = len(HORIZONS), settle: bool = True) -> str:
     """Common table expressions down to `tests`, as `hypothesis.concluded` gives them, of events (keys, symbol, date, direction)."""
     k, on = f"{keys}, symbol, horizon", f"({keys}, symbol, horizon)"
     alpha = 0.05 / n_h
@@ -129,13 +129,13 @@ def compared_sql(events: str, keys: str = "run", n_h: int = len(HORIZONS)) -> st
         case when coalesce(n, 0) >= 3 and coalesce(bn, 0) >= 3 then coalesce((m - bm) / nullif(sqrt(((n - 1) * v + (bn - 1) * bv) / (n + bn - 2)), 0), 0) else 0 end d
         from (select distinct {keys}, symbol from e) cross join (select unnest([{", ".join(map(str, HORIZONS))}]) horizon) left join a using {on} left join b using (symbol, horizon)),
     w as (select *, case when t = 0 then 1 else {stats.erfc_sql('(abs(t)/sqrt(2.0))')} end wp from c),
-    st as (select *, case when n < 3 or bn < 3 or abs(d) < 0.2 then 1.0 when wp > 0.2 then wp end settled from w),
+    st as (select *, case when n < 3 or bn < 3 {"or abs(d) < 0.2 " if settle else ""}then 1.0 {"when wp > 0.2 then wp " if settle else ""}end settled from w),
     dr as (select {k}, n, m, q, ret, row_number() over (partition by {k}, q order by {pm.hash_sql("i", "q")}, i) kk from st join pop using (symbol, horizon) cross join (select unnest(range({DRAWS})) q) where settled is null),
     sm as (select {k}, q, {_FAR.format("avg(ret)", "any_value(m)")} far from dr where kk <= n group by all),
     cu as (select *, sum(cast(far as int)) over (partition by {k} order by q) hits from sm),
-    stop as (select {k}, min(q + 1) filter ((q + 1) % {CHECK} = 0 and (hits > (q + 1) * {4 * alpha!r} or (q + 1 >= {LEAST} and hits <= 1))) stop_at from cu group by all),
+    stop as (select {k}, min(q + 1) filter ({str(settle).lower()} and (q + 1) % {CHECK} = 0 and (hits > (q + 1) * {4 * alpha!r} or (q + 1 >= {LEAST} and hits <= 1))) stop_at from cu group by all),
     pr as (select {k}, hits / (q + 1) p, q + 1 draws from cu join stop using {on} where q + 1 = coalesce(stop_at, {DRAWS})),
-    te as (select {k}, n, m, d, coalesce(settled, p) p, coalesce(draws, 0) draws, settled is null and p < {alpha!r} significant, round(coalesce(settled, p), 9) p9 from st left join pr using {on}),
+    te as (select {k}, n, m, d, t, coalesce(settled, p) p, coalesce(draws, 0) draws, settled is null and p < {alpha!r} and abs(d) >= 0.2 significant, round(coalesce(settled, p), 9) p9 from st left join pr using {on}),
     rk as (select *, count(*) filter (significant) over (partition by {keys}, symbol) hits, row_number() over (partition by {keys} order by p9, symbol, horizon) kk, count(*) over (partition by {keys}) nt from te),
     tests as (select *, case when hits >= 2 then 'significant' when hits = 1 then 'marginal' else 'no_effect' end conclusion, kk <= coalesce(max(kk) filter (p9 <= 0.05 * kk / nt) over (partition by {keys}), 0) rejected from rk)"""
 

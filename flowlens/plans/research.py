@@ -258,21 +258,6 @@ def m9_monthly(t):
     return t.rets.groupBy("symbol", F.date_format("date", "yyyy-MM").alias("month")).agg(rd((F.exp(F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(1e-12))))) - 1) * 100, 2).alias("ret_pct"))
 
 
-@query("mdaily prices", """, p as (select symbol, date, lead("close") over (partition by symbol order by date) / "close" - 1 nr from prices), l as (select m.*, nr, net > mean + 2 * std or net < mean - 2 * std big from (select *, avg(net) over w mean, stddev_samp(net) over w std from (select *, buy_shares - sell_shares net from mdaily) window w as (partition by symbol, broker)) m join p on p.symbol = m.symbol and p.date = m.date where std > 0 and nr is not null),
-    g as (select symbol, broker, count(*) filter (big) n1, count(*) filter (not big) n2, avg(nr) filter (big) m1, avg(nr) filter (not big) m2, var_samp(nr) filter (big) v1, var_samp(nr) filter (not big) v2 from l group by all)
-    select symbol, broker, n1 large_days, round((m1 - m2) * 10000, 4) spread_bps, round((m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0), 5) t, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) > 1.96 significant from g where n1 >= 3 and n2 >= 3""")
-def m1_large_day_spread(t):
-    """Next-bar return after a broker's large days less that after its other trade days."""
-    w = W.partitionBy(*ACCOUNT)
-    p = t.prices.select("symbol", "date", (F.lead("close").over(se.by_symbol()) / F.col("close") - 1).alias("nr"))
-    d = mdaily(t).withColumn("net", net()).withColumn("m", F.avg("net").over(w)).withColumn("s", F.stddev_samp("net").over(w)).where("s > 0").join(p, ["symbol", "date"]).where("nr is not null")
-    d = d.withColumn("big", F.abs(F.col("net") - F.col("m")) > 2 * F.col("s"))
-    of = lambda f, big: f(F.when(F.col("big") == big, F.col("nr")))
-    g = d.groupBy(*ACCOUNT).agg(F.count_if("big").alias("n1"), F.count_if(~F.col("big")).alias("n2"), *[of(f, b).alias(f"{n}{k}") for n, f in (("m", F.avg), ("v", F.var_samp)) for k, b in ((1, True), (2, False))]).where("n1 >= 3 and n2 >= 3")
-    tt = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")))
-    return g.select(*ACCOUNT, F.col("n1").alias("large_days"), rd((F.col("m1") - F.col("m2")) * 10000).alias("spread_bps"), rd(tt, 5).alias("t"), (tt > 1.96).alias("significant"))
-
-
 @query("daily prices", f"select symbol, round(avg(v), 2) traded_value, avg(v) >= 1e5 liquid from (select d.symbol, d.date, sum(buy_shares) * max(\"close\") v from daily d join prices p on p.symbol = d.symbol and p.date = d.date where d.date <= date '{TRAIN_END}' group by all) group by 1")
 def m4_liquidity(t):
     v = t.daily.where(F.col("date") <= day(TRAIN_END)).join(t.prices.select("symbol", "date", "close"), ["symbol", "date"]).groupBy("symbol", "date").agg((F.sum("buy_shares") * F.max("close")).alias("v"))

@@ -99,3 +99,34 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df written once as a table that several parts of a job read, so that none computes it again."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def closure(mapping: DataFrame) -> DataFrame:
+    """Chains of a mapping (key, to) followed to their ends: (key, to), no `to` being a key. A key that leads back to itself raises ValueError.
+
+    Each round doubles the steps taken, so that a chain of n links takes about log2(n) joins; each round is written, so that none is computed again. More rounds than log2 of the rows mean a cycle.
+    """
+    spark = mapping.sparkSession
+    folder, r = workspace(spark, "closure"), 0
+    m = stored(mapping.select("key", "to"), folder, "0")
+    most = max(m.count(), 1).bit_length() + 1
+    while True:
+        if not m.where("key = to").isEmpty():
+            raise ValueError("a key leads back to itself")
+        if m.join(m.select(F.col("key").alias("to")), "to", "left_semi").isEmpty():
+            return m
+        r += 1
+        if r > most:
+            raise ValueError("a key leads back to itself")
+        on = m.select(F.col("key").alias("to"), F.col("to").alias("further"))
+        m = stored(m.join(on, "to", "left").select("key", F.coalesce("further", "to").alias("to")), folder, str(r))
+
+
+def day_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """All day files that a pattern matches, read with a given schema, so that none is opened to find it."""
+    return spark.read.schema(schema).parquet(pattern)
+
+
+def every_symbol(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The tables of all symbols under one folder (symbol=.../), each row with its symbol as text, whatever it looks like."""
+    return spark.read.schema(f"{schema}, symbol string").parquet(root)
