@@ -231,3 +231,15 @@ def cross_validated(m: Market, name: str, folds: list[Fold], passing: int = 3, *
     """metrics of every fold, in one plan, with the verdict over all: enough folds pass."""
     g = metrics(scan(m, name, folds, **options))
     return g.withColumn("overall", F.count_if("passed").over(W.partitionBy()) >= passing)
+
+
+def exported(m: Market, name: str, fold: Fold, hold_days: int = 0, draws: int = 10_000, check: int = 200, least: int = 500, **params) -> DataFrame:
+    """Events (symbol, date, direction) of the symbols whose conclusion is significant, one a date; with hold_days, those that fall within the days held after an earlier one are left out."""
+    s = STRATEGIES[name]
+    p, runs = {**s.params, **params}, runs_of(m, [fold])
+    e = s.events(m, runs, s.select(m, runs, p), p).join(F.broadcast(runs.select("run", "test_start", "test_end")), "run").where(F.col("date").between(F.col("test_start"), F.col("test_end")))
+    good = concluded(compared(e, m.prices, s.horizons, draws, check, least)).where("conclusion = 'significant'").select("symbol").distinct()
+    e = e.join(good, "symbol", "left_semi").groupBy("symbol", "date").agg(F.min("direction").alias("direction"))
+    if hold_days:
+        e = e.join(se.spread_out(e, ("symbol",), hold_days), ["symbol", "date"], "left_semi")
+    return e

@@ -162,7 +162,7 @@ def user_statistic(df: DataFrame, keys: tuple[str, ...], order: str, value: str,
     """
     schema = df.select(*keys).schema.add("observed", "double").add("n_extreme", "long").add("p", "double")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         v = pdf.sort_values(order)[value].to_numpy(float)
         observed = float(statistic(v[None, :])[0])
         far, places = 0, np.arange(1, len(v) + 1)

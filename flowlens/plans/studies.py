@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from flowlens.operators import events as ev
 from flowlens.operators import fifo as ff
 from flowlens.operators import holdings as ho
+from flowlens.operators import hypothesis as hy
 from flowlens.operators import screening as sc
 from flowlens.operators import series as se
 from flowlens.operators import smart_money as sm
-from flowlens.plans.catalog import HORIZONS, query, rd
-from flowlens.plans.inference import DRAWS, compared_sql
-from flowlens.plans.rankings import _CENTS, _period, marks, mdaily
+from flowlens.operators import strength as st
+from flowlens.plans.catalog import _CTE, _NEEDS, HORIZONS, TRAIN_END, query, rd
+from flowlens.plans.inference import DRAWS, compared_sql, market
+from flowlens.plans.rankings import _CENTS, TOP, _period, marks, mdaily, top
 from flowlens.sources import tables as tb
 
 # ---------------------------------------------------------------- snapshots, filled closes
@@ -43,32 +45,34 @@ def d1_d4_filled_fifo(t):
 
 # ---------------------------------------------------------------- smart-money events and their study
 
-#: Scaled to the tables, which have 25 firms with few large trades: twelve brokers, ten days of history, one standard deviation.
-_K, _HISTORY, _SIGMA = 12, 10, 1.0
+#: Scaled to the tables, whose 25 firms trade in even lots: twelve brokers, 60 days of history, trades from 1.2 and events from 1.5 standard deviations.
+_K, _HISTORY, _SIGMA, _LARGE = 12, 60, 1.5, 1.2
+_CTE["slarge"] = _CTE["mlarge"].replace("mlarge as", "slarge as").replace("abs(z) > 2", f"abs(z) > {_LARGE}")
+_NEEDS["slarge"] = ["mdaily"]
 _TURNED = """sums as (select symbol, date, sum(net) over w sm, count(*) over w c from {net} window w as (partition by symbol order by date rows 4 preceding)),
     zs as (select symbol, date, (sm - avg(sm) over w) / nullif(stddev_samp(sm) over w, 0) z from sums where c = 5 window w as (partition by symbol)),
     ds as (select symbol, date, z, case when z > 0 then 1 else -1 end direction from zs where abs(z) > {sigma})
     select symbol, date, round(z, 5) signal_value, direction from (select *, lag(direction) over (partition by symbol order by date) before from ds) where before <> direction"""
 _SMART = f"""cm as (select *, sum(realized_pnl) over (partition by symbol, broker order by date range between interval 1094 days preceding and current row) + unrealized_pnl total_pnl from marks),
     srk as (select symbol, broker, date, row_number() over (partition by symbol, date order by {_CENTS}) pos from cm), hd as (select symbol, date, row_number() over (partition by symbol order by date) n from (select distinct symbol, date from marks)),
-    snet as (select l.symbol, l.date, sum(direction) net from mlarge l join srk on srk.symbol = l.symbol and srk.broker = l.broker and srk.date = l.date join hd on hd.symbol = l.symbol and hd.date = l.date where pos <= {_K} and n > {_HISTORY} group by all)"""
+    snet as (select l.symbol, l.date, sum(direction) net from slarge l join srk on srk.symbol = l.symbol and srk.broker = l.broker and srk.date = l.date join hd on hd.symbol = l.symbol and hd.date = l.date where pos <= {_K} and n > {_HISTORY} group by all)"""
 _FINAL = f"fr as (select *, row_number() over (partition by symbol order by {_CENTS}) pos, count(*) over (partition by symbol) n from (select symbol, broker, sum(realized_pnl) realized_pnl, arg_max(unrealized_pnl, date) unrealized_pnl, sum(realized_pnl) + arg_max(unrealized_pnl, date) total_pnl from marks group by all))"
 _PLACEBO = f"""{_FINAL}, dn as (select symbol, broker from (select *, row_number() over (partition by symbol order by md5(concat_ws('|', '42', symbol, broker)), broker) a from fr where pos > {_K} and n >= {2 * _K}) where a <= {_K}),
-    pnet as (select symbol, date, net from (select *, row_number() over (partition by symbol order by date) n from (select symbol, date, sum(direction) net from mlarge semi join dn using (symbol, broker) group by all)) where n > {_HISTORY})"""
+    pnet as (select symbol, date, net from (select *, row_number() over (partition by symbol order by date) n from (select symbol, date, sum(direction) net from slarge semi join dn using (symbol, broker) group by all)) where n > {_HISTORY})"""
 
 
 def _made(t):
     m = tb.stored(marks(t), tb.workspace(t.spark, "study"), "marks")
-    large = ev.large_trades(mdaily(t))
+    large = ev.large_trades(mdaily(t), _LARGE)
     return sm.smart_events(m, large, _K, 5, _SIGMA, 3, _HISTORY), sm.placebo_events(m, large, _K, 5, _SIGMA, _HISTORY)
 
 
-@query("marks mlarge", f", {_SMART}, {_TURNED.format(net='snet', sigma=_SIGMA)}")
+@query("marks slarge", f", {_SMART}, {_TURNED.format(net='snet', sigma=_SIGMA)}")
 def g3_smart_money_events(t):
     return _made(t)[0].withColumn("signal_value", rd("signal_value", 5))
 
 
-@query("marks mlarge", f", {_PLACEBO}, {_TURNED.format(net='pnet', sigma=_SIGMA)}")
+@query("marks slarge", f", {_PLACEBO}, {_TURNED.format(net='pnet', sigma=_SIGMA)}")
 def g4_placebo_events(t):
     return _made(t)[1].withColumn("signal_value", rd("signal_value", 5))
 
@@ -82,7 +86,7 @@ _STUDY_EVENTS = f"""select symbol, side, date, 1 direction from (select *, count
     union all select symbol, date, 'placebo' from ({_TURNED.format(net='pnet', sigma=_SIGMA).replace('sums as', 'with sums as', 1)}))) where c >= case when side = 'placebo' then 10 else 3 end"""
 
 
-@query("marks mlarge prices", f""", {_SMART}, {_PLACEBO}, {compared_sql(_STUDY_EVENTS, "side", settle=False)}, hs as (select symbol, max(h) hits from (select symbol, side, count(*) filter (significant) h from tests where side <> 'placebo' group by all) group by 1),
+@query("marks slarge prices", f""", {_SMART}, {_PLACEBO}, {compared_sql(_STUDY_EVENTS, "side", settle=False)}, hs as (select symbol, max(h) hits from (select symbol, side, count(*) filter (significant) h from tests where side <> 'placebo' group by all) group by 1),
     ps as (select symbol, min(p) < 0.05 ps from tests where side = 'placebo' and n >= 5 group by 1)
     select symbol, side, horizon, n, round(m, 3) mean_bps, round(t, 5) t, round(d, 5) d, round(p, 6) p, significant, case when h.hits >= 2 then 'significant' when h.hits = 1 then 'marginal' else 'no_effect' end conclusion, coalesce(ps, false) and h.hits >= 1 placebo_significant
     from tests join hs h using (symbol) left join ps using (symbol) where side <> 'placebo' and n >= 3""")
@@ -162,3 +166,46 @@ def m5_screening_funnel(t):
 @query("mdaily prices", f", {_DENSE}, {_FUNNEL} co as (select stage, reason, count(*) n from re group by all) select stage, reason, n from co")
 def m5_funnel_counts(t):
     return funnel(t).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- strength of signals, export
+
+_ADDED = f"""{TOP}, ad as (select symbol, date, count(*) signal_count, sum(buy_amount) amount from marks semi join top using (symbol, broker) where net > 0 and buy_shares > sell_shares group by all),
+    ch as (select symbol, date, sum(buy_shares + sell_shares) / (abs(sum(buy_shares - sell_shares)) + 1) churn from marks semi join top using (symbol, broker) group by all),
+    ae as (select ad.symbol, ad.date, signal_count, amount, coalesce(churn, 1.0) churn, count(*) over (partition by ad.symbol order by ad.date range between interval 7 days preceding and current row) persistence from ad left join ch on ch.symbol = ad.symbol and ch.date = ad.date)"""
+_RET = " union all ".join(f'select symbol, date, {h} horizon, (lead("close", {h}) over (partition by symbol order by date) / "close" - 1) * 10000 ret from prices' for h in HORIZONS)
+_STRENGTH = f"""{_ADDED}, mv as (select 'signal_count' metric, symbol, date, cast(signal_count as double) raw from ae union all select 'log_churn', symbol, date, ln(churn) from ae where churn > 0 union all select 'log_amount', symbol, date, ln(amount + 1) from ae union all select 'persistence', symbol, date, cast(persistence as double) from ae),
+    qa as (select metric, quantile_cont(raw, 0.01) lo, quantile_cont(raw, 0.99) hi from mv group by 1), cv as (select metric, symbol, date, least(greatest(raw, lo), hi) v from mv join qa using (metric)),
+    qb as (select metric, quantile_cont(v, 0.0) e0, quantile_cont(v, 1.0 / 3) e1, quantile_cont(v, 2.0 / 3) e2, quantile_cont(v, 1.0) e3 from cv group by 1),
+    qc as (select metric, list_sort(list_distinct([e0, e1, e2, e3])) es, e0, e3 from qb), ed as (select metric, case when len(es) >= 3 then es else [e0, e0 + (e3 - e0) / 2, e3 + 0.001] end es from qc),
+    gv as (select cv.*, es, len(list_filter(es[2:], lambda e: e < v)) grp from cv join ed using (metric)),
+    vo as (select symbol, stddev_samp(r) vol from (select symbol, "close" / lag("close") over (partition by symbol order by date) - 1 r from prices) group by 1 having count(r) > 30 and stddev_samp(r) > 0),
+    rr as (select a.symbol, a.date, a.horizon, coalesce((a.ret - coalesce(b.ret, 0)) / (vol * sqrt(a.horizon) * 10000), a.ret - coalesce(b.ret, 0)) ret from ({_RET}) a left join (select * from ({_RET}) where symbol = 'Brand#11') b on b.date = a.date and b.horizon = a.horizon left join vo on vo.symbol = a.symbol where a.ret is not null),
+    xx as (select metric, horizon, grp, symbol, date, v, ret from gv join rr using (symbol, date)),
+    zz as (select x.*, c.v z from xx x left join (select symbol, date, v from cv where metric = 'signal_count') c using (symbol, date)),
+    rk as (select metric, horizon, rank() over (partition by metric, horizon order by v) + (count(*) over (partition by metric, horizon, v) - 1) / 2 rx, rank() over (partition by metric, horizon order by ret) + (count(*) over (partition by metric, horizon, ret) - 1) / 2 ry, rank() over (partition by metric, horizon order by z) + (count(*) over (partition by metric, horizon, z) - 1) / 2 rz from zz),
+    sp as (select metric, horizon, count(*) n, 1 - 6 * sum(power(rx - ry, 2)) / (count(*) * (power(count(*), 2) - 1)) xy, 1 - 6 * sum(power(rx - rz, 2)) / (count(*) * (power(count(*), 2) - 1)) xz, 1 - 6 * sum(power(ry - rz, 2)) / (count(*) * (power(count(*), 2) - 1)) yz from rk group by all having count(*) >= 10),
+    gr as (select ed.metric, ed.es, u.g grp, h.horizon from ed, unnest(range(len(es) - 1)) u(g), (select unnest([{", ".join(map(str, HORIZONS))}]) horizon) h),
+    gs as (select gr.*, coalesce(c.n, 0) n, coalesce(m.mean, 0) mean from gr left join (select metric, grp, count(*) n from gv group by all) c using (metric, grp) left join (select metric, grp, horizon, avg(ret) mean from xx group by all) m using (metric, grp, horizon)),
+    gm as (select *, coalesce(mean < lag(mean) over (partition by metric, horizon order by grp), false) falls from gs)"""
+
+
+@query("marks prices", f""", {_STRENGTH} select metric, cast(horizon as int) horizon, cast(grp as int) grp, round(es[grp + 1], 6) lo, round(es[grp + 2], 6) hi, gm.n n, round(mean, 6) mean, not bool_or(falls) over w monotonic, round(coalesce(xy, 0), 6) spearman,
+    round(coalesce(case when metric = 'signal_count' then xy when (1 - xz * xz) * (1 - yz * yz) > 0 then (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) else 0 end, 0), 6) partial, round(arg_max(mean, grp) over w - arg_min(mean, grp) over w, 6) top_vs_bottom
+    from gm left join sp using (metric, horizon) window w as (partition by metric, horizon)""")
+def k18_l8_strength(t):
+    """Sizes of the signals of brokers adding to what they hold, against excess returns by deviation. Brand#11 stands for the market; one broker is enough for a signal here."""
+    folder = tb.workspace(t.spark, "strength-events")
+    m, prices = tb.stored(marks(t), folder, "marks"), tb.stored(t.prices, folder, "prices")
+    e = tb.stored(ho.adding(m, top(t, m), 1), folder, "events")
+    x = st.strength(st.metrics_of(e), st.excess_returns(e, prices, HORIZONS, "Brand#11"), "signal_count")
+    return x.select("metric", "horizon", "grp", rd("lo", 6).alias("lo"), rd("hi", 6).alias("hi"), "n", rd("mean", 6).alias("mean"), "monotonic", rd("spearman", 6).alias("spearman"), rd("partial", 6).alias("partial"), rd("top_vs_bottom", 6).alias("top_vs_bottom"))
+
+
+_EXPORT_FOLD = hy.Fold("all", TRAIN_END, "1999-07-01", "2001-11-04")
+
+
+@query()
+def l7_event_export(t):
+    """Events of the significant symbols of a scan, none within ten days after one that counts. No twin: which symbols are significant is drawn with 10,000 draws."""
+    return hy.exported(market(t), "contrarian_smart", _EXPORT_FOLD, 10)
