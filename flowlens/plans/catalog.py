@@ -476,4 +476,4 @@ def u3_u4_invariants(t):
 
 
 # the rest of the catalogue registers itself
-from flowlens.plans import inference, rankings, research, stored, studies  # noqa: E402, F401
+from flowlens.plans import inference, rankings, reports, research, stored, studies  # noqa: E402, F401
