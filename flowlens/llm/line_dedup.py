@@ -161,10 +161,12 @@ class _Job:
         pair = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & _likely("a", "b")
         x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
         y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
+        self.scratch.only(x, y, *self.held())
         self.fetch(x.select(F.col("h_a").alias("a"), F.col("h_a").alias("b")).union(y.select("h_b", "h_b")))
         # 32 bits a shingle; one collision of hashes more or less is left to the exact test that follows
         sets = self.scratch.keep(self.texts.select("h", F.array_distinct(F.transform(_parts(F.col("line")), lambda z: F.hash(z))).alias("set")))
         x, y = (self.scratch.keep(df.join(side(sets, e), f"h_{e}")) for df, e in ((x, "a"), (y, "b")))
+        self.scratch.only(x, y, *self.held())
         sizes = F.least(F.size("set_a"), F.size("set_b")) >= SIMILARITY * F.greatest(F.size("set_a"), F.size("set_b")) - 2
         enough = sizes & ((1 + SIMILARITY) * F.size(F.array_intersect("set_a", "set_b")) >= SIMILARITY * (F.size("set_a") + F.size("set_b")) - 2)
         return x.join(y, pair & first & enough).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
@@ -208,6 +210,7 @@ class _Job:
                 members = self.open_lists(members.select("key", "h", "m0", "m1", "n", "every"))
                 if members.isEmpty():
                     break
+                self.scratch.only(members, *self.held())
             else:
                 members = self.with_component(members)
             # one order for all lists at first, so that a line meets few leaders; then one for each list; then all across
