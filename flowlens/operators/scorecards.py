@@ -65,3 +65,59 @@ def composite(stability: DataFrame, marks: DataFrame, final: DataFrame, daily: D
     part = (F.col("per_share") - low) / F.when(high > low, high - low).otherwise(1.0)
     score = F.when(F.col("stable") & (F.col("lead") > 0), 0.3).otherwise(0.0) + 0.4 * F.col("win_rate") + 0.3 * part
     return x.select(*ACCOUNT, "lead", "stable", "win_rate", "months", "total_pnl", "per_share", score.alias("score"))
+
+
+def execution_alpha(matches: DataFrame, prices: DataFrame) -> DataFrame:
+    """(symbol, broker, trades, execution_alpha): return of each closed trade less that of closes over the same days, weighted by the value opened."""
+    p = prices.select("symbol", "date", "close")
+    is_long = F.col("buy_date") < F.col("sell_date")
+    x = matches.withColumn("is_long", is_long).withColumn("opened", F.least("buy_date", "sell_date")).withColumn("closed", F.greatest("buy_date", "sell_date"))
+    x = x.join(p.select("symbol", F.col("date").alias("opened"), F.col("close").alias("c0")), ["symbol", "opened"]).join(p.select("symbol", F.col("date").alias("closed"), F.col("close").alias("c1")), ["symbol", "closed"])
+    trade = F.when(F.col("is_long"), F.col("sell_price") / F.col("buy_price") - 1).otherwise(1 - F.col("buy_price") / F.col("sell_price"))
+    gap = trade - F.when(F.col("is_long"), 1).otherwise(-1) * (F.col("c1") / F.col("c0") - 1)
+    value = F.col("shares") * F.when(F.col("is_long"), F.col("buy_price")).otherwise(F.col("sell_price"))
+    return x.groupBy(*ACCOUNT).agg(F.count("*").alias("trades"), F.try_divide(F.sum(gap * value), F.sum(value)).alias("execution_alpha"))
+
+
+def scorecard(daily: DataFrame, final: DataFrame, execution: DataFrame, timing: DataFrame, permuted: DataFrame, days: int = 20, volume: int = 1000) -> DataFrame:
+    """One row for each account with enough days and shares: direction, profit, execution alpha, raw timing and its p, what the timing says, and whether the account is among the best or to be read the other way round.
+
+    Best: a profit, execution and timing above 0, p below 0.05. Contrarian: timing below 0 with p below 0.05. Accounts without a closed trade have an execution alpha of 0.
+    """
+    x = timing.where((F.col("days") >= days) & (F.col("volume") >= volume)).select(*ACCOUNT, "days", "volume", F.col("raw").alias("timing_alpha"))
+    held = daily.groupBy(*ACCOUNT).agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("held"))
+    x = x.join(held, [*ACCOUNT]).join(final.select(*ACCOUNT, "total_pnl"), [*ACCOUNT], "left").na.fill(0.0, ["total_pnl"]).join(execution, [*ACCOUNT], "left").na.fill(0.0, ["execution_alpha"]).na.fill(0, ["trades"]).join(permuted.select(*ACCOUNT, "p"), [*ACCOUNT])
+    direction = F.when(F.col("held") > 0, "long").when(F.col("held") < 0, "short").otherwise("neutral")
+    sure, ahead = F.col("p") < 0.05, F.col("timing_alpha") > 0
+    says = F.when(sure & ahead, "leads").when(sure & (F.col("timing_alpha") < 0), "misleads").otherwise("not significant")
+    best = (F.col("total_pnl") > 0) & sure & ahead & (F.col("execution_alpha") > 0)
+    listed = F.when(best, "best").when(sure & (F.col("timing_alpha") < 0), "contrarian").otherwise("none")
+    return x.select(*ACCOUNT, "days", "volume", direction.alias("direction"), "total_pnl", "execution_alpha", "trades", "timing_alpha", "p", says.alias("timing"), listed.alias("listed"))
+
+
+def accumulators(daily: DataFrame, start, end, k: int = 20) -> DataFrame:
+    """The k brokers of each symbol that bought most shares net within [start, end]: (symbol, broker, net, buy_vwap, pos)."""
+    g = daily.where(F.col("date").between(start, end)).groupBy(*ACCOUNT).agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("net"), F.try_divide(F.sum("buy_amount"), F.sum("buy_shares")).alias("buy_vwap")).where("net > 0")
+    return g.withColumn("pos", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("net"), "broker"))).where(F.col("pos") <= k)
+
+
+def follow_up(daily: DataFrame, chosen: DataFrame, after, until) -> DataFrame:
+    """What accumulators did on each trade day after their window: bought, sold or stood even; accounts without a trade then have one row without a date."""
+    d = daily.where((F.col("date") > after) & (F.col("date") <= until)).select(*ACCOUNT, "date", (F.col("buy_shares") - F.col("sell_shares")).alias("traded"))
+    x = chosen.select(*ACCOUNT, "net").join(d, [*ACCOUNT], "left")
+    return x.withColumn("action", F.when(F.col("date").isNull(), "none").when(F.col("traded") > 0, "buy").when(F.col("traded") < 0, "sell").otherwise("even"))
+
+
+def movers(daily: DataFrame, after, until, k: int = 10) -> DataFrame:
+    """The k brokers with the largest and the k with the smallest net of each symbol and day."""
+    w = W.partitionBy("symbol", "date")
+    x = daily.where((F.col("date") > after) & (F.col("date") <= until)).select(*ACCOUNT, "date", (F.col("buy_shares") - F.col("sell_shares")).alias("net"), (F.col("buy_amount") - F.col("sell_amount")).alias("net_amount"))
+    x = x.withColumn("top", F.row_number().over(w.orderBy(F.desc("net"), "broker"))).withColumn("bottom", F.row_number().over(w.orderBy("net", "broker")))
+    side = F.when(F.col("top") <= k, "buyers").when(F.col("bottom") <= k, "sellers")
+    return x.select(*ACCOUNT, "date", "net", "net_amount", side.alias("side")).where("side is not null")
+
+
+def marked(chosen: DataFrame, closes: DataFrame) -> DataFrame:
+    """Open profit of accumulators at a close (symbol, close), from the mean price they bought at."""
+    x = chosen.where("buy_vwap > 0").join(closes, "symbol")
+    return x.select(*ACCOUNT, "net", "buy_vwap", ((F.col("close") - F.col("buy_vwap")) * F.col("net")).alias("open_pnl"), (F.col("close") / F.col("buy_vwap") - 1).alias("open_return"))

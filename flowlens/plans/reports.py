@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from flowlens.operators import backtest as bt
 from flowlens.operators import events as ev
 from flowlens.operators import fifo as ff
+from flowlens.operators import permutation as pm
 from flowlens.operators import scorecards as so
 from flowlens.operators import screening as sc
 from flowlens.operators import smart_money as sm
 from flowlens.plans.catalog import HORIZONS, _EVENTS, query, rd
-from flowlens.plans.rankings import marks, mdaily
+from flowlens.plans.inference import _K4, DRAWS
+from flowlens.plans.rankings import day, marks, mdaily
 from flowlens.plans.studies import _DENSE, _FINAL, _W, WINDOWS
 from flowlens.sources import tables as tb
 
@@ -163,3 +165,56 @@ def n7_composite_score(t):
     m, d = tb.stored(marks(t), folder, "marks"), tb.stored(mdaily(t), folder, "daily")
     x = so.composite(so.lead_stability(d, t.prices), m, sm.final_ranking(m), d)
     return x.select("symbol", "broker", rd("win_rate", 6).alias("win_rate"), "months", rd("per_share", 6).alias("per_share"), rd("score", 6).alias("score"))
+
+
+_CARD = _K4.rsplit("select symbol, broker, round(any_value(seen)", 1)[0].replace("having count(*) >= 20", "having count(*) >= 1")
+_EXEC = """ot as (select b.symbol, b.broker, least(b.b, s.s) - greatest(b.b - b.buy_shares, s.s - s.sell_shares) shares, least(b.date, s.date) opened, greatest(b.date, s.date) closed, b.date < s.date il, b.buy_amount / b.buy_shares bp, s.sell_amount / s.sell_shares sp
+    from mcum b join mcum s on b.symbol = s.symbol and b.broker = s.broker and b.b - b.buy_shares < s.s and s.s - s.sell_shares < b.b where b.buy_shares > 0 and s.sell_shares > 0),
+    xe as (select ot.symbol, ot.broker, count(*) trades, sum((case when il then sp / bp - 1 else 1 - bp / sp end - case when il then 1 else -1 end * (q."close" / r."close" - 1)) * shares * case when il then bp else sp end) / sum(shares * case when il then bp else sp end) xa
+        from ot join prices r on r.symbol = ot.symbol and r.date = opened join prices q on q.symbol = ot.symbol and q.date = closed group by all)"""
+
+
+@query("marks mdaily mcum prices", f"""{_CARD}, pv as (select symbol, broker, count(*) filter (floor(abs(sim) * 1e6 + 0.5) >= floor(abs(seen) * 1e6 + 0.5)) / {DRAWS} p from a group by all), {_EXEC}, {_FINAL}, {_GRID},
+    rt as (select symbol, broker, count(*) filter (traded) dy, sum(vol) volume, sum(net) held, sum(case when not il then net * nx else 0 end) - avg(net) * sum(case when not il then nx else 0 end) raw from gd group by all),
+    cd as (select rt.symbol, rt.broker, dy, volume, held, coalesce(total_pnl, 0) pnl, coalesce(xa, 0) xa, coalesce(trades, 0) trades, raw, p from rt join pv using (symbol, broker) left join fr using (symbol, broker) left join xe using (symbol, broker) where dy >= 20 and volume >= 1000)
+    select symbol, broker, dy as days, cast(volume as bigint) volume, case when held > 0 then 'long' when held < 0 then 'short' else 'neutral' end direction, round(pnl, 2) total_pnl, round(xa, 6) execution_alpha, trades, round(raw, 6) timing_alpha, round(p, 6) p,
+        case when p < 0.05 and raw > 0 then 'leads' when p < 0.05 and raw < 0 then 'misleads' else 'not significant' end timing, case when pnl > 0 and p < 0.05 and raw > 0 and xa > 0 then 'best' when p < 0.05 and raw < 0 then 'contrarian' else 'none' end listed from cd""")
+def n4_scorecard(t):
+    folder = tb.workspace(t.spark, "scorecard")
+    d, prices = tb.stored(mdaily(t), folder, "daily"), tb.stored(t.prices, folder, "prices")
+    x = so.scorecard(d, sm.final_ranking(marks(t)), so.execution_alpha(ff.matches(d), prices), so.raw_timing(d, prices), pm.timing_permutation(d, prices, DRAWS))
+    return x.select("symbol", "broker", "days", "volume", "direction", rd("total_pnl", 2).alias("total_pnl"), rd("execution_alpha", 6).alias("execution_alpha"), "trades", rd("timing_alpha", 6).alias("timing_alpha"), rd("p", 6).alias("p"), "timing", "listed")
+
+
+#: The window that is followed, and the days after it (fixed values).
+_FROM, _TO, _UNTIL = "1998-01-01", "1998-03-31", "1998-04-30"
+_ACC = f"""ga as (select *, row_number() over (partition by symbol order by net desc, broker) pos from (select symbol, broker, sum(buy_shares - sell_shares) net, sum(buy_amount) / nullif(sum(buy_shares), 0) buy_vwap from mdaily where date between date '{_FROM}' and date '{_TO}' group by all) where net > 0 qualify pos <= 20)"""
+
+
+@query("mdaily", f""", {_ACC} select ga.symbol, ga.broker, cast(ga.net as bigint) net, d.date, cast(buy_shares - sell_shares as bigint) traded, case when d.date is null then 'none' when buy_shares > sell_shares then 'buy' when buy_shares < sell_shares then 'sell' else 'even' end action
+    from ga left join (select * from mdaily where date > date '{_TO}' and date <= date '{_UNTIL}') d on d.symbol = ga.symbol and d.broker = ga.broker""")
+def o10_follow_up(t):
+    d = mdaily(t)
+    return so.follow_up(d, so.accumulators(d, day(_FROM), day(_TO)), day(_TO), day(_UNTIL)).select("symbol", "broker", "net", "date", "traded", "action")
+
+
+@query("mdaily", f"""select symbol, date, broker, cast(net as bigint) net, round(amount, 2) net_amount, case when top <= 10 then 'buyers' else 'sellers' end side from (select symbol, date, broker, buy_shares - sell_shares net, buy_amount - sell_amount amount, row_number() over (partition by symbol, date order by buy_shares - sell_shares desc, broker) top, row_number() over (partition by symbol, date order by buy_shares - sell_shares, broker) bottom
+    from mdaily where date > date '{_TO}' and date <= date '{_UNTIL}') where top <= 10 or bottom <= 10""")
+def o10_daily_movers(t):
+    return so.movers(mdaily(t), day(_TO), day(_UNTIL)).select("symbol", "date", "broker", "net", rd("net_amount", 2).alias("net_amount"), "side")
+
+
+@query("mdaily prices", f""", {_ACC} select ga.symbol, ga.broker, cast(net as bigint) net, round(buy_vwap, 6) buy_vwap, round(("close" - buy_vwap) * net, 2) open_pnl, round("close" / buy_vwap - 1, 6) open_return from ga join (select symbol, arg_max("close", date) "close" from prices where date <= date '{_UNTIL}' group by 1) c on c.symbol = ga.symbol where buy_vwap > 0""")
+def o11_marked_accumulators(t):
+    closes = t.prices.where(F.col("date") <= day(_UNTIL)).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+    x = so.marked(so.accumulators(mdaily(t), day(_FROM), day(_TO)), closes)
+    return x.select("symbol", "broker", "net", rd("buy_vwap", 6).alias("buy_vwap"), rd("open_pnl", 2).alias("open_pnl"), rd("open_return", 6).alias("open_return"))
+
+
+@query("mdaily prices", f""", {_DENSE}, sb as (select *, lag(signal) over (partition by symbol order by date) before from sg qualify lag(signal) over (partition by symbol order by date) is not null),
+    co as (select symbol, {", ".join(f"case when count(*) filter ({c}) >= 10 and abs(corr(before, ret) filter ({c})) < 1 then corr(before, ret) filter ({c}) else 0 end r{i}, count(*) filter ({c}) n{i}" for i, c in enumerate((f"date <= date '{_W[1]}'", f"date >= date '{_W[2]}'")))} from sb group by 1)
+    select symbol, round(r0, 6) train_corr, round(r0 * sqrt(n0 - 2) / sqrt(1 - r0 * r0), 5) train_t, round(r1, 6) test_corr, round(r1 * sqrt(n1 - 2) / sqrt(1 - r1 * r1), 5) test_t from co""")
+def k15_signal_correlation(t):
+    d, b = mdaily(t), sc.bars(t.prices, WINDOWS)
+    x = sc.signal_correlation(sc.weighted_signal(d, t.prices, b, sc.accounts(d, b), WINDOWS), b, WINDOWS)
+    return x.select("symbol", rd("train_corr", 6).alias("train_corr"), rd("train_t", 5).alias("train_t"), rd("test_corr", 6).alias("test_corr"), rd("test_t", 5).alias("test_t"))
