@@ -39,3 +39,13 @@ def welch_t(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Colu
 def cohens_d(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> Column:
     pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2))
     return F.try_divide(m1 - m2, pooled)
+
+
+def verdict(p: Column) -> Column:
+    """A p in words."""
+    return F.when(p < 0.01, "highly significant").when(p < 0.05, "significant").when(p < 0.10, "marginal").otherwise("not significant")
+
+
+def expected_false(n: Column, alpha: float = 0.05) -> Column:
+    """How many of n tests would pass by chance."""
+    return n * F.lit(alpha)

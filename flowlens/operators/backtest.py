@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowlens.operators import screening as sc
 from flowlens.operators import series as se
+from flowlens.sources import tables as tb
 
 #: Cost of a round trip (fixed value).
 COST = 0.00435
@@ -98,3 +100,14 @@ def beta_report(trades: DataFrame, market: DataFrame, strategy: str, tag: str) -
     ratio = lambda m, v: F.when(v > 1e-12, m / F.sqrt(v) * year)
     return g.select("label", "n", zero(F.col("b")).alias("beta"), zero(F.col("a") * 252).alias("alpha"), zero(F.col("r2")).alias("r2"), zero(ratio(F.col("mr"), F.col("vr"))).alias("sharpe"), zero(ratio(F.col("mr") - F.col("b") * F.col("mm"), rest)).alias("excess_sharpe"),
         zero(ratio(F.col("mm"), F.col("vm"))).alias("market_sharpe"), zero(F.col("mr")).alias("avg_return"), zero(F.col("mm")).alias("avg_market"))
+
+
+def reevaluated(daily: DataFrame, prices: DataFrame, train: tuple[str, str], tests: dict[str, tuple[str, str]], cost: float = COST) -> DataFrame:
+    """The weighted signal of one train window over other test windows: performance of each symbol and window. `tests` is a short list of named windows; daily and prices should be tables, since each window reads them."""
+    out = None
+    for name, (start, end) in tests.items():
+        w = sc.Windows(*train, start, end)
+        b = sc.bars(prices, w)
+        x = sessions(sc.weighted_signal(daily, prices, b, sc.accounts(daily, b), w), prices, w.test(), cost).withColumn("window", F.lit(name))
+        out = x if out is None else out.unionByName(x)
+    return performance(tb.stored(out, tb.workspace(prices.sparkSession, "reevaluated"), "sessions"), ("window", "symbol"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowlens.functions import stats
 from flowlens.operators import backtest as bt
 from flowlens.operators import events as ev
 from flowlens.operators import fifo as ff
@@ -218,3 +220,29 @@ def k15_signal_correlation(t):
     d, b = mdaily(t), sc.bars(t.prices, WINDOWS)
     x = sc.signal_correlation(sc.weighted_signal(d, t.prices, b, sc.accounts(d, b), WINDOWS), b, WINDOWS)
     return x.select("symbol", rd("train_corr", 6).alias("train_corr"), rd("train_t", 5).alias("train_t"), rd("test_corr", 6).alias("test_corr"), rd("test_t", 5).alias("test_t"))
+
+
+_LATER = {"early": ("1999-07-01", "2000-03-31"), "late": ("2000-04-01", "2000-12-31")}
+
+
+def _later_sql(start: str, end: str) -> str:
+    """Sessions of one test window, as a sub-query."""
+    return "(with " + _SESSIONS.replace(_W[2], start).replace(_W[3], end) + " select * from se)"
+
+
+@query("mdaily prices", f""", x as ({" union all ".join(f"select '{n}' as wn, symbol, date, ret from {_later_sql(a, b)}" for n, (a, b) in _LATER.items())}),
+    y as (select wn, symbol, wn || symbol k, date, ret from x), pf as {_performance_sql("y", "k")}
+    select wn as "window", symbol, days, round(sign(total_return) * ln(1 + abs(total_return)), 6) growth, round(sharpe, 5) sharpe from pf join (select distinct wn, symbol, k from y) using (k)""")
+def m16_later_windows(t):
+    folder = tb.workspace(t.spark, "later")
+    x = bt.reevaluated(tb.stored(mdaily(t), folder, "daily"), tb.stored(t.prices, folder, "prices"), (_W[0], _W[1]), _LATER)
+    return x.select("window", "symbol", "days", rd(F.signum("total_return") * F.log1p(F.abs("total_return")), 6).alias("growth"), rd("sharpe", 5).alias("sharpe"))
+
+
+@query("mdaily prices", f"""{_CARD}, pv as (select symbol, broker, count(*) filter (floor(abs(sim) * 1e6 + 0.5) >= floor(abs(seen) * 1e6 + 0.5)) / {DRAWS} p from a group by all)
+    select case when p < 0.01 then 'highly significant' when p < 0.05 then 'significant' when p < 0.10 then 'marginal' else 'not significant' end verdict, count(*) n, round(any_value(al) * 0.05, 6) expected_false from pv cross join (select count(*) al from pv) group by 1""")
+def k13_verdicts(t):
+    """Timing p in words, with the number that would be significant by chance."""
+    p = pm.timing_permutation(mdaily(t), t.prices, DRAWS).select(stats.verdict(F.col("p")).alias("verdict"))
+    g = p.groupBy("verdict").agg(F.count("*").alias("n"))
+    return g.select("verdict", "n", rd(stats.expected_false(F.sum("n").over(W.partitionBy())), 6).alias("expected_false"))

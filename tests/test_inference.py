@@ -291,3 +291,16 @@ def test_large_trades_of_selected_accounts_by_run(spark):
     chosen = spark.createDataFrame([("one", "A", "x"), ("one", "A", "y"), ("two", "A", "z")], "run string, symbol string, broker string")
     out = {x.run: (x.direction, x.signal_value) for x in ev.large_trade_events(large, chosen, ("run",)).collect()}
     assert out == {"one": (1, 2), "two": (-1, 1)}
+
+
+def test_day_files_and_every_symbol(spark, tmp_path):
+    """Day files by pattern with a given schema; folders of symbols back with their names as text."""
+    rows = [("0050", "x", D0), ("2330", "y", D0 + dt.timedelta(days=1)), ("A", "z", D0)]
+    df = spark.createDataFrame(rows, "symbol string, broker string, date date")
+    for day in ("2020-01-01", "2020-01-02"):
+        df.where(F.col("date") == day).write.parquet(f"{tmp_path}/days/{day}.parquet")
+    schema = "symbol string, broker string, date date"
+    assert sorted(map(tuple, tb.day_files(spark, f"{tmp_path}/days/*.parquet", schema).collect())) == sorted(rows)
+    assert tb.day_files(spark, f"{tmp_path}/days/*-02.parquet", schema).count() == 1
+    tb.write_by_symbol(df, f"{tmp_path}/by")
+    assert sorted((r.symbol, r.broker, r.date) for r in tb.every_symbol(spark, f"{tmp_path}/by", "broker string, date date").collect()) == sorted(rows)
