@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowlens.operators import permutation as pm
 from flowlens.operators import series as se
 
 ACCOUNT = ("symbol", "broker")
@@ -79,6 +80,44 @@ def execution_alpha(matches: DataFrame, prices: DataFrame) -> DataFrame:
     return x.groupBy(*ACCOUNT).agg(F.count("*").alias("trades"), F.try_divide(F.sum(gap * value), F.sum(value)).alias("execution_alpha"))
 
 
+def lead_lag(daily: DataFrame, rets: DataFrame) -> DataFrame:
+    """(symbol, broker, n, lead_corr, lag_corr): correlation of an account's net with the next and with the previous return over all n pairs of the symbol's dates, those without trades counting 0; null for a constant net.
+
+    Sums over traded days and totals of the symbol give it without a dense grid.
+    """
+    w = se.by_symbol()
+    g = rets.select("symbol", "date", "ret", F.lead("ret").over(w).alias("next_ret"), F.lag("ret").over(w).alias("prev_ret"), F.lag("date").over(w).alias("prev_date"))
+    tot = g.where("prev_date is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("ret").alias("sr"), F.sum(F.col("ret") * F.col("ret")).alias("srr"), F.sum("prev_ret").alias("sp"), F.sum(F.col("prev_ret") * F.col("prev_ret")).alias("spp"))
+    x = daily.select(*ACCOUNT, "date", net().alias("v")).join(g, ["symbol", "date"])
+    ahead, back = F.col("next_ret").isNotNull(), F.col("prev_date").isNotNull()
+    s = lambda cond, e: F.coalesce(F.sum(F.when(cond, e)), F.lit(0.0))
+    v = F.col("v")
+    m = x.groupBy(*ACCOUNT).agg(*[s(c, e).alias(name) for name, c, e in (("a1", ahead, v), ("a2", ahead, v * v), ("ar", ahead, v * F.col("next_ret")), ("b1", back, v), ("b2", back, v * v), ("br", back, v * F.col("prev_ret")))]).join(tot, "symbol")
+    corr = lambda x1, x2, xr, y1, y2: F.when(F.expr(f"n * {x2} - {x1} * {x1} > 1e-9"), F.expr(f"(n * {xr} - {x1} * {y1}) / (sqrt(n * {x2} - {x1} * {x1}) * sqrt(n * {y2} - {y1} * {y1}))"))
+    return m.withColumn("lead_corr", corr("a1", "a2", "ar", "sr", "srr")).withColumn("lag_corr", corr("b1", "b2", "br", "sp", "spp")).select(*ACCOUNT, "n", "lead_corr", "lag_corr")
+
+
+def ranking_report(daily: DataFrame, final: DataFrame, execution: DataFrame, rets: DataFrame, prices: DataFrame, draws: int = 200, days: int = 20) -> DataFrame:
+    """One row an account: its place in the symbol by profit, direction, profits, execution alpha and number of closed trades, timing alpha with its permutation p, correlations with the next and the previous return, style, and totals.
+
+    Timing, correlations and style take dates that have a return, and stay null for accounts with fewer than `days` trade days, as does the execution alpha of accounts without a closed trade.
+    Style comes from the previous return: above 0.05 'with the trend', below -0.05 'against it'.
+    """
+    known = prices.join(rets.select("symbol", "date"), ["symbol", "date"], "left_semi")
+    both = F.col("buy_shares") + F.col("sell_shares")
+    totals = daily.groupBy(*ACCOUNT).agg(F.count("*").alias("trading_days"), F.sum(both).alias("total_volume"), F.sum(F.col("buy_amount") + F.col("sell_amount")).alias("total_amount"), F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("cumulative_net"))
+    busy = daily.join(totals.where(F.col("trading_days") >= days).select(*ACCOUNT), [*ACCOUNT], "left_semi")
+    timing = raw_timing(busy, known).select(*ACCOUNT, F.col("raw").alias("timing_alpha"))
+    p = pm.timing_permutation(busy, known, draws).select(*ACCOUNT, "p")
+    x = totals.join(final.select(*ACCOUNT, F.col("pos").alias("rank"), "realized_pnl", "unrealized_pnl", "total_pnl"), [*ACCOUNT], "left").join(execution, [*ACCOUNT], "left")
+    x = x.join(timing, [*ACCOUNT], "left").join(p, [*ACCOUNT], "left").join(lead_lag(busy, rets).drop("n"), [*ACCOUNT], "left")
+    sure = F.col("p") < 0.05
+    says = F.when(sure & (F.col("timing_alpha") > 0), "leads").when(sure & (F.col("timing_alpha") < 0), "misleads").when(F.col("p").isNotNull(), "not significant")
+    style = F.when(F.col("lag_corr") > 0.05, "with the trend").when(F.col("lag_corr") < -0.05, "against it").when(F.col("lag_corr").isNotNull(), "neutral")
+    direction = F.when(F.col("cumulative_net") > 0, "long").when(F.col("cumulative_net") < 0, "short").otherwise("neutral")
+    return x.na.fill(0, ["trades"]).withColumns({"direction": direction, "timing": says, "style": style})
+
+
 def scorecard(daily: DataFrame, final: DataFrame, execution: DataFrame, timing: DataFrame, permuted: DataFrame, days: int = 20, volume: int = 1000) -> DataFrame:
     """One row for each account with enough days and shares: direction, profit, execution alpha, raw timing and its p, what the timing says, and whether the account is among the best or to be read the other way round.
 

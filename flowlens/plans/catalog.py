@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -170,9 +171,18 @@ def c2_c3_overview(t):
     return t.daily.agg(F.count_distinct("symbol").alias("n_symbols"), F.count_distinct("broker").alias("n_brokers"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_rows"))
 
 
-@query("daily", "select broker, symbol, count(*) trading_days, cast(sum(buy_shares) as bigint) buy_shares, cast(sum(sell_shares) as bigint) sell_shares, round(sum(buy_amount) - sum(sell_amount), 4) net_amount from daily group by all")
+@query("daily", "select distinct symbol from daily")
+def c2_symbols(t):
+    return t.prints.select("symbol").distinct()
+
+
+@query("daily", """select broker, symbol, count(*) trading_days, cast(sum(buy_shares) as bigint) buy_shares, cast(sum(sell_shares) as bigint) sell_shares, round(sum(buy_amount), 4) buy_amount, round(sum(sell_amount), 4) sell_amount,
+    cast(sum(buy_shares - sell_shares) as bigint) net_shares, round(sum(buy_amount) - sum(sell_amount), 4) net_amount from daily group by all order by buy_amount desc""")
 def c4_broker_breakdown(t):
-    return t.daily.groupBy("broker", "symbol").agg(F.count("*").alias("trading_days"), F.sum("buy_shares").alias("buy_shares"), F.sum("sell_shares").alias("sell_shares"), rd(F.sum("buy_amount") - F.sum("sell_amount")).alias("net_amount"))
+    """Largest amount bought first."""
+    g = t.daily.groupBy("broker", "symbol").agg(F.count("*").alias("trading_days"), *[F.sum(c).alias(c) for c in ("buy_shares", "sell_shares", "buy_amount", "sell_amount")])
+    out = g.select("broker", "symbol", "trading_days", "buy_shares", "sell_shares", rd("buy_amount").alias("buy_amount"), rd("sell_amount").alias("sell_amount"), (F.col("buy_shares") - F.col("sell_shares")).alias("net_shares"), rd(F.col("buy_amount") - F.col("sell_amount")).alias("net_amount"))
+    return out.orderBy(F.desc("buy_amount"))
 
 
 @query("state", "select count(*) n, round(sum(total_pnl), 2) total_pnl, round(max(total_pnl), 2) max_pnl, round(min(total_pnl), 2) min_pnl, round(abs(sum(total_pnl)) / sum(abs(total_pnl)), 6) zero_sum_ratio from state")
@@ -184,7 +194,7 @@ def c5_u2_market_summary(t):
 @query("daily", "select * from (select broker, round(sum(buy_amount + sell_amount), 2) amount, row_number() over (order by round(sum(buy_amount + sell_amount), 2) desc, broker) as rank from daily group by 1) where rank <= 15")
 def c6_top_by_amount(t):
     a = t.daily.groupBy("broker").agg(rd(F.sum(F.col("buy_amount") + F.col("sell_amount")), 2).alias("amount"))
-    return a.withColumn("rank", F.row_number().over(W.orderBy(F.desc("amount"), "broker"))).where("rank <= 15")
+    return a.orderBy(F.desc("amount"), "broker").limit(15).withColumn("rank", F.row_number().over(W.orderBy(F.desc("amount"), "broker")))
 
 
 @query("daily", "select broker, count(*) filter (buy_shares > sell_shares) buy_days, count(*) filter (buy_shares < sell_shares) sell_days, count(*) filter (buy_shares = sell_shares) flat_days, round(avg(cast(buy_shares > sell_shares as int)), 6) buyer_share, count(distinct symbol) n_symbols from daily group by 1")
@@ -205,17 +215,18 @@ def c10_sampled_groups(t):
     return d.join(pick, ["symbol", "broker"], "left_semi").groupBy("symbol", "broker").agg(F.count("*").alias("n"))
 
 
-@query("rets", "select symbol, round(avg(ret), 8) mean, round(median(ret), 8) median, round(stddev_samp(ret), 8) std, round(quantile_cont(ret, 0.05), 8) p5, round(quantile_cont(ret, 0.95), 8) p95, count(*) n from rets group by 1")
+@query("rets", "select symbol, round(avg(ret), 8) mean, round(median(ret), 8) median, round(stddev_samp(ret), 8) std, round(quantile_cont(ret, 0.05), 8) p5, round(quantile_cont(ret, 0.25), 8) p25, round(quantile_cont(ret, 0.75), 8) p75, round(quantile_cont(ret, 0.95), 8) p95, count(*) n from rets group by 1")
 def c11_summary(t):
-    q = F.percentile("ret", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return t.rets.groupBy("symbol").agg(F.avg("ret").alias("m"), q.alias("q"), F.stddev_samp("ret").alias("s"), F.count("*").alias("n")).select("symbol", rd("m", 8).alias("mean"), rd(F.col("q")[1], 8).alias("median"), rd("s", 8).alias("std"), rd(F.col("q")[0], 8).alias("p5"), rd(F.col("q")[2], 8).alias("p95"), "n")
+    names = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    g = t.rets.groupBy("symbol").agg(F.avg("ret").alias("m"), F.percentile("ret", F.array(*map(F.lit, names.values()))).alias("q"), F.stddev_samp("ret").alias("s"), F.count("*").alias("n"))
+    return g.select("symbol", rd("m", 8).alias("mean"), rd("s", 8).alias("std"), *[rd(F.col("q")[i], 8).alias(n) for i, n in enumerate(names)], "n")
 
 
-@query("rets", "select symbol, round(avg(z * z * z), 5) skew, round(avg(z * z * z * z) - 3, 5) kurtosis, round(100 * avg(cast(abs(z) > 2 as int)), 4) beyond from (select symbol, (ret - avg(ret) over w) / stddev_samp(ret) over w z from rets window w as (partition by symbol)) group by 1")
+@query("rets", "select symbol, round(avg(z * z * z), 5) skew, round(avg(z * z * z * z) - 3, 5) kurtosis, round(100 * avg(cast(abs(z) > 2 as int)), 4) beyond, cast(4.5500263896 as double) expected, round(100 * avg(cast(z <= 2 as int)), 4) sigma_percentile from (select symbol, (ret - avg(ret) over w) / stddev_samp(ret) over w z from rets window w as (partition by symbol)) group by 1")
 def c12_shape(t):
     w = W.partitionBy("symbol")
     z = t.rets.withColumn("z", (F.col("ret") - F.avg("ret").over(w)) / F.stddev_samp("ret").over(w))
-    return z.groupBy("symbol").agg(rd(F.avg(F.col("z") * F.col("z") * F.col("z")), 5).alias("skew"), rd(F.avg(F.col("z") * F.col("z") * F.col("z") * F.col("z")) - 3, 5).alias("kurtosis"), rd(100 * F.avg((F.abs("z") > 2).cast("int")), 4).alias("beyond"))
+    return z.groupBy("symbol").agg(rd(F.avg(F.col("z") * F.col("z") * F.col("z")), 5).alias("skew"), rd(F.avg(F.col("z") * F.col("z") * F.col("z") * F.col("z")) - 3, 5).alias("kurtosis"), rd(100 * F.avg((F.abs("z") > 2).cast("int")), 4).alias("beyond"), F.lit(round(100 * math.erfc(2 / 2**0.5), 10)).alias("expected"), rd(100 * F.avg((F.col("z") <= 2).cast("int")), 4).alias("sigma_percentile"))
 
 
 @query("", "select o_orderpriority reason, date_trunc('month', o_orderdate)::date as month, count(*) n, round(sum(o_totalprice), 2) volume from orders group by all")
@@ -229,9 +240,25 @@ def c14_win_months(t):
     return m.groupBy("broker").agg(F.count("*").alias("months"), F.count_if(F.col("pnl") > 0).alias("win_months"))
 
 
-@query("daily", "select symbol, broker, round(sum(buy_amount) / nullif(sum(buy_shares), 0), 6) buy_vwap, round(sum(sell_amount) / nullif(sum(sell_shares), 0), 6) sell_vwap from daily group by all")
+@query("fifo", "select broker, cast(date_trunc('month', date) as date) as month, round(sum(realized_pnl), 4) pnl, cast(sum(buy_shares + sell_shares) as bigint) volume from (select f.*, d.buy_shares, d.sell_shares from fifo f join daily d on d.symbol = f.symbol and d.broker = f.broker and d.date = f.date) group by all")
+def c14_monthly_profit(t):
+    return t.fifo.groupBy("broker", F.trunc("date", "month").alias("month")).agg(rd(F.sum("realized_pnl")).alias("pnl"), F.sum(F.col("buy_shares") + F.col("sell_shares")).alias("volume"))
+
+
+@query("daily", "select symbol, broker, round(sum(buy_amount) / nullif(sum(buy_shares), 0), 6) buy_vwap, round(sum(sell_amount) / nullif(sum(sell_shares), 0), 6) sell_vwap, round(sum(sell_amount) / nullif(sum(sell_shares), 0) - sum(buy_amount) / nullif(sum(buy_shares), 0), 6) spread from daily group by all")
 def c15_o9_vwap(t):
-    return t.daily.groupBy("symbol", "broker").agg(rd(F.try_divide(F.sum("buy_amount"), F.sum("buy_shares")), 6).alias("buy_vwap"), rd(F.try_divide(F.sum("sell_amount"), F.sum("sell_shares")), 6).alias("sell_vwap"))
+    buy, sell = F.try_divide(F.sum("buy_amount"), F.sum("buy_shares")), F.try_divide(F.sum("sell_amount"), F.sum("sell_shares"))
+    return t.daily.groupBy("symbol", "broker").agg(rd(buy, 6).alias("buy_vwap"), rd(sell, 6).alias("sell_vwap"), rd(sell - buy, 6).alias("spread"))
+
+
+@query("daily prices", """select symbol, broker, round(sum(buy_shares * "close") / nullif(sum(buy_shares), 0), 6) at_buys, round(sum(sell_shares * "close") / nullif(sum(sell_shares), 0), 6) at_sells, round(sum(sell_shares * "close") / nullif(sum(sell_shares), 0) - sum(buy_shares * "close") / nullif(sum(buy_shares), 0), 6) spread
+    from daily join prices using (symbol, date) group by all having sum(buy_shares) > 0 and sum(sell_shares) > 0""")
+def c15_close_spread(t):
+    """Closes weighted by the shares bought and sold, of accounts that did both."""
+    x = t.daily.join(t.prices.select("symbol", "date", "close"), ["symbol", "date"])
+    at = lambda c: F.try_divide(F.sum(F.col(c) * F.col("close")), F.sum(c))
+    g = x.groupBy("symbol", "broker").agg(at("buy_shares").alias("b"), at("sell_shares").alias("s")).where("b is not null and s is not null")
+    return g.select("symbol", "broker", rd("b", 6).alias("at_buys"), rd("s", 6).alias("at_sells"), rd(F.col("s") - F.col("b"), 6).alias("spread"))
 
 
 # ---------------------------------------------------------------- FIFO and profit
@@ -252,6 +279,16 @@ def d3_open_lots(t):
     return ff.open_lots(t.daily).select("symbol", "broker", "side", "shares", rd("cost_per_share", 6).alias("cost_per_share"), "open_date")
 
 
+_OPEN_AT = f"(select *, least(max(b) over w, max(s) over w) mt from cum where date <= date '{TRAIN_END}' window w as (partition by symbol, broker))"
+
+
+@query("cum", f"select symbol, broker, 'long' side, cast(b - greatest(b - buy_shares, mt) as bigint) shares, round(buy_amount / buy_shares, 6) cost_per_share, date open_date from {_OPEN_AT} where buy_shares > 0 and b > mt union all select symbol, broker, 'short', cast(s - greatest(s - sell_shares, mt) as bigint), round(sell_amount / sell_shares, 6), date from {_OPEN_AT} where sell_shares > 0 and s > mt")
+def d3_lots_at_a_date(t):
+    """Lots open at the end of the train window; later days do not reach the accounting."""
+    d = t.daily.where(F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    return ff.open_lots(d).select("symbol", "broker", "side", "shares", rd("cost_per_share", 6).alias("cost_per_share"), "open_date")
+
+
 @query("prices", "select symbol, date, round(last_value(case when date_part('day', date) % 7 <> 0 then \"close\" end ignore nulls) over (partition by symbol order by date rows unbounded preceding), 6) filled from prices")
 def d4_forward_fill(t):
     gap = F.when(F.day("date") % 7 != 0, F.col("close"))
@@ -475,5 +512,20 @@ def u3_u4_invariants(t):
     return f.agg(F.count("*").alias("n"), F.count_if((F.col("net") != 0) & F.col("unrealized_pnl").isNull()).alias("missing"), (F.count("*") - F.count_distinct("symbol", "broker", "date")).alias("repeated"), (rd(F.max(F.abs("gap")), 3) < 0.01).alias("reconciled"))
 
 
+@query("prices", "select symbol, count(*) n_splits from (select symbol, \"close\" / prev ratio from (select *, lag(\"close\") over (partition by symbol order by date) prev from prices)) where len(list_filter([0.5, 1.0/3, 0.25, 0.2, 0.1, 2, 3, 4, 5, 10], lambda x: abs(ratio / x - 1) <= 0.05)) > 0 group by 1")
+def g10_split_symbols(t):
+    """Symbols with any such day."""
+    return QUERIES["g10_splits"](t.spark, t.dir).groupBy("symbol").agg(F.count("*").alias("n_splits"))
+
+
+@query("daily", f"select symbol, kind, count(*) n from (select symbol, {_CLASS} kind from (select symbol, broker, count(*) as days, avg(cast(buy_shares > sell_shares as int)) buyd, avg(cast(buy_shares < sell_shares as int)) selld from daily where date between date '{TEST_START}' and date '{TEST_END}' group by all)) group by all")
+def o5_window_classes(t):
+    """Behaviour within the test window, by symbol."""
+    n = F.col("buy_shares") - F.col("sell_shares")
+    d = t.daily.where(F.col("date").between(F.lit(TEST_START).cast("date"), F.lit(TEST_END).cast("date")))
+    g = d.groupBy("symbol", "broker").agg(F.count("*").alias("days"), F.avg((n > 0).cast("int")).alias("buyd"), F.avg((n < 0).cast("int")).alias("selld"))
+    return g.groupBy("symbol", F.expr(_CLASS).alias("kind")).agg(F.count("*").alias("n"))
+
+
 # the rest of the catalogue registers itself
 from flowlens.plans import inference, rankings, reports, research, stored, studies  # noqa: E402, F401

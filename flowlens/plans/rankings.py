@@ -280,3 +280,19 @@ _CLUSTER = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]
     select date, cast(sign(sum(total)) as int) direction, cast(abs(sum(total)) as bigint) signal_count from b group by 1 having sum(total) <> 0""")
 def i5_cluster_accumulation(t):
     return ho.cluster_buying(ev.large_trades(mdaily(t)), top(t), _CLUSTER)
+
+
+@query("mdaily marks", f""", r as (select symbol, broker, pos from {_pos("date '1900-01-01'", "date '2100-01-01'")}), d as (select *, dense_rank() over (partition by symbol order by date desc) back from (select distinct symbol, date from mdaily)),
+    n as (select m.symbol, m.broker, cast(sum(buy_shares - sell_shares) as bigint) net_buy from mdaily m join d using (symbol, date) where back <= 20 group by all),
+    x as (select *, row_number() over (partition by symbol order by net_buy desc, broker) top, row_number() over (partition by symbol order by net_buy, broker) bottom from n)
+    select x.symbol, x.broker, coalesce(n_name, '') "name", net_buy, pos as rank, top, bottom from x left join r on r.symbol = x.symbol and r.broker = x.broker left join nation on x.broker = concat('F', n_nationkey) where top <= 15 or bottom <= 15""")
+def e9_named_net_buyers(t):
+    """Who bought and sold most over the last 20 dates of each symbol, with names and the account's place by profit; accounts without a place stay."""
+    d = mdaily(t)
+    dates = d.select("symbol", "date").distinct().withColumn("back", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date")))).where("back <= 20")
+    n = d.join(dates, ["symbol", "date"]).groupBy("symbol", "broker").agg(F.sum(F.col("buy_shares") - F.col("sell_shares")).alias("net_buy"))
+    w = W.partitionBy("symbol")
+    n = n.withColumn("top", F.row_number().over(w.orderBy(F.desc("net_buy"), "broker"))).withColumn("bottom", F.row_number().over(w.orderBy("net_buy", "broker"))).where("top <= 15 or bottom <= 15")
+    place = ho.ranked(ho.period(marks(t), day("1900-01-01"), day("2100-01-01"))).select("symbol", "broker", F.col("pos").alias("rank"))
+    x = n.join(place, ["symbol", "broker"], "left").join(names(t), "broker", "left")
+    return x.select("symbol", "broker", F.coalesce("broker_name", F.lit("")).alias("name"), "net_buy", "rank", "top", "bottom")

@@ -12,10 +12,11 @@ from flowlens.operators import fifo as ff
 from flowlens.operators import permutation as pm
 from flowlens.operators import scorecards as so
 from flowlens.operators import screening as sc
+from flowlens.operators import series as se
 from flowlens.operators import smart_money as sm
 from flowlens.plans.catalog import HORIZONS, _EVENTS, query, rd
 from flowlens.plans.inference import _K4, DRAWS
-from flowlens.plans.rankings import day, marks, mdaily
+from flowlens.plans.rankings import day, marks, mdaily, names
 from flowlens.plans.studies import _DENSE, _FINAL, _W, WINDOWS
 from flowlens.sources import tables as tb
 
@@ -188,6 +189,31 @@ def n4_scorecard(t):
     return x.select("symbol", "broker", "days", "volume", "direction", rd("total_pnl", 2).alias("total_pnl"), rd("execution_alpha", 6).alias("execution_alpha"), "trades", rd("timing_alpha", 6).alias("timing_alpha"), rd("p", 6).alias("p"), "timing", "listed")
 
 
+_LATE = lambda sql: sql.replace("from prices window", "from later window")
+
+
+@query("marks mdaily mcum prices rets", f""", later as (select * from prices semi join rets using (symbol, date)){_LATE(_CARD)}, pv as (select symbol, broker, count(*) filter (floor(abs(sim) * 1e6 + 0.5) >= floor(abs(seen) * 1e6 + 0.5)) / {DRAWS} p from a group by all), {_EXEC}, {_FINAL}, {_LATE(_GRID)},
+    rt as (select symbol, broker, sum(case when not il then net * nx else 0 end) - avg(net) * sum(case when not il then nx else 0 end) raw from gd group by all),
+    lg as (select symbol, date, ret, lag(date) over w pd, lag(ret) over w pr from rets window w as (partition by symbol order by date)),
+    lx as (select k.symbol, k.broker, ret, pr, coalesce(y.buy_shares - y.sell_shares, 0) before, coalesce(z.buy_shares - z.sell_shares, 0) now from (select distinct symbol, broker from mdaily) k join lg on lg.symbol = k.symbol left join mdaily y on y.symbol = k.symbol and y.broker = k.broker and y.date = pd left join mdaily z on z.symbol = k.symbol and z.broker = k.broker and z.date = lg.date where pd is not null),
+    lc as (select symbol, broker, case when stddev_pop(before) > 0 then corr(before, ret) end led, case when stddev_pop(now) > 0 then corr(now, pr) end lagged from lx group by all),
+    tv as (select symbol, broker, count(*) dy, sum(buy_shares + sell_shares) vol, sum(buy_amount + sell_amount) amount, sum(buy_shares - sell_shares) held from mdaily group by all),
+    rr as (select tv.*, pos, realized_pnl, unrealized_pnl, total_pnl, xa, coalesce(trades, 0) trades, case when dy >= 20 then raw end raw, case when dy >= 20 then p end p, case when dy >= 20 then led end led, case when dy >= 20 then lagged end lagged
+        from tv left join fr using (symbol, broker) left join xe using (symbol, broker) left join rt using (symbol, broker) left join pv using (symbol, broker) left join lc using (symbol, broker))
+    select symbol, pos as rank, rr.broker, coalesce(n_name, '') "name", case when held > 0 then 'long' when held < 0 then 'short' else 'neutral' end direction, round(total_pnl, 2) total_pnl, round(realized_pnl, 2) realized_pnl, round(unrealized_pnl, 2) unrealized_pnl, round(xa, 6) execution_alpha,
+        round(raw, 5) timing_alpha, round(p, 6) p, case when p < 0.05 and raw > 0 then 'leads' when p < 0.05 and raw < 0 then 'misleads' when p is not null then 'not significant' end timing, round(led, 5) lead_corr, round(lagged, 5) lag_corr,
+        case when lagged > 0.05 then 'with the trend' when lagged < -0.05 then 'against it' when lagged is not null then 'neutral' end style, dy trading_days, cast(vol as bigint) total_volume, round(amount, 2) total_amount, cast(held as bigint) cumulative_net, trades trade_count
+    from rr left join nation on rr.broker = concat('F', n_nationkey)""")
+def n5_ranking_report(t):
+    """The whole report of every account, with names."""
+    folder = tb.workspace(t.spark, "report")
+    d, prices = tb.stored(mdaily(t), folder, "daily"), tb.stored(t.prices, folder, "prices")
+    x = so.ranking_report(d, sm.final_ranking(marks(t)), so.execution_alpha(ff.matches(d), prices), se.returns(prices), prices, DRAWS).join(names(t), "broker", "left")
+    money = [rd(c, 2).alias(c) for c in ("total_pnl", "realized_pnl", "unrealized_pnl", "total_amount")]
+    fine = [rd(c, n).alias(c) for c, n in (("execution_alpha", 6), ("timing_alpha", 5), ("p", 6), ("lead_corr", 5), ("lag_corr", 5))]
+    return x.select("symbol", "rank", "broker", F.coalesce("broker_name", F.lit("")).alias("name"), "direction", *money, *fine, "timing", "style", "trading_days", "total_volume", "cumulative_net", F.col("trades").alias("trade_count"))
+
+
 #: The window that is followed, and the days after it (fixed values).
 _FROM, _TO, _UNTIL = "1998-01-01", "1998-03-31", "1998-04-30"
 _ACC = f"""ga as (select *, row_number() over (partition by symbol order by net desc, broker) pos from (select symbol, broker, sum(buy_shares - sell_shares) net, sum(buy_amount) / nullif(sum(buy_shares), 0) buy_vwap from mdaily where date between date '{_FROM}' and date '{_TO}' group by all) where net > 0 qualify pos <= 20)"""

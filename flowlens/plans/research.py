@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import stats
 from flowlens.operators import events as ev
 from flowlens.operators import holdings as ho
+from flowlens.operators import scorecards as so
 from flowlens.operators import series as se
 from flowlens.plans.catalog import _CTE, _EVENTS, HORIZONS, TEST_START, TRAIN_END, query, rd
 from flowlens.plans.rankings import _WHOLE, TOP, _pos, day, marks, mdaily, top, whole
@@ -280,16 +281,7 @@ def m11_b14_signal_export(t):
     select symbol, broker, n, round(lead_corr, 5) lead_corr, round(lag_corr, 5) lag_corr, case when lead_corr > 0.05 then 'leads' when lead_corr < -0.05 then 'contrarian' else 'neutral' end style from c""")
 def n3_lead_lag_corr(t):
     """Correlation of a broker's net buying with the next and the previous return over all dates of the symbol, days without trades counting 0: sums over traded days and totals of the symbol give it without a dense grid."""
-    w = se.by_symbol()
-    g = t.rets.select("symbol", "date", F.col("ret"), F.lead("ret").over(w).alias("next_ret"), F.lag("ret").over(w).alias("prev_ret"), F.lag("date").over(w).alias("prev_date"))
-    tot = g.where("prev_date is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("ret").alias("sr"), F.sum(F.col("ret") * F.col("ret")).alias("srr"), F.sum("prev_ret").alias("sp"), F.sum(F.col("prev_ret") * F.col("prev_ret")).alias("spp"))
-    x = mdaily(t).select(*ACCOUNT, "date", net().cast("double").alias("v")).join(g, ["symbol", "date"])
-    ahead, back = F.col("next_ret").isNotNull(), F.col("prev_date").isNotNull()
-    s = lambda cond, e: F.coalesce(F.sum(F.when(cond, e)), F.lit(0.0))
-    v = F.col("v")
-    m = x.groupBy(*ACCOUNT).agg(*[s(c, e).alias(name) for name, c, e in (("a1", ahead, v), ("a2", ahead, v * v), ("ar", ahead, v * F.col("next_ret")), ("b1", back, v), ("b2", back, v * v), ("br", back, v * F.col("prev_ret")))]).join(tot, "symbol")
-    corr = lambda x1, x2, xr, y1, y2: F.when(F.expr(f"n * {x2} - {x1} * {x1} > 1e-9"), F.expr(f"(n * {xr} - {x1} * {y1}) / (sqrt(n * {x2} - {x1} * {x1}) * sqrt(n * {y2} - {y1} * {y1}))"))
-    c = m.withColumn("lead_corr", corr("a1", "a2", "ar", "sr", "srr")).withColumn("lag_corr", corr("b1", "b2", "br", "sp", "spp"))
+    c = so.lead_lag(mdaily(t), t.rets)
     style = F.when(F.col("lead_corr") > 0.05, "leads").when(F.col("lead_corr") < -0.05, "contrarian").otherwise("neutral")
     return c.select(*ACCOUNT, "n", rd("lead_corr", 5).alias("lead_corr"), rd("lag_corr", 5).alias("lag_corr"), style.alias("style"))
 
@@ -334,10 +326,11 @@ def u5_lot_invariants(t):
 
 
 @query("daily", """select broker, min(date) first_trade, max(date) last_trade, count(distinct date) active_days, round(count(distinct date) / (date_diff('day', min(date), max(date)) + 1.0), 6) frequency,
-    count(distinct date_trunc('month', date)) active_months, max(buy_months) net_buy_months from daily join (select broker, count(*) filter (net > 0) buy_months from (select broker, date_trunc('month', date) mo, sum(buy_shares - sell_shares) net from daily group by all) group by 1) using (broker) group by 1""")
+    count(distinct date_trunc('month', date)) active_months, max(buy_months) net_buy_months, max(sell_months) net_sell_months, case when max(buy_months) > 2 * max(sell_months) then 'buying' when max(sell_months) > 2 * max(buy_months) then 'selling' else 'both ways' end trend from daily join (select broker, count(*) filter (net > 0) buy_months, count(*) filter (net < 0) sell_months from (select broker, date_trunc('month', date) mo, sum(buy_shares - sell_shares) net from daily group by all) group by 1) using (broker) group by 1""")
 def n8_activity(t):
     d = t.daily
-    b = d.groupBy("broker", F.trunc("date", "month").alias("mo")).agg(F.sum(net()).alias("net")).groupBy("broker").agg(F.count_if(F.col("net") > 0).alias("net_buy_months"), F.count("*").alias("active_months"))
+    b = d.groupBy("broker", F.trunc("date", "month").alias("mo")).agg(F.sum(net()).alias("net")).groupBy("broker").agg(F.count_if(F.col("net") > 0).alias("net_buy_months"), F.count_if(F.col("net") < 0).alias("net_sell_months"), F.count("*").alias("active_months"))
+    b = b.withColumn("trend", F.when(F.col("net_buy_months") > 2 * F.col("net_sell_months"), "buying").when(F.col("net_sell_months") > 2 * F.col("net_buy_months"), "selling").otherwise("both ways"))
     a = d.groupBy("broker").agg(F.min("date").alias("first_trade"), F.max("date").alias("last_trade"), F.count_distinct("date").alias("active_days"))
     return a.join(b, "broker").withColumn("frequency", rd(F.col("active_days") / (F.datediff("last_trade", "first_trade") + 1.0), 6))
 
@@ -349,15 +342,16 @@ def o1_context(t):
     return t.prices.select("symbol", "date", rd("close").alias("close")).join(o, "date", "left").select("symbol", "date", "close", F.coalesce("flags", F.lit(0)).cast("long").alias("flags"), rd("margin", 2).alias("margin"))
 
 
-@query("ticks", "select a.event_id, count(b.event_id) n, round(max(b.price), 6) high, round(min(b.price), 6) low from ticks a left join ticks b on b.symbol = 'click' and b.ts > a.ts - interval 20 minute and b.ts < a.ts where a.symbol = 'purchase' group by 1")
+@query("ticks", "select a.event_id, count(b.event_id) n, round(max(b.price), 6) high, round(min(b.price), 6) low, round(arg_min(b.price, epoch_us(b.ts) * 1000 + b.event_id % 1000), 6) first, round(arg_max(b.price, epoch_us(b.ts) * 1000 + b.event_id % 1000), 6) last, round(stddev_samp(b.price), 6) std from ticks a left join ticks b on b.symbol = 'click' and b.ts > a.ts - interval 20 minute and b.ts < a.ts where a.symbol = 'purchase' group by 1")
 def o2_window_before(t):
     """Clicks in the 20 minutes before each purchase: both are laid out over buckets of 20 minutes, a purchase over its own and the one before, so that an equi-join meets them."""
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = 20 * 60 * 1_000_000
     a = t.ticks.where("symbol = 'purchase'").select("event_id", sec("ts").alias("at"))
     wide = a.withColumn("bucket", F.explode(F.array(F.floor(F.col("at") / width), F.floor(F.col("at") / width) - 1)))
-    b = t.ticks.where("symbol = 'click'").select(sec("ts").alias("t"), "price").withColumn("bucket", F.floor(F.col("t") / width))
-    g = wide.join(b, "bucket").where((F.col("t") > F.col("at") - width) & (F.col("t") < F.col("at"))).groupBy("event_id").agg(F.count("*").alias("n"), rd(F.max("price"), 6).alias("high"), rd(F.min("price"), 6).alias("low"))
+    b = t.ticks.where("symbol = 'click'").select(sec("ts").alias("t"), "price", F.col("event_id").alias("tick")).withColumn("bucket", F.floor(F.col("t") / width))
+    order = F.col("t") * 1000 + F.col("tick") % 1000
+    g = wide.join(b, "bucket").where((F.col("t") > F.col("at") - width) & (F.col("t") < F.col("at"))).groupBy("event_id").agg(F.count("*").alias("n"), rd(F.max("price"), 6).alias("high"), rd(F.min("price"), 6).alias("low"), rd(F.min_by("price", order), 6).alias("first"), rd(F.max_by("price", order), 6).alias("last"), rd(F.stddev_samp("price"), 6).alias("std"))
     return a.select("event_id").join(g, "event_id", "left").na.fill(0, ["n"])
 
 
@@ -426,3 +420,44 @@ def u8_report_diff(t):
     x = s.groupBy("broker").agg(F.sum("total_pnl").alias("a"))
     y = s.where("broker <> 'S3'").groupBy("broker").agg(F.sum(F.col("realized_pnl") + F.col("unrealized_pnl")).alias("b"))
     return x.join(y, "broker", "full").agg(F.count("*").alias("n"), F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-4 * F.greatest(F.abs("a"), F.lit(1.0))).alias("differ"))
+
+
+@query("mcum", f"""{_MATCHES} select cast(count(*) as bigint) n, count(*) filter (shares <= 0) bad_shares, count(*) filter (buy_price < 0 or sell_price < 0 or isnan(buy_price) or isnan(sell_price)) bad_price, count(*) filter (symbol = '' or broker = '' or symbol is null or broker is null) no_account,
+    count(*) filter (buy_date is null or sell_date is null) no_date, count(*) filter (is_long is null) no_side from c""")
+def u9_trade_constraints(t):
+    """How many closed trades break a rule of their fields."""
+    c = closed_trades(t)
+    empty = lambda x: F.col(x).isNull() | (F.col(x) == "")
+    bad = lambda x: (F.col(x) < 0) | F.isnan(x)
+    return c.agg(F.count("*").alias("n"), F.count_if(F.col("shares") <= 0).alias("bad_shares"), F.count_if(bad("buy_price") | bad("sell_price")).alias("bad_price"), F.count_if(empty("symbol") | empty("broker")).alias("no_account"),
+        F.count_if(F.col("buy_date").isNull() | F.col("sell_date").isNull()).alias("no_date"), F.count_if(F.col("is_long").isNull()).alias("no_side"))
+
+
+@query("daily", """, cal as (select date, row_number() over (order by date) i from (select distinct cast(o_orderdate as date) date from orders)), sd as (select distinct symbol, date from daily),
+    sp as (select symbol, min(date) a, max(date) b, count(*) as days, count(*) filter (date not in (select date from cal)) outside from sd group by 1),
+    mi as (select sp.symbol, count(*) missing from sp join cal on cal.date between a and b left join sd on sd.symbol = sp.symbol and sd.date = cal.date where sd.date is null group by 1)
+    select sp.symbol, days, outside, coalesce(missing, 0) missing from sp left join mi using (symbol)""")
+def u6_against_calendar(t):
+    """Each symbol's days against a calendar (days with an order): days outside it by an anti join, and calendar days without a row between the first and the last.
+
+    The missing are counted from the days' numbers in the calendar, a list of days; no grid of symbols by days is made.
+    """
+    cal = t.raw("orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    cal = cal.select("date", F.row_number().over(W.orderBy("date")).alias("i"))
+    days = t.daily.select("symbol", "date").distinct()
+    span = days.groupBy("symbol").agg(F.count("*").alias("days"), F.min("date").alias("a"), F.max("date").alias("b"))
+    outside = days.join(cal, "date", "left_anti").groupBy("symbol").agg(F.count("*").alias("outside"))
+    # the first day of the calendar from a on, and the last up to b: a symbol's own ends need not be in it
+    ends = span.select("symbol", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("a").alias("date")), F.struct(F.lit(1).alias("end"), F.col("b").alias("date")))).alias("e")).select("symbol", "e.end", "e.date")
+    asked = ends.select("date").distinct().unionByName(cal.withColumn("known", F.lit(True)), allowMissingColumns=True).groupBy("date").agg(F.max("i").alias("i"))
+    before = asked.select("date", F.coalesce(F.max("i").over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).alias("upto"), F.col("i").isNotNull().cast("int").alias("inside"))
+    at = ends.join(before, "date").groupBy("symbol").agg((F.max(F.when(F.col("end") == 1, F.col("upto"))) - F.max(F.when(F.col("end") == 0, F.col("upto") - F.col("inside")))).alias("expected"))
+    x = span.join(outside, "symbol", "left").na.fill(0, ["outside"]).join(at, "symbol")
+    return x.select("symbol", "days", "outside", (F.col("expected") - (F.col("days") - F.col("outside"))).cast("long").alias("missing"))
+
+
+@query("mlarge", f"select symbol, broker, strftime(date, '%Y-%m-%d') as day_text, case when direction > 0 then 'long' else 'short' end side, cast(direction as int) sign from ({_MEVENTS})".replace("select symbol, broker, strftime", "select symbol, strftime"))
+def b14_both_ways(t):
+    """Directions as words and back, dates as text."""
+    e = ev.large_trade_events(ev.large_trades(mdaily(t))).withColumn("side", F.when(F.col("direction") > 0, "long").otherwise("short"))
+    return e.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("day_text"), "side", F.when(F.col("side") == "long", 1).when(F.col("side") == "short", -1).alias("sign"))

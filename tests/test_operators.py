@@ -178,3 +178,32 @@ def test_period_counts_from_its_first_day_and_holders(spark):
 def test_churn_nets_over_brokers(spark):
     d = spark.createDataFrame([("A", "x", day(1), 100, 0, 0.0, 0.0), ("A", "y", day(1), 0, 90, 0.0, 0.0)], SCHEMA)
     assert ho.churn(d).first().churn_ratio == pytest.approx(190 / 11)
+
+
+def test_ranking_report_against_loops(spark):
+    """Timing, correlations and style of each account from dense lists of days, and nulls for accounts with few days or without a closed trade."""
+    import numpy as np
+
+    from flowlens.operators import scorecards as so
+    from flowlens.operators import series as se
+
+    rng = np.random.default_rng(5)
+    dates = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(60)]
+    close = dict(zip(dates, (100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60)))).tolist(), strict=True))
+    rows = [("X", b, d, int(rng.integers(0, 50)), int(rng.integers(1, 50))) for b, m in (("A", 60), ("B", 25), ("C", 5)) for d in sorted(rng.choice(dates, m, replace=False).tolist())]
+    daily = spark.createDataFrame([(*r, r[3] * close[r[2]], r[4] * close[r[2]]) for r in rows], "symbol string, broker string, date date, buy_shares long, sell_shares long, buy_amount double, sell_amount double")
+    prices = spark.createDataFrame([("X", d, c) for d, c in close.items()], "symbol string, date date, close double")
+    final = spark.createDataFrame([("X", "A", 1, 1.0, 2.0, 3.0), ("X", "B", 2, 0.0, 1.0, 1.0)], "symbol string, broker string, pos int, realized_pnl double, unrealized_pnl double, total_pnl double")
+    execution = spark.createDataFrame([("X", "A", 7, 0.5)], "symbol string, broker string, trades long, execution_alpha double")
+    out = {r.broker: r for r in so.ranking_report(daily, final, execution, se.returns(prices), prices, 20).collect()}
+    days = dates[1:]
+    ret = np.array([close[d] / close[p] - 1 for p, d in zip(dates, days, strict=False)])
+    for b in "AB":
+        net = {r[2]: r[3] - r[4] for r in rows if r[1] == b}
+        x = np.array([net.get(d, 0) for d in days], float)
+        assert abs(out[b].timing_alpha - ((x[:-1] - x.mean()) * ret[1:]).sum()) < 1e-9
+        assert abs(out[b].lead_corr - np.corrcoef(x[:-1], ret[1:])[0, 1]) < 1e-9 and abs(out[b].lag_corr - np.corrcoef(ret[:-1], x[1:])[0, 1]) < 1e-9
+        assert out[b].style == ("with the trend" if out[b].lag_corr > 0.05 else "against it" if out[b].lag_corr < -0.05 else "neutral") and 0 <= out[b].p <= 1
+        assert out[b].trading_days == len(net) and out[b].cumulative_net == sum(net.values())
+    assert (out["A"].trades, out["A"].execution_alpha, out["B"].trades, out["B"].execution_alpha) == (7, 0.5, 0, None)
+    assert out["C"].timing_alpha is None and out["C"].p is None and out["C"].style is None and out["C"].timing is None and out["C"].rank is None and out["C"].trading_days == 5
