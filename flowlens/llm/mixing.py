@@ -10,8 +10,8 @@ from .common import Scratch, let, words
 
 #: Weights that sources take in turn, and the share of all words that the mix holds (fixed values of the contract).
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Words of a block, slots of an output shard, documents behind a bucket of the running totals, slots made in one row's turn, and rounds of the index permutations.
-BLOCK, SHARD_SLOTS, BUCKET_DOCS, CHUNK_SLOTS, ROUNDS = 32, 4096, 4096, 65_536, 8
+#: Words of a block, slots of an output shard, shards behind one row of the running numbers, documents behind a bucket of the running totals, slots drawn by a quarter of a task, cells of the look-up of a draw, and rounds of the index permutations.
+BLOCK, SHARD_SLOTS, SHARD_GROUP, BUCKET_DOCS, CHUNK_SLOTS, CELLS, ROUNDS = 32, 4096, 4096, 4096, 65_536, 65_536, 8
 
 
 def permuted(x: Column, n: Column, seed: Column) -> Column:
@@ -67,7 +67,7 @@ class Mixture:
             slots = min(round(t * blocks / n), 2 * blocks) if n else 0
             rows.append((s, i, n, t, blocks, slots, start))
             start += slots
-        self.n_slots = start
+        self.n_slots, self.slots_of = start, [(r[1], r[5]) for r in rows]
         self.sources = spark.createDataFrame(rows, "source string, no int, source_size long, target double, blocks long, slots long, first_slot long").coalesce(1)
         #: One row for each source, a few numbers wide: broadcast only up to so many sources.
         self.few = len(rows) <= 100_000
@@ -86,24 +86,74 @@ class Mixture:
         low = F.greatest(F.col("start"), F.col("block") * BLOCK)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
         self.pieces = pieces.withColumn("from", low - F.col("start")).withColumn("n", high - low)
-        # the sources' slots laid end to end are permuted into the output: drawing without replacement, a multinomial draw in each shard given the totals
-        if self.n_slots:
-            # each source's slots are made in even chunks, so that a hot source is spread over many tasks
-            chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS)))
-            made = self.sources.where("slots > 0").withColumn("chunk", chunks).repartition(max(8, self.n_slots // CHUNK_SLOTS // 4), "no", "chunk")
-            last = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("slots")) - 1
-            drawn = made.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, last)))
-            slot = permuted(F.col("first_slot") + F.col("k"), F.lit(self.n_slots).cast("long"), F.lit(seed + 1))
-            k = F.col("k")
-            use = F.floor(k / F.col("blocks"))
-            index = permuted(k - use * F.col("blocks"), F.col("blocks"), F.col("no") * 2 + 1000 + seed)
-            drawn = drawn.select(slot.alias("slot"), "no", index.alias("block"), (use + 1).alias("use"))
-            self.slots = drawn.withColumn("shard", F.floor(F.col("slot") / SHARD_SLOTS))
-        else:
-            self.slots = spark.createDataFrame([], "slot long, shard long, no int, block long, use long")
+        #: (shard, no, drawn): the multinomial counts. (shard, no, first, n): runs of a source's slot numbers that a shard takes.
+        self.draws, self.runs = self.drawn(spark, seed)
+        ahead = W.partitionBy("shard").orderBy("no", "first").rowsBetween(W.unboundedPreceding, -1)
+        wide = F.least(F.lit(SHARD_SLOTS).cast("long"), self.n_slots - F.col("shard") * SHARD_SLOTS)
+        laid = self.runs.withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        blocks = self.sources.select("no", "blocks")
+        laid = laid.join(F.broadcast(blocks) if self.few else blocks, "no")
+        slot = F.col("shard") * SHARD_SLOTS + permuted(F.col("offset") + F.col("k"), wide, F.xxhash64(F.lit(seed + 1), "shard"))
+        number = F.col("first") + F.col("k")
+        use = F.floor(number / F.col("blocks"))
+        index = permuted(number - use * F.col("blocks"), F.col("blocks"), F.col("no") * 2 + 1000 + seed)
+        #: (slot, shard, no, block, use): the output's blocks in order.
+        self.slots = laid.select(slot.alias("slot"), "shard", "no", index.alias("block"), (use + 1).alias("use"))
         #: (no, block, uses): how often the mix takes each block.
         self.uses = scratch.keep(self.slots.groupBy("no", "block").agg(F.count("*").alias("uses")))
 
+    def drawn(self, spark, seed: int) -> tuple[DataFrame, DataFrame]:
+        """Draws of every shard and the runs of slot numbers that follow from them.
+
+        Every output slot falls on a source by a draw of its own, with probability in proportion to the sources' slots; counted by shard this is a multinomial draw.
+        A source's slots are numbered through its shards in order. Numbers beyond the source's slots (about the root of all slots, in its last shards)
+        go to the sources that were drawn too seldom, so that totals are met and no block is used more than twice.
+        """
+        n = self.n_slots
+        if not n:
+            return spark.createDataFrame([], "shard long, no int, drawn long"), spark.createDataFrame([], "shard long, no int, first long, n long")
+        points = spark.range(0, n, 1, max(8, n // CHUNK_SLOTS // 4)).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n).cast("long")).alias("at"))
+        ranges = self.sources.where("slots > 0").select("no", "first_slot", "slots")
+        draws = self.scratch.keep(self.located(points, ranges, n).groupBy("shard", "no").agg(F.count("*").alias("drawn")))
+        # running numbers of groups of shards, then within a group
+        group = F.floor(F.col("shard") / SHARD_GROUP).alias("group")
+        sums = self.scratch.keep(draws.groupBy("no", group).agg(F.sum("drawn").alias("words")))
+        before = W.partitionBy("no").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+        starts = sums.select("no", "group", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("group_start"))
+        inside = W.partitionBy("no", "group").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+        at = draws.withColumn("group", group).withColumn("inner", F.coalesce(F.sum("drawn").over(inside), F.lit(0))).join(starts, ["no", "group"])
+        # one row a source on the driver, as in `targets`
+        total = {r.no: int(r.n) for r in sums.groupBy("no").agg(F.sum("words").alias("n")).collect()}
+        over, short, given, wanted = [], [], 0, 0
+        for no, slots in self.slots_of:
+            gap = slots - total.get(no, 0)
+            over.append((no, slots, given))
+            given += max(-gap, 0)
+            if gap > 0:
+                short.append((no, wanted, gap, total.get(no, 0)))
+                wanted += gap
+        limits = spark.createDataFrame(over, "no int, slots long, given long").coalesce(1)
+        at = at.join(F.broadcast(limits) if self.few else limits, "no").withColumn("start", F.col("group_start") + F.col("inner"))
+        at = at.withColumn("own", F.greatest(F.lit(0).cast("long"), F.least("drawn", F.col("slots") - F.col("start"))))
+        runs = at.where("own > 0").select("shard", "no", F.col("start").alias("first"), F.col("own").alias("n"))
+        if short:
+            free = at.where("own < drawn").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - F.col("own") - 1)).alias("k"), (F.col("given") + F.greatest(F.col("start") - F.col("slots"), F.lit(0))).alias("first"))
+            open_ = spark.createDataFrame(short, "no int, first_slot long, slots long, drawn long").coalesce(1)
+            filled = self.located(free.select("shard", (F.col("first") + F.col("k")).alias("at")), open_, wanted)
+            runs = runs.union(filled.select("shard", "no", (F.col("drawn") + F.col("at") - F.col("first_slot")).alias("first"), F.lit(1).cast("long").alias("n")))
+        return draws, self.scratch.keep(runs)
+
+    def located(self, points: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
+        """The range (first_slot, slots) of each point `at` of 0..n-1: both are laid out over cells and meet by an equi-join.
+
+        There are at most CELLS cells, or four a range, so that a uniform point meets hardly more than one range on average, however many short ranges share a cell.
+        """
+        width = -(-n // max(CELLS, 4 * len(self.slots_of)))
+        last = F.col("first_slot") + F.col("slots") - 1
+        cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_slot") / width), F.floor(last / width))))
+        met = points.withColumn("cell", F.floor(F.col("at") / width)).join(F.broadcast(cells) if self.few else cells, "cell")
+        return met.where(F.col("at").between(F.col("first_slot"), last)).drop("cell")
+
     def counts(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every document."""
         at = self.pieces.join(self.uses, ["no", "block"], "left").withColumn("words", F.coalesce(F.col("n") * F.col("uses"), F.lit(0)))
@@ -111,16 +161,17 @@ class Mixture:
         return sums.select("doc_id", "size", "source_size", "target", "taken")
 
     def shards(self) -> DataFrame:
-        """shard, source number and slots drawn: the multinomial counts."""
-        return self.slots.groupBy("shard", "no").agg(F.count("*").alias("slots"))
+        """shard, no, drawn, slots: the multinomial count of a shard's slots on a source, and the slots it takes once totals are met."""
+        taken = self.runs.groupBy("shard", "no").agg(F.sum("n").alias("slots"))
+        return self.draws.join(taken, ["shard", "no"], "full").na.fill(0, ["drawn", "slots"])
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken: words that the mix takes of every document.
 
     Each source's documents are laid end to end in a seeded order and cut into blocks of BLOCK words (the last may be shorter). A source's slots are
-    its target in blocks. Output slots are dealt to sources by a pseudorandom permutation of all slots, so every shard's counts are
-    a multinomial draw conditioned on the totals; a slot's number within its source goes through the source's own permutation of block indexes,
+    its target in blocks. Each output shard draws how many of its slots every source gets, a multinomial count; what a source was drawn beyond its slots goes to those
+    drawn too seldom (see `Mixture.drawn`). A slot's number within its source goes through the source's own permutation of block indexes,
     one whole pass before any block is used again, and joins the block by its index. No block is used more than twice.
 
     Null text: size 0, nothing taken. A null source is a source of its own, last. Rows that repeat doc_id are documents each. Extra columns are ignored. Reruns agree.

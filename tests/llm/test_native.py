@@ -87,6 +87,39 @@ def test_mixing(docs, rows):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_draws(docs, monkeypatch):
+    """Shards' counts are free multinomial draws of the sources' shares; the slots taken meet every source's total, each slot once, and no block more than twice."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 4)
+    monkeypatch.setattr(mixing, "CELLS", 16)
+    m = mixing.Mixture(docs)
+    shards = m.shards().collect()
+    slots = {r.no: r.slots for r in m.sources.collect()}
+    n = m.n_slots
+    width = lambda k: min(64, n - 64 * k)
+    by_shard, taken, drawn = Counter(), Counter(), Counter()
+    for r in shards:
+        by_shard[r.shard] += r.drawn
+        taken[r.no] += r.slots
+        drawn[r.no] += r.drawn
+    whole = range(-(-n // 64))
+    assert dict(by_shard) == {k: width(k) for k in whole} and all(taken[i] == k for i, k in slots.items())
+    assert any(drawn[i] != k for i, k in slots.items())
+    # goodness of fit over shards and sources: the mean of a chi-square is its degrees of freedom
+    counts = {(r.shard, r.no): r.drawn for r in shards}
+    big = [i for i, k in slots.items() if k >= n // 50]
+    fit = sum((counts.get((k, i), 0) - width(k) * slots[i] / n) ** 2 / (width(k) * slots[i] / n * (1 - slots[i] / n)) for k in whole for i in big)
+    cells = len(whole) * len(big)
+    assert abs(fit - cells) < 6 * (2 * cells) ** 0.5
+    moved = sum(max(r.drawn - r.slots, 0) for r in shards)
+    assert moved <= 6 * n**0.5 * len(slots) ** 0.5
+    rows = m.slots.collect()
+    assert sorted(r.slot for r in rows) == list(range(n)) and all(r.slot // 64 == r.shard for r in rows)
+    assert max(Counter((r.no, r.block) for r in rows).values()) <= 2
+    assert len({(r.no, r.block, r.use) for r in rows}) == n
+    assert mixing.Mixture(docs.limit(0)).shards().count() == 0
+
+
 def test_mixed_documents(docs):
     m = mixing.mixed_documents(docs)
     words = Counter()
