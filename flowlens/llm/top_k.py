@@ -81,6 +81,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     Vectors that are null or hold null or non-finite components, and null ids, take no part. Vectors of another length
     than the query's are no candidates. Rows that repeat a query's vec_id are not candidates of that query; a repeated
     id counts once as a query, and repeated other rows are candidates each. Extra columns are ignored. No queries or candidates: no rows.
+    Scores beyond 64 bits stand as the largest or smallest long.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "top-k")
     v = F.col("embedding").cast("array<double>")
@@ -88,7 +89,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    tiles = max(1, -(-n // every // TILE_QUERIES))
+    queries = scratch.keep(rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"]))
+    tiles = max(1, -(-queries.count() // TILE_QUERIES))
+
     def tiled(df: DataFrame, parts: int, other: int, own: str, across: str) -> DataFrame:
         """df packed into `parts` tiles, each repeated for every tile of the other side: (own, across, width, ids, m)."""
         dealt = df.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("width", F.size("v"))
@@ -96,7 +99,6 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         return packed.withColumnRenamed("grp", own).withColumn(across, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
 
     x = tiled(rows, shards, tiles, "shard", "tile")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
     q = tiled(queries, tiles, shards, "tile", "shard").withColumnsRenamed({"ids": "q_ids", "m": "q_m"})
     best = x.join(q, ["shard", "tile", "width"]).mapInArrow(_tiles(k), "query_id long, part long, vec_id long, score long")
     by_rank = lambda *keys: W.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")

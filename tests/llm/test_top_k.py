@@ -29,6 +29,24 @@ def test_brute(spark, monkeypatch):
     assert sorted(tuple(x) for x in op.top_k(few).collect()) == brute(rows[:3], 10)
 
 
+def test_tiles_follow_the_number_of_queries(spark, monkeypatch):
+    """Where every row is a query, tiles hold no more than they should."""
+    monkeypatch.setattr(op, "SHARD_ROWS", 64)
+    monkeypatch.setattr(op, "TILE_QUERIES", 16)
+    r = random.Random(2)
+    rows = [(100 * i, [r.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sizes, product = spark.sparkContext.accumulator(0), op.product
+
+    def counted(q, x):
+        if len(q) > 40:  # 13 tiles of 200 queries dealt by a hash
+            sizes.add(1)
+        return product(q, x)
+
+    monkeypatch.setattr(op, "product", counted)
+    assert sorted(tuple(x) for x in op.top_k(df).collect()) == brute(rows, 10) and sizes.value == 0
+
+
 def test_sql(spark):
     import duckdb
 
