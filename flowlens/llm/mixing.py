@@ -90,7 +90,9 @@ class Mixture:
         self.draws, self.runs = self.drawn(spark, seed)
         ahead = W.partitionBy("shard").orderBy("no", "first").rowsBetween(W.unboundedPreceding, -1)
         wide = F.least(F.lit(SHARD_SLOTS).cast("long"), self.n_slots - F.col("shard") * SHARD_SLOTS)
-        laid = self.runs.withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        # runs are few and long: a stated number of tasks keeps them from being made into slots in one
+        spread = self.runs.repartition(max(8, self.n_slots // CHUNK_SLOTS // 4), "shard")
+        laid = spread.withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         blocks = self.sources.select("no", "blocks")
         laid = laid.join(F.broadcast(blocks) if self.few else blocks, "no")
         slot = F.col("shard") * SHARD_SLOTS + permuted(F.col("offset") + F.col("k"), wide, F.xxhash64(F.lit(seed + 1), "shard"))
