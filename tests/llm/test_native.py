@@ -204,6 +204,17 @@ def test_licences(spark, docs):
         assert bool(out[r.doc_id].families) == has, r.text
 
 
+def test_licence_negatives_are_different(spark, monkeypatch):
+    """A line repeated all over the corpus fills no sample; a small corpus gives all its lines."""
+    monkeypatch.setattr(licenses, "NEGATIVES", 50)
+    common = [(i, "the same footer on each page\nline number %d of its own" % i) for i in range(600)]
+    got = [r.paragraph for r in licenses.negatives(spark.createDataFrame(common, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) == 50
+    few = spark.createDataFrame([*common[:3], *common[:3], (None, None), (9, "copyright of nobody")], "doc_id long, text string")
+    assert sorted(r.paragraph for r in licenses.negatives(few).collect()) == sorted({x for _, t in common[:3] for x in t.split("\n")})
+    assert licenses.negatives(few.limit(0)).count() == 0
+
+
 def test_wrapped_licences(spark, docs):
     gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
     mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights"]
