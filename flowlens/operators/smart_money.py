@@ -59,6 +59,8 @@ def placebo_events(marks: DataFrame, large: DataFrame, k: int = 20, window: int
 
 
 SIDES = {1: "accumulation", -1: "distribution"}
+#: Picks of a task of the pooled study, and rows of its pool up to which that is broadcast (24 bytes each).
+PICKS_A_TASK, BROADCAST_ROWS = 2_000_000, 500_000
 
 
 def event_study(events: DataFrame, placebo: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 20), draws: int = 10_000) -> DataFrame:
@@ -103,6 +105,9 @@ def pooled_study(events: DataFrame, prices: DataFrame, horizons: tuple[int, ...]
 
     The pool of dates grows with the symbols, so that no task holds it: it is numbered in hash order, a draw cuts the numbers into as many blocks as there are events
     and takes one of each, so that all differ; they meet the pool by an equi-join and are averaged by draw. Means are compared to the millionth.
+
+    Draws are dealt over tasks before they are laid out: what they become is many times what Spark expects of so small a table, so the side that is
+    broadcast is named, the pool up to a count, and never the draws.
     """
     spark = prices.sparkSession
     folder = tb.workspace(spark, "pooled-study")
@@ -115,12 +120,16 @@ def pooled_study(events: DataFrame, prices: DataFrame, horizons: tuple[int, ...]
     b = pool.groupBy("horizon").agg(*agg()).withColumnsRenamed({"m": "bm", "v": "bv", "n": "bn"})
     c = tb.stored(a.join(b, "horizon").where("n >= 3 and bn >= 3"), folder, "tests")
     draw = c.select("side", "horizon", "n", F.col("bn").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    tasks = (c.agg(F.sum("n")).first()[0] or 0) * draws // PICKS_A_TASK + spark.sparkContext.defaultParallelism
+    draw = draw.repartition(tasks, "side", "horizon", "draw")
     # as many blocks of equal length as there are events, and one number out of each
     picks = draw.withColumn("step", F.greatest(F.floor(F.col("size") / F.col("n")), F.lit(1))).withColumn("start", pm.hash_of(F.col("horizon"), F.col("draw")) % F.col("size"))
     picks = picks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "size") - 1)))
     within = pm.hash_of(F.col("j") + F.col("horizon") * 131071, F.col("draw")) % F.col("step")
     picks = picks.select("side", "horizon", "draw", ((F.col("start") + F.col("j") * F.col("step") + within) % F.col("size")).alias("k"))
-    means = picks.join(pool.select("horizon", "k", "scar"), ["horizon", "k"]).groupBy("side", "horizon", "draw").agg(F.avg("scar").alias("drawn"))
+    numbers = pool.select("horizon", "k", "scar")
+    numbers = F.broadcast(numbers) if pool.count() <= BROADCAST_ROWS else numbers.hint("shuffle_hash")
+    means = picks.join(numbers, ["horizon", "k"]).groupBy("side", "horizon", "draw").agg(F.avg("scar").alias("drawn"))
     away = lambda x: F.floor(F.abs(x) * 1e6 + 0.5)
     far = means.join(c.select("side", "horizon", "m"), ["side", "horizon"]).groupBy("side", "horizon").agg((F.count_if(away(F.col("drawn")) >= away(F.col("m"))) / F.lit(draws)).alias("p"))
     args = [F.col(x) for x in ("m", "v", "n", "bm", "bv", "bn")]

@@ -304,3 +304,17 @@ def test_day_files_and_every_symbol(spark, tmp_path):
     assert tb.day_files(spark, f"{tmp_path}/days/*-02.parquet", schema).count() == 1
     tb.write_by_symbol(df, f"{tmp_path}/by")
     assert sorted((r.symbol, r.broker, r.date) for r in tb.every_symbol(spark, f"{tmp_path}/by", "broker string, date date").collect()) == sorted(rows)
+
+
+def test_draws_of_the_pool_are_never_broadcast(spark):
+    """A few tests become thousands of draws a test, which Spark expects to be as small as the tests: they must not be gathered on the driver."""
+    r = random.Random(6)
+    prices = prices_of(spark, {s: walk(r, 80) for s in "AB"})
+    events = spark.createDataFrame([(s, D0 + dt.timedelta(days=i), 1) for s in "AB" for i in range(5, 60, 9)], "symbol string, date date, direction int")
+    plan = sm.pooled_study(events, prices, (1, 5), draws=50)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    sent = [i for i, line in enumerate(plan) if "BroadcastExchange" in line]
+    assert sent
+    for i in sent:
+        below = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(plan[i])), len(plan))
+        assert not any("Generate" in line for line in plan[i:below])
