@@ -14,10 +14,17 @@ def net() -> Column:
 
 
 def large_trades(daily: DataFrame, sigma: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Days on which an account's net shares lie more than sigma (sample) deviations from its mean over the days it traded."""
+    """Days on which an account's net shares lie more than sigma (sample) deviations from its mean over the days it traded.
+
+    Net shares are whole, so that both sides of (n x - S)^2 (n - 1) > sigma^2 n (n Q - S^2), with the account's n days, sum S and sum of squares Q, are whole numbers
+    (exact up to 2^53): a day at exactly sigma deviations is out, whatever the order of summation. z follows from the same sums.
+    """
     w = W.partitionBy(*by, *ACCOUNT)
-    z = daily.withColumn("net", net()).withColumn("mean", F.avg("net").over(w)).withColumn("std", F.stddev_samp("net").over(w)).where("std > 0")
-    z = z.withColumn("z", (F.col("net") - F.col("mean")) / F.col("std")).where(F.abs("z") > sigma)
+    x = daily.withColumn("net", net()).withColumns({"n": F.count("net").over(w).cast("double"), "s": F.sum("net").over(w).cast("double"), "q": F.sum(F.col("net") * F.col("net")).over(w).cast("double")})
+    x = x.withColumns({"away": F.col("n") * F.col("net") - F.col("s"), "spread": F.col("n") * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))}).where("n > 1 and spread > 0")
+    x = x.where(F.col("away") * F.col("away") * (F.col("n") - 1) > sigma * sigma * F.col("spread"))
+    x = x.withColumns({"mean": F.col("s") / F.col("n"), "std": F.sqrt(F.col("spread") / (F.col("n") - 1)) / F.col("n"), "z": F.col("away") / F.sqrt(F.col("spread") / (F.col("n") - 1))})
+    z = x.drop("n", "s", "q", "away", "spread")
     return z.withColumn("direction", F.signum("z").cast("int"))
 
 

@@ -32,10 +32,11 @@ _CTE = {
     "fifo": "fifo as (select p.symbol, p.broker, p.date, (cost_s - cost_b) - coalesce(lag(cost_s - cost_b) over (partition by p.symbol, p.broker order by p.date), 0) realized_pnl, (b - s) * \"close\" - (bc - cost_b) + (sc - cost_s) unrealized_pnl, cast(b - s as bigint) net, buy_shares, sell_shares, buy_amount, sell_amount, \"close\" from pos p join prices q on p.symbol = q.symbol and p.date = q.date)",
     "state": "state as (select z.symbol, z.broker, cost_s - cost_b realized_pnl, (b - s) * \"close\" - (bc - cost_b) + (sc - cost_s) unrealized_pnl, bc total_buy_amount, sc total_sell_amount, cost_s - cost_b + (b - s) * \"close\" - (bc - cost_b) + (sc - cost_s) total_pnl from (select * from pos qualify row_number() over (partition by symbol, broker order by date desc) = 1) z join (select symbol, arg_max(\"close\", date) \"close\" from prices group by 1) f on z.symbol = f.symbol)",
     "large": "large as (select *, cast(sign(z) as int) direction from (select *, (net - mean) / std z from (select *, avg(net) over w mean, stddev_samp(net) over w std from (select *, buy_shares - sell_shares net from daily) window w as (partition by symbol, broker)) where std > 0) where abs(z) > 2)",
+    "exact_large": "large as (select symbol, broker, date, buy_shares, sell_shares, net, away / sqrt(spread / (n - 1)) z, cast(sign(away) as int) direction from (select *, n * net - s away, n * (n * q - s * s) spread from (select *, cast(count(*) over w as double) n, cast(sum(net) over w as double) s, cast(sum(net * net) over w as double) q from (select *, buy_shares - sell_shares net from daily) window w as (partition by symbol, broker))) where n > 1 and spread > 0 and away * away * (n - 1) > 4.0 * spread)",
     "rets": "rets as (select symbol, date, \"close\", \"close\" / lag(\"close\") over (partition by symbol order by date) - 1 ret from prices qualify lag(\"close\") over (partition by symbol order by date) > 0)",
     "ticks": "ticks as (select event_id, event_type symbol, concat('U', user_id) broker, ts, value price from events)",
 }
-_NEEDS = {"daily": ["prints"], "prices": ["prints"], "cum": ["daily"], "pos": ["cum"], "fifo": ["pos", "prices"], "state": ["pos", "prices"], "large": ["daily"], "rets": ["prices"]}
+_NEEDS = {"daily": ["prints"], "prices": ["prints"], "cum": ["daily"], "pos": ["cum"], "fifo": ["pos", "prices"], "state": ["pos", "prices"], "large": ["daily"], "exact_large": ["daily"], "rets": ["prices"]}
 
 
 def _with(names: str, body: str) -> str:
@@ -400,7 +401,7 @@ def f16_average_rank(t):
 # ---------------------------------------------------------------- large trades, events, selectors, filters
 
 
-@query("large", "select symbol, broker, date, round(z, 6) z, direction from large")
+@query("exact_large", "select symbol, broker, date, round(z, 6) z, direction from large")
 def g1_large_trades(t):
     return t.large.select("symbol", "broker", "date", rd("z", 6).alias("z"), "direction")
 
@@ -418,7 +419,7 @@ def g6_churn(t):
 _EVENTS = "select symbol, date, cast(sign(sum(direction)) as int) direction, abs(sum(direction)) signal_value, count(*) signal_count from large group by all having sum(direction) <> 0"
 
 
-@query("large", _EVENTS.replace("abs(sum(direction))", "cast(abs(sum(direction)) as bigint)"))
+@query("exact_large", _EVENTS.replace("abs(sum(direction))", "cast(abs(sum(direction)) as bigint)"))
 def i1_large_trade_events(t):
     return ev.large_trade_events(t.large)
 

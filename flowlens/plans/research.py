@@ -66,7 +66,7 @@ _DECAY = f""", e as ({_EVENTS}), b as (select symbol, date, "close", row_number(
     select d, round(avg(direction * (y."close" / x."close" - 1) * 10000), 4) car_bps, count(*) n from e join b x on x.symbol = e.symbol and x.date = e.date cross join (select unnest(range(1, 21)) d) join b y on y.symbol = x.symbol and y.i = x.i + d group by 1"""
 
 
-@query("large prices", _DECAY)
+@query("exact_large prices", _DECAY)
 def f8_car_decay(t):
     b = t.prices.select("symbol", "date", "close", F.row_number().over(se.by_symbol()).alias("i"))
     x = ev.large_trade_events(t.large).join(b, ["symbol", "date"]).select("symbol", "direction", F.col("close").alias("from"), "i", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("d"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 from collections import deque
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.stats import normal_p
+from flowlens.operators import backtest as bt
 from flowlens.operators import events as ev
 from flowlens.operators import fifo as ff
 from flowlens.operators import holdings as ho
@@ -207,3 +209,32 @@ def test_ranking_report_against_loops(spark):
         assert out[b].trading_days == len(net) and out[b].cumulative_net == sum(net.values())
     assert (out["A"].trades, out["A"].execution_alpha, out["B"].trades, out["B"].execution_alpha) == (7, 0.5, 0, None)
     assert out["C"].timing_alpha is None and out["C"].p is None and out["C"].style is None and out["C"].timing is None and out["C"].rank is None and out["C"].trading_days == 5
+
+
+def test_a_day_at_exactly_sigma_deviations_is_not_large(spark):
+    """Accounts of 6 to 12 days, one of which lies at exactly two deviations: whole sums decide, not the order of a floating-point one."""
+    import itertools
+
+    rows, k = [], 0
+    for n in range(6, 13):
+        for rest in itertools.combinations_with_replacement(range(0, 9), 3):
+            nets = [*rest, *[0] * (n - 4)]
+            for x in range(1, 80):
+                v = [*nets, x]
+                s, q = sum(v), sum(a * a for a in v)
+                if n * x > s and (n * x - s) ** 2 * (n - 1) == 4 * n * (n * q - s * s):
+                    for scale in (1, 3, 7, 61):
+                        rows += [("A", f"b{k}", dt.date(2020, 1, 1 + i), a * scale, 0) for i, a in enumerate(v)]
+                        k += 1
+    assert k > 50
+    daily = spark.createDataFrame(rows, "symbol string, broker string, date date, buy_shares long, sell_shares long")
+    assert ev.large_trades(daily).count() == 0
+    assert ev.large_trades(daily, 1.99).select("broker").distinct().count() == k
+
+
+def test_equity_beyond_a_double(spark):
+    """Returns that multiply to more than a double holds: logarithm, sign and drawdown stay finite and right."""
+    days = [("x", dt.date(2020, 1, 1) + dt.timedelta(days=i), r) for i, r in enumerate([1e9] * 40 + [-0.5, -3.0, -0.5])]
+    x = bt.performance(spark.createDataFrame(days, "strategy string, date date, ret double"), ("strategy",)).first()
+    assert x.log_equity == pytest.approx(40 * math.log1p(1e9) + math.log(0.5 * 2 * 0.5), rel=1e-12) and x.equity_sign == -1
+    assert x.max_drawdown == pytest.approx(-2.0)
