@@ -34,13 +34,21 @@ def _product(one_plus: Column, over=None) -> Column:
 
 
 def performance(returns: DataFrame, keys: tuple[str, ...], value: str = "ret") -> DataFrame:
-    """Per key: days, total_return, sharpe (population deviation, by the root of 252), max_drawdown from 1 on, calmar. Keys without deviation or drawdown have 0."""
+    """Per key: days, total_return, log_equity and equity_sign (the same without overflow), sharpe (population deviation, by the root of 252), max_drawdown from 1 on, calmar. Keys without deviation or drawdown have 0.
+
+    Equity is kept as the logarithm of its size and its sign (0 once a factor is 0), so that neither peaks nor drawdowns leave the range of a double.
+    """
     w = W.partitionBy(*keys).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    x = returns.withColumn("equity", _product(1 + F.col(value), w)).withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1.0)))
-    g = x.groupBy(*keys).agg(F.count("*").alias("days"), (F.max_by("equity", "date") - 1).alias("total_return"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.least(F.min(F.col("equity") / F.col("peak") - 1), F.lit(0.0)).alias("max_drawdown"))
+    f = 1 + F.col(value)
+    sign = F.when(F.count_if(f == 0).over(w) > 0, 0).when(F.count_if(f < 0).over(w) % 2 == 1, -1).otherwise(1)
+    x = returns.withColumns({"size": F.sum(F.log(F.when(f == 0, F.lit(1.0)).otherwise(F.abs(f)))).over(w), "sign": sign})
+    x = x.withColumn("peak", F.greatest(F.max(F.when(F.col("sign") > 0, F.col("size"))).over(w), F.lit(0.0)))
+    last = lambda c: F.max_by(c, "date")
+    g = x.groupBy(*keys).agg(F.count("*").alias("days"), last("size").alias("log_equity"), last("sign").alias("equity_sign"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.least(F.min(F.col("sign") * F.exp(F.col("size") - F.col("peak")) - 1), F.lit(0.0)).alias("max_drawdown"))
+    g = g.withColumn("total_return", F.col("equity_sign") * F.exp("log_equity") - 1)
     sharpe = F.when(F.col("s") > 0, F.col("m") / F.col("s") * F.sqrt(F.lit(252.0))).otherwise(0.0)
     calmar = F.when(F.col("max_drawdown") < 0, F.col("total_return") / -F.col("max_drawdown")).otherwise(0.0)
-    return g.select(*keys, "days", "total_return", sharpe.alias("sharpe"), "max_drawdown", calmar.alias("calmar"))
+    return g.select(*keys, "days", "total_return", "log_equity", "equity_sign", sharpe.alias("sharpe"), "max_drawdown", calmar.alias("calmar"))
 
 
 def monthly(returns: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -24,7 +24,8 @@ _CTE["marks"] = """marks as (select * from (select p.symbol, p.broker, q.date, c
     from (select *, cost_s - cost_b rt, lag(cost_s - cost_b) over w before, lead(date) over w nxt from mpos window w as (partition by symbol, broker order by date)) p
     join prices q on p.symbol = q.symbol and q.date >= p.date and (nxt is null or q.date < nxt)) where abs(realized_pnl) > 1e-6 or abs(unrealized_pnl) > 1e-6)"""
 _CTE["mlarge"] = _CTE["large"].replace("large as", "mlarge as").replace("from daily", "from mdaily")
-_NEEDS.update({"mdaily": ["prints"], "mcum": ["mdaily"], "mpos": ["mcum"], "marks": ["mpos", "prices"], "mlarge": ["mdaily"]})
+_CTE["exact_mlarge"] = _CTE["exact_large"].replace("large as", "mlarge as", 1).replace("from daily", "from mdaily")
+_NEEDS.update({"mdaily": ["prints"], "mcum": ["mdaily"], "mpos": ["mcum"], "marks": ["mpos", "prices"], "mlarge": ["mdaily"], "exact_mlarge": ["mdaily"]})
 
 
 def _mapping(t):

@@ -84,12 +84,16 @@ def signals(t):
     return named("large", 1).unionByName(named("contrary", -1)).unionByName(buyers)
 
 
-@query("mdaily mlarge prices", f""", {_SIGNALS}, nx as (select symbol, date, lead(date) over w nd, lead(open) over w no, lead("close") over w nc from prices window w as (partition by symbol order by date)),
-    pd as (select strategy, nd date, avg(direction * (nc / no - 1)) - {_COST} ret from si join nx using (symbol, date) where no > 0 group by all), pf as {_performance_sql("pd", "strategy")}, wr as (select strategy, avg(cast(ret > 0 as int)) wr from pd group by 1)
-    select strategy, days, round(total_return, 6) total_return, round(sharpe, 5) sharpe, round(max_drawdown, 6) max_drawdown, round(wr, 6) win_rate, row_number() over (order by floor(sharpe * 1e9 + 0.5) desc, strategy) as rank from pf join wr using (strategy)""")
+@query("mdaily exact_mlarge prices", f""", {_SIGNALS}, nx as (select symbol, date, lead(date) over w nd, lead(open) over w no, lead("close") over w nc from prices window w as (partition by symbol order by date)),
+    pd as (select strategy, nd date, avg(direction * (nc / no - 1)) - {_COST} ret from si join nx using (symbol, date) where no > 0 group by all), wr as (select strategy, avg(cast(ret > 0 as int)) wr from pd group by 1),
+    eq as (select *, sum(ln(case when 1 + ret = 0 then 1 else abs(1 + ret) end)) over w size, case when count(*) filter (1 + ret = 0) over w > 0 then 0 when count(*) filter (1 + ret < 0) over w % 2 = 1 then -1 else 1 end sg from pd window w as (partition by strategy order by date)),
+    pk as (select *, greatest(max(case when sg > 0 then size end) over (partition by strategy order by date), 0.0) peak from eq),
+    pf as (select strategy, count(*) as days, arg_max(size, date) log_equity, arg_max(sg, date) equity_sign, case when stddev_pop(ret) > 0 then avg(ret) / stddev_pop(ret) * sqrt(252) else 0 end sharpe, least(min(sg * exp(size - peak) - 1), 0) max_drawdown from pk group by 1)
+    select strategy, days, round(log_equity, 6) log_equity, equity_sign, round(sharpe, 5) sharpe, round(max_drawdown, 6) max_drawdown, round(wr, 6) win_rate, row_number() over (order by floor(sharpe * 1e9 + 0.5) desc, strategy) as rank from pf join wr using (strategy)""")
 def m12_signal_portfolios(t):
+    """Equity as the logarithm of its size and its sign: over these tables the total itself leaves the range of a double."""
     p = bt.portfolio(signals(t), t.prices)
-    return p.select("strategy", "days", rd("total_return", 6).alias("total_return"), rd("sharpe", 5).alias("sharpe"), rd("max_drawdown", 6).alias("max_drawdown"), rd("win_rate", 6).alias("win_rate"), "rank")
+    return p.select("strategy", "days", rd("log_equity", 6).alias("log_equity"), "equity_sign", rd("sharpe", 5).alias("sharpe"), rd("max_drawdown", 6).alias("max_drawdown"), rd("win_rate", 6).alias("win_rate"), "rank")
 
 
 @query("mdaily mlarge prices", f""", {_SIGNALS}, hz as ({" union all ".join(f'select symbol, date, "close", lead(date) over w en, {h} horizon, lead("close", {h + 1}) over w xt from prices window w as (partition by symbol order by date)' for h in HORIZONS)}),
