@@ -79,12 +79,31 @@ def open_lots(daily: DataFrame) -> DataFrame:
     return side("long", "b", "buy_shares", "buy_amount").unionByName(side("short", "s", "sell_shares", "sell_amount"))
 
 
-def last_state(fifo: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per account: realised profit, profit of what is open at the symbol's last close, and amounts traded."""
-    last = F.max_by(F.struct("b", "s", "bc", "sc", "cost_b", "cost_s", "realized_total"), "date").alias("z")
-    at = fifo.groupBy(*ACCOUNT).agg(last, F.sum("buy_amount").alias("total_buy_amount"), F.sum("sell_amount").alias("total_sell_amount"))
+def last_state(daily: DataFrame, prices: DataFrame, start: str | None = None) -> DataFrame:
+    """Per account: realised profit, profit of what is open at the symbol's last close, and amounts traded; with `start`, late_pnl (realised from then on) as well.
+
+    The cost of the first m shares of a side is a sum over its days, each with what of it lies below m, so that no day is looked up and accounts are sorted once.
+    """
+    order = W.partitionBy(*ACCOUNT).orderBy("date")
+    run, whole = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = daily.withColumns({"b": F.sum("buy_shares").over(run), "s": F.sum("sell_shares").over(run), "m": F.least(F.sum("buy_shares").over(whole), F.sum("sell_shares").over(whole))})
+
+    def cost(total: str, side: str, m: str) -> Column:
+        before = F.col(total) - F.col(f"{side}_shares")
+        part = (F.col(m) - before) * (F.col(f"{side}_amount") / F.col(f"{side}_shares"))
+        return F.sum(F.when((F.col(f"{side}_shares") == 0) | (F.col(m) <= before), F.lit(0.0)).when(F.col(m) >= F.col(total), F.col(f"{side}_amount")).otherwise(part))
+
+    late = []
+    if start is not None:
+        early = lambda c: F.sum(F.when(F.col("date") < F.lit(start).cast("date"), F.col(c)).otherwise(F.lit(0))).over(whole)
+        x = x.withColumn("m0", F.least(early("buy_shares"), early("sell_shares")))
+        late = [(cost("s", "sell", "m0") - cost("b", "buy", "m0")).alias("early_pnl")]
+    sums = [F.sum(f"{side}_{c}").alias(a) for a, side, c in (("b", "buy", "shares"), ("s", "sell", "shares"), ("bc", "buy", "amount"), ("sc", "sell", "amount"))]
+    at = x.groupBy(*ACCOUNT).agg(*sums, cost("b", "buy", "m").alias("cost_b"), cost("s", "sell", "m").alias("cost_s"), *late)
     final = prices.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
-    return at.select(*ACCOUNT, "z.*", "total_buy_amount", "total_sell_amount").join(final, "symbol").select(*ACCOUNT, F.col("realized_total").alias("realized_pnl"), unrealized(F.col("close")).alias("unrealized_pnl"), "total_buy_amount", "total_sell_amount").withColumn("total_pnl", F.col("realized_pnl") + F.col("unrealized_pnl"))
+    at = at.join(final, "symbol").withColumns({"realized_pnl": F.col("cost_s") - F.col("cost_b"), "unrealized_pnl": unrealized(F.col("close"))})
+    late = [] if start is None else [(F.col("realized_pnl") - F.col("early_pnl")).alias("late_pnl")]
+    return at.select(*ACCOUNT, "realized_pnl", "unrealized_pnl", F.col("bc").alias("total_buy_amount"), F.col("sc").alias("total_sell_amount"), (F.col("realized_pnl") + F.col("unrealized_pnl")).alias("total_pnl"), *late)
 
 
 def symbol_ranking(state: DataFrame) -> DataFrame:
@@ -114,15 +133,34 @@ def seeded(lots: DataFrame, fresh: DataFrame) -> DataFrame:
     return seed.unionByName(fresh.select(*ACCOUNT, "date", "buy_shares", "sell_shares", "buy_amount", "sell_amount", F.lit(True).alias("fresh")))
 
 
-def resumed_daily(lots: DataFrame, fresh: DataFrame, prices: DataFrame) -> DataFrame:
-    """As fifo_daily for days after those that left `lots` open; the history itself is not read."""
+def resumed_daily(lots: DataFrame, fresh: DataFrame, prices: DataFrame, tasks: int | None = None) -> DataFrame:
+    """As fifo_daily for days after those that left `lots` open; the history itself is not read. Accounts are dealt over `tasks` tasks, if given."""
     w = W.partitionBy(*ACCOUNT).orderBy("date")
-    p = positions(seeded(lots, fresh))
+    days = seeded(lots, fresh)
+    p = positions(days if tasks is None else days.repartition(tasks, *ACCOUNT))
     today = F.col("realized_total") - F.coalesce(F.lag("realized_total").over(w), F.lit(0.0))
     p = p.withColumn("realized_pnl", today).where("fresh").join(prices.select("symbol", "date", "close"), ["symbol", "date"])
     return p.select(*ACCOUNT, "date", "realized_pnl", unrealized(F.col("close")).alias("unrealized_pnl"), (F.col("b") - F.col("s")).alias("net"))
 
 
+def resumed_holdings(lots: DataFrame, fresh: DataFrame) -> DataFrame:
+    """What each account made on its days after those that left `lots` open, and what it holds from each on: net shares and `base`, its mark being net * close + base."""
+    w = W.partitionBy(*ACCOUNT).orderBy("date")
+    p = positions(seeded(lots, fresh)).withColumn("realized_pnl", F.col("realized_total") - F.coalesce(F.lag("realized_total").over(w), F.lit(0.0)))
+    return p.where("fresh").select(*ACCOUNT, "date", "realized_pnl", (F.col("b") - F.col("s")).alias("net"), unrealized(F.lit(0.0)).alias("base"))
+
+
+def held_marks(holdings: DataFrame, closes: DataFrame) -> DataFrame:
+    """Marks of every account on every date of its symbol from its first day in `holdings` on; a day's holding lasts until the account's next. Rows in which both figures are 0 are left out."""
+    days = closes.select("symbol", "date", "close").withColumn("day", F.row_number().over(W.partitionBy("symbol").orderBy("date")))
+    last = days.groupBy("symbol").agg(F.max("day").alias("last_day"))
+    p = holdings.join(days.select("symbol", "date", "day"), ["symbol", "date"]).join(last, "symbol")
+    p = p.withColumn("until", F.coalesce(F.lead("day").over(W.partitionBy(*ACCOUNT).orderBy("date")) - 1, "last_day")).drop("date").withColumnRenamed("day", "first")
+    at = p.withColumn("day", F.explode(F.sequence("first", "until"))).join(days, ["symbol", "day"])
+    out = at.select(*ACCOUNT, "date", F.when(F.col("day") == F.col("first"), F.col("realized_pnl")).otherwise(F.lit(0.0)).alias("realized_pnl"), (F.col("net") * F.col("close") + F.col("base")).alias("unrealized_pnl"))
+    return out.where((F.abs("realized_pnl") > 1e-6) | (F.abs("unrealized_pnl") > 1e-6))
+
+
 def resumed_marks(lots: DataFrame, fresh: DataFrame, closes: DataFrame) -> DataFrame:
     """Marks of every account on every date of `closes` (those after `lots` were left open): of what was open and has not traded since as well.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,6 +23,8 @@ SQL: dict[str, str] = {}
 #: Train window end, test window, and amounts scale of the derived tables (fixed values).
 START, TRAIN_END, TEST_START, TEST_END = "1997-01-01", "1999-06-30", "1999-07-01", "2001-11-04"
 HORIZONS = (1, 5, 10, 20)
+#: Prints of a task that holds whole accounts.
+PRINTS_A_TASK = 200_000
 
 _CTE = {
     "prints": "prints as (select p_brand symbol, concat('S', l_suppkey) broker, cast(l_shipdate as date) date, l_extendedprice / l_quantity price, case when l_linestatus = 'O' then cast(l_quantity as bigint) else 0 end buy, case when l_linestatus = 'F' then cast(l_quantity as bigint) else 0 end sell, l_orderkey, l_linenumber from lineitem join part on l_partkey = p_partkey)",
@@ -65,8 +68,13 @@ class _T:
     prints = property(lambda t: tb.prints(t.spark, t.dir))
     daily = property(lambda t: tb.daily_summary(t.prints))
     prices = property(lambda t: tb.prices(t.prints))
-    fifo = property(lambda t: ff.fifo_daily(t.daily, t.prices))
-    state = property(lambda t: ff.last_state(t.fifo, t.prices))
+    #: Daily closes written once: a table of known size, so that days need not be dealt anew to meet them where it is small.
+    closes = cached_property(lambda t: tb.stored(t.prices.select("symbol", "date", "close"), tb.workspace(t.spark, "closes"), "closes"))
+    #: The tasks over which accounts are dealt follow the prints, so that what a task holds does not grow with them.
+    tasks = cached_property(lambda t: max(t.raw("lineitem").count() // PRINTS_A_TASK + 1, t.spark.sparkContext.defaultParallelism))
+    account_days = property(lambda t: tb.daily_summary(t.prints.repartition(t.tasks, "symbol", "broker")))
+    fifo = property(lambda t: ff.fifo_daily(t.account_days, t.closes))
+    state = property(lambda t: ff.last_state(t.account_days, t.closes))
     large = property(lambda t: ev.large_trades(t.daily))
     rets = property(lambda t: se.returns(t.prices))
     ticks = property(lambda t: tb.ticks(t.spark, t.dir))
@@ -300,10 +308,8 @@ def d4_forward_fill(t):
     from fifo f join state s on s.symbol = f.symbol and s.broker = f.broker group by all""")
 def d6_backtest_window(t):
     """Profit realised from START on and the mark of what is open at the symbol's last close; accounting starts with the first trade."""
-    f = t.fifo
-    late = f.where(F.col("date") >= F.lit(START).cast("date")).groupBy("symbol", "broker").agg(F.sum("realized_pnl").alias("late"))
-    s = ff.last_state(f, t.prices).select("symbol", "broker", "unrealized_pnl").join(late, ["symbol", "broker"], "left")
-    return s.select("symbol", "broker", rd(F.coalesce("late", F.lit(0.0)) + F.col("unrealized_pnl"), 3).alias("total_pnl"))
+    s = ff.last_state(t.account_days, t.closes, START)
+    return s.select("symbol", "broker", rd(F.col("late_pnl") + F.col("unrealized_pnl"), 3).alias("total_pnl"))
 
 
 @query("state", "select symbol, broker, round(total_pnl, 2) total_pnl, round(realized_pnl, 2) realized_pnl, round(unrealized_pnl, 2) unrealized_pnl, row_number() over (partition by symbol order by round(total_pnl, 4) desc, broker) as rank from state")

@@ -38,9 +38,9 @@ _GAPS = """gap as (select symbol, date, last_value(case when date_part('day', da
     from pos p join gap q on p.symbol = q.symbol and p.date = q.date where "close" is not null""")
 def d1_d4_filled_fifo(t):
     """FIFO where some days have no close: they are marked at the last one known, and their realised profit stays."""
-    d = t.daily
-    closes = se.filled_closes(t.prices.where(F.day("date") % 7 != 0), d.select("symbol", "date").distinct())
-    return ff.fifo_daily(d, closes).select("symbol", "broker", "date", rd("realized_pnl", 3).alias("realized_pnl"), rd("unrealized_pnl", 3).alias("unrealized_pnl"))
+    closes = se.filled_closes(t.closes.where(F.day("date") % 7 != 0), t.closes.select("symbol", "date"))
+    closes = tb.stored(closes, tb.workspace(t.spark, "filled"), "closes")
+    return ff.fifo_daily(t.account_days, closes).select("symbol", "broker", "date", rd("realized_pnl", 3).alias("realized_pnl"), rd("unrealized_pnl", 3).alias("unrealized_pnl"))
 
 
 # ---------------------------------------------------------------- smart-money events and their study
