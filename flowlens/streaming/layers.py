@@ -12,15 +12,16 @@ from flowlens.operators import fifo as ff
 from flowlens.sources import tables as tb
 
 _SUMS = "buy_shares long, sell_shares long, buy_amount double, sell_amount double"
-#: Columns of each layer but for its partitions. `daily`, `closes` and `marks` grow by one partition (symbol, as_of) a refresh; `lots` and `accounts` are whole in each.
+#: Columns of each layer but for its partitions. `daily`, `closes` and `holdings` grow by one partition (symbol, as_of) a refresh; `lots` and `accounts` are whole in each.
+#: `marks`, a row an account and date, are many times the days traded: they are not stored but laid out from `holdings` and `closes` when read.
 LAYERS = {
     "daily": f"broker string, date date, {_SUMS}",
     "closes": "date date, close double",
-    "marks": "broker string, date date, realized_pnl double, unrealized_pnl double",
+    "holdings": "broker string, date date, realized_pnl double, net long, base double",
     "lots": "broker string, side string, shares long, cost_per_share double, open_date date",
-    "accounts": "broker string, realized_pnl double, unrealized_pnl double, total_buy_amount double, total_sell_amount double, timing_alpha double",
+    "accounts": "broker string, realized_pnl double, unrealized_pnl double, total_buy_amount double, total_sell_amount double, timing_alpha double, net long, base double",
 }
-_GROWING = ("daily", "closes", "marks")
+_GROWING = ("daily", "closes", "holdings")
 
 
 class Layers:
@@ -44,7 +45,10 @@ class Layers:
         return self._raw("progress", "as_of date, symbol string").select("symbol", "as_of")
 
     def read(self, name: str, progress: DataFrame | None = None) -> DataFrame:
-        """A layer as far as refreshes have ended; of lots and accounts the last state of each symbol."""
+        """A layer as far as refreshes have ended; of lots and accounts the last state of each symbol. `marks` are laid out from what accounts hold."""
+        if name == "marks":
+            progress = self.progress() if progress is None else progress
+            return ff.held_marks(self.read("holdings", progress), self.read("closes", progress))
         raw = self._raw(name, f"{LAYERS[name]}, symbol string, as_of date")
         p = (self.progress() if progress is None else progress).select("symbol", F.col("as_of").alias("__done"))
         cond = F.col("as_of") <= F.col("__done") if name in _GROWING else F.col("as_of") == F.col("__done")
@@ -77,7 +81,7 @@ class Layers:
             stamped = lambda df: df.join(after, "symbol")
             self._write("daily", stamped(fresh))
             self._write("closes", stamped(closes))
-            self._write("marks", stamped(ff.resumed_marks(lots, fresh, closes)))
+            self._write("holdings", stamped(ff.resumed_holdings(lots, fresh)))
             self._write("lots", stamped(ff.open_lots(ff.seeded(lots, fresh)).select("symbol", "broker", "side", "shares", "cost_per_share", "open_date")))
             self._write("accounts", stamped(self._accounts(known, after)))
             self._write("progress", after, ("symbol",))
@@ -86,15 +90,19 @@ class Layers:
         return n.asDict()
 
     def _accounts(self, before: DataFrame, after: DataFrame) -> DataFrame:
-        """Sums of each account of the symbols in `after`: the stored sums and those of the rows just written. Timing alpha needs all stored days of these symbols, but no prints."""
+        """Sums of each account of the symbols in `after`: the stored sums and those of the rows just written, and the mark at the last close of what it held last. Timing alpha needs all stored days of these symbols, but no prints."""
         late = F.col("date") >= F.lit(self.start).cast("date")
         new = lambda name: self._raw(name, f"{LAYERS[name]}, symbol string, as_of date").join(after, ["symbol", "as_of"], "left_semi")
         zero = F.lit(0.0)
-        marks = new("marks").join(after.select("symbol", F.col("as_of").alias("last")), "symbol").select(
-            *ff.ACCOUNT, F.when(late, F.col("realized_pnl")).otherwise(zero).alias("realized_pnl"), F.when(F.col("date") == F.col("last"), F.col("unrealized_pnl")).otherwise(zero).alias("unrealized_pnl"), zero.alias("total_buy_amount"), zero.alias("total_sell_amount"))
-        days = new("daily").select(*ff.ACCOUNT, zero.alias("realized_pnl"), zero.alias("unrealized_pnl"), *[F.when(late, F.col(f"{s}_amount")).otherwise(zero).alias(f"total_{s}_amount") for s in ("buy", "sell")])
-        old = self.read("accounts", before).select(*ff.ACCOUNT, "realized_pnl", zero.alias("unrealized_pnl"), "total_buy_amount", "total_sell_amount")
-        sums = old.unionByName(marks).unionByName(days).groupBy(*ff.ACCOUNT).agg(*[F.sum(c).alias(c) for c in ("realized_pnl", "unrealized_pnl", "total_buy_amount", "total_sell_amount")])
+        no_shares = F.lit(0).cast("long")
+        made = new("holdings").select(*ff.ACCOUNT, F.when(late, F.col("realized_pnl")).otherwise(zero).alias("realized_pnl"), zero.alias("total_buy_amount"), zero.alias("total_sell_amount"), F.struct("date", "net", "base").alias("held"))
+        nothing = F.lit(None).cast("struct<date:date,net:bigint,base:double>")
+        days = new("daily").select(*ff.ACCOUNT, zero.alias("realized_pnl"), *[F.when(late, F.col(f"{s}_amount")).otherwise(zero).alias(f"total_{s}_amount") for s in ("buy", "sell")], nothing.alias("held"))
+        old = self.read("accounts", before).select(*ff.ACCOUNT, "realized_pnl", "total_buy_amount", "total_sell_amount", F.struct(F.lit("0001-01-01").cast("date").alias("date"), "net", "base").alias("held"))
+        sums = old.unionByName(made).unionByName(days).groupBy(*ff.ACCOUNT).agg(*[F.sum(c).alias(c) for c in ("realized_pnl", "total_buy_amount", "total_sell_amount")], F.max("held").alias("held"))
+        last = new("closes").groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+        net, base = F.coalesce("held.net", no_shares), F.coalesce("held.base", zero)
+        sums = sums.join(last, "symbol").select(*ff.ACCOUNT, "realized_pnl", (net * F.col("close") + base).alias("unrealized_pnl"), "total_buy_amount", "total_sell_amount", net.alias("net"), base.alias("base"))
         alpha = ev.timing_alpha(self.read("daily", after).where(late), self.read("closes", after).where(late))
         return sums.join(alpha, [*ff.ACCOUNT], "left").withColumn("timing_alpha", F.coalesce("timing_alpha", zero))
 
