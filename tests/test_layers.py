@@ -125,3 +125,26 @@ def test_stream_of_accounts_resumes(spark, tmp_path):
         q.awaitTermination()
     cols = ["symbol", "broker", "date", "realized_pnl", "unrealized_pnl", "net"]
     assert key(spark.read.parquet(f"{tmp_path}/out"), cols) == key(ff.fifo_daily(daily, prices), cols)
+
+
+def test_a_refresh_stores_days_and_not_marks(spark, tmp_path):
+    """What is stored grows with days traded, not with accounts times dates; marks read from it are those of the whole history."""
+    p = make(spark, symbols=("A",), days=20)
+    step = Layers(spark, f"file://{tmp_path}/sparse", "2020-01-01")
+    step.refresh(p.where("date <= '2020-01-10'"))
+    step.refresh(p)
+    assert not os.path.exists(f"{tmp_path}/sparse/marks") and step.read("holdings").count() == step.read("daily").count()
+    assert key(step.read("marks"), LAYER_COLS["marks"]) == key(ho.daily_marks(tb.daily_summary(p), tb.prices(p)), LAYER_COLS["marks"])
+
+
+def test_state_is_the_last_of_the_days(spark):
+    """Sums over an account's days give what its days one by one give, from a start on as well, without meeting another shuffle than that of the accounts."""
+    p = make(spark, symbols=("A", "B"), days=30)
+    daily, prices = tb.daily_summary(p.repartition(3, "symbol", "broker")), tb.prices(p).cache()
+    got = {(x.symbol, x.broker): x for x in ff.last_state(daily, prices, "2020-01-15").collect()}
+    want, close = {}, {s: c for s, c in prices.groupBy("symbol").agg(F.max_by("close", "date")).collect()}
+    for x in sorted(ff.fifo_daily(daily, prices).collect(), key=lambda x: x.date):
+        late = want.get((x.symbol, x.broker), (0.0,))[0] + (x.realized_pnl if x.date >= dt.date(2020, 1, 15) else 0.0)
+        want[x.symbol, x.broker] = (late, x.realized_total, x.net * (close[x.symbol] - x.close) + x.unrealized_pnl)
+    assert got.keys() == want.keys()
+    assert all((got[k].late_pnl, got[k].realized_pnl, got[k].unrealized_pnl) == pytest.approx(v, abs=1e-6) for k, v in want.items())
