@@ -215,6 +215,19 @@ def test_licence_negatives_are_different(spark, monkeypatch):
     assert licenses.negatives(few.limit(0)).count() == 0
 
 
+def test_licences_learn_from_all_paragraphs(spark, monkeypatch):
+    """No sample: a corpus of more different lines than any bound gives all of them, each once, to fit or to calibrate."""
+    monkeypatch.setattr(licenses, "negatives", None)
+    text = "\n".join(f"the line number {i} of this program" for i in range(450))
+    corpus = spark.createDataFrame([(i, text.replace("number ", f"number {i}x")) for i in range(20)] * 2 + [(99, text + "\nReleased under the MIT License.")], "doc_id long, text string")
+    scratch = licenses.Scratch(spark, "test")
+    _, _, limit = licenses.train(corpus, scratch)
+    assert licenses.LEAST_PROBABILITY <= limit <= 0.95
+    parts = {r.fits: r.n for r in licenses.plain_examples(corpus, ["program", "the"]).groupBy("fits").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert sum(parts.values()) == 21 * 450 and min(parts.values()) > 4000
+    assert [(r.doc_id, r.licence_places) for r in licenses.scan(corpus).collect() if r.families] == [(99, [450])]
+
+
 def test_wrapped_licences(spark, docs):
     gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
     mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights"]
