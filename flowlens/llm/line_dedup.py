@@ -110,15 +110,21 @@ class _Job:
 
     def posted(self) -> DataFrame:
         """(key, h, m0, m1, n, every) of each line in each list that holds two different lines or more."""
-        kinds = [self.lines.where(F.col(f"{kind}_n").isNotNull()).select("h", F.explode(band_keys(F.col(f"{kind}_low"), kind)).alias("key"), *[F.col(f"{kind}_{c}").alias(c) for c in ("m0", "m1", "n")], F.lit(kind == "every").alias("every")) for kind in BANDS]
+        # only names of lines go through the two shuffles of all postings; bits and sizes are looked up for what is left
+        kinds = [self.lines.where(F.col(f"{kind}_n").isNotNull()).select("h", F.explode(band_keys(F.col(f"{kind}_low"), kind)).alias("key"), F.lit(kind == "every").alias("every")) for kind in BANDS]
         rows = kinds[0].union(kinds[1]).where("key is not null")
         # lists of one line cannot link anything; the bounds are combined before the shuffle
         lists = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
         # a table of its own on either side of the join lets Spark split a hot key
         lists = self.scratch.keep(lists)
-        found = rows.join(lists.hint("shuffle_hash"), "key").groupBy("key", "h").agg(*[F.max(c).alias(c) for c in ("m0", "m1", "n", "every")])
-        out = self.scratch.keep(found)
-        self.scratch.drop(lists)
+        self.scratch.only(lists, *self.held())
+        found = self.scratch.keep(rows.join(lists.hint("shuffle_hash"), "key").groupBy("key", "h").agg(F.max("every").alias("every")))
+        self.scratch.only(found, *self.held())
+        signs = [f"{kind}_{c}" for kind in BANDS for c in ("m0", "m1", "n")]
+        signs = self.lines.groupBy("h").agg(*[F.max(c).alias(c) for c in signs])
+        both = found.join(signs, "h")
+        out = self.scratch.keep(both.select("key", "h", *[F.when(F.col("every"), F.col(f"every_{c}")).otherwise(F.col(f"sample_{c}")).alias(c) for c in ("m0", "m1", "n")], "every"))
+        self.scratch.only(out, *self.held())
         return out
 
     def with_component(self, df: DataFrame) -> DataFrame:

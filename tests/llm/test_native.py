@@ -194,6 +194,24 @@ def test_line_dedup_recall(spark):
     assert not any(out[i] for i in range(1000))
 
 
+def test_line_dedup_postings_are_narrow(spark, monkeypatch):
+    """What is written with every posting of all lines holds names only; lists and signatures are those of the lines."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ijkl") for _ in range(rng.choice([40, 140, 400]))) for _ in range(60)]
+    corpus = spark.createDataFrame([(i, t + "\n" + t[:-3] + "xyz") for i, t in enumerate(texts)], "doc_id long, text string")
+    written, keep = [], line_dedup.Scratch.keep
+    monkeypatch.setattr(line_dedup.Scratch, "keep", lambda self, df, *a, **b: written.append(df.columns) or keep(self, df, *a, **b))
+    job = line_dedup._Job(corpus)
+    posted = job.posted().collect()
+    assert written[1:3] == [["key"], ["key", "h", "every"]]
+    lines, lists = {r.h: r for r in job.lines.collect()}, defaultdict(set)
+    for r in posted:
+        kind = "every" if r.every else "sample"
+        assert (r.m0, r.m1, r.n) == tuple(lines[r.h][f"{kind}_{c}"] for c in ("m0", "m1", "n"))
+        lists[r.key].add(r.h)
+    assert len(lists) >= 60 and min(map(len, lists.values())) > 1 and len(posted) == sum(map(len, lists.values()))
+
+
 def test_licences(spark, docs):
     given = [(1, "Some words here that mean nothing at all\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "this licence plate was released under pressure by the institute"), (5, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
