@@ -22,6 +22,10 @@ BANDS = {"sample": (5, 2), "every": (5, 3)}
 #: The KEPT smallest hashes set bits in two words of 64, about half of them, so that unlike lines share 0.3 of their bits as well. A pair is compared in full if it has at least LIKELY
 #: of its bits in common: that of similarity 0.54 for all shingles, four deviations below 0.8, and of 0.37 for samples, whose longer shingles agree in about 0.7 at similarity 0.8.
 KEPT, LIKELY_EVERY, LIKELY_SAMPLE = 40, 0.68, 0.56
+#: In the first round each line meets the first and the last line of its lists, so that all pairs of lists of up to WHOLE lines are made then; only longer lists go on.
+WHOLE = 3
+#: Longs of 64 bits in a parity map of a full shingle set. Maps of unlike lines differ in too many bits for similarity 0.8 up to about 2000 shingles; longer ones are told apart by the exact test alone.
+PARITY_WORDS = 16
 #: Lines to fetch are sent to all tasks up to so many hashes (8 bytes each), else both sides are shuffled.
 BROADCAST_LINES = 500_000
 
@@ -75,6 +79,22 @@ def similar(x: Column, y: Column) -> Column:
     return F.when(F.least(F.size(x), F.size(y)) < SIMILARITY * F.greatest(F.size(x), F.size(y)), F.lit(False)).otherwise((1 + SIMILARITY) * F.size(F.array_intersect(x, y)) >= SIMILARITY * sizes)
 
 
+def parities(lines: DataFrame) -> DataFrame:
+    """(h, size, p0, ...) of lines (h, line): the number of shingles and, for each bucket of their hashes, whether it holds an odd number of them."""
+    sets = bound(lines.select("h", "line"), set=shingles(F.col("line"))).select("h", F.size("set").alias("size"), F.explode("set").alias("z"))
+    word, bit = F.shiftright("z", 6).bitwiseAND(F.lit(PARITY_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("z").bitwiseAND(F.lit(63)).cast("int"))
+    sets = sets.select("h", "size", word.alias("word"), bit.alias("bit"))
+    return sets.groupBy("h", "size").agg(*[F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITY_WORDS)])
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether parity maps and sizes allow similarity 0.8. No link is lost: two sets differ in at least as many shingles as their maps differ in bits."""
+    low, high, flipped = F.least(f"size_{a}", f"size_{b}"), F.greatest(f"size_{a}", f"size_{b}"), F.lit(0)
+    for i in range(PARITY_WORDS):
+        flipped = flipped + F.bit_count(F.col(f"p{i}_{a}").bitwiseXOR(F.col(f"p{i}_{b}")))
+    return (low >= SIMILARITY * high) & ((1 + SIMILARITY) * flipped <= (1 - SIMILARITY) * (low + high) + 0.001)
+
+
 def _likely(a: str, b: str) -> Column:
     """Whether the signatures of two members of a list allow similarity 0.8: sizes (with four deviations of room, since they may be those of samples) and shared bits."""
     low, high = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
@@ -140,20 +160,29 @@ class _Job:
         self.scratch.drop(at)
         return out
 
-    def led(self, members: DataFrame, order: Column) -> DataFrame:
-        """Likely pairs of each member with the leader of its list, the first in an order given by xor with `order`."""
-        name = F.col("h").bitwiseXOR(order)
-        cols = ("h", "comp", "m0", "m1", "n", "every")
-        first = members.groupBy("key").agg(F.min(F.struct(name.alias("name"), *cols)).alias("x"))
-        first = self.scratch.keep(first.select("key", *[F.col(f"x.{c}").alias(f"{c}_b") for c in cols]))
+    def ends(self, members: DataFrame) -> DataFrame:
+        """(key, size, ends): how many lines each list has, and its first and last one."""
+        line = F.struct("h", "m0", "m1", "n", "every")
+        return self.scratch.keep(members.groupBy("key").agg(F.count("*").alias("size"), F.array(F.min(line), F.max(line)).alias("ends")))
+
+    def led(self, members: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Likely pairs of each member with the leaders (key, leader) of its list; where members have components, of different ones."""
+        apart = [c for c in ("h", "comp") if c in members.columns][-1]
+        cols = ("h", "m0", "m1", "n", "every", *(["comp"] if apart == "comp" else []))
+        first = leaders.select("key", *[F.col(f"leader.{c}").alias(f"{c}_b") for c in cols])
         both = members.select("key", *[F.col(c).alias(f"{c}_a") for c in cols]).join(first, "key")
-        return both.where((F.col("comp_a") != F.col("comp_b")) & _likely("a", "b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+        return both.where((F.col(f"{apart}_a") != F.col(f"{apart}_b")) & _likely("a", "b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+
+    def leaders(self, members: DataFrame) -> DataFrame:
+        """(key, leader): the first member of each list in an order of the list's own."""
+        line = F.struct(F.col("h").bitwiseXOR(F.xxhash64("key")).alias("name"), "h", "m0", "m1", "n", "every", "comp")
+        return self.scratch.keep(members.groupBy("key").agg(F.min(line).alias("leader")))
 
     def across(self, members: DataFrame) -> DataFrame:
-        """Pairs of members of different components of a list, one of them outside its largest component, that share enough shingles, in lists of any length.
+        """Pairs of members of different components of a list, one of them outside its largest component, whose full sets may be similar, in lists of any length.
 
-        A pair is made in the first list that it shares only. Semi joins find the members that have a likely partner at all; the shingle sets of these are
-        compared within the join, so that no more rows leave it than there are links. Both sides are tables, so that Spark splits a long list.
+        A pair is made in the first list that it shares only. Semi joins find the members that have a likely partner at all; parity maps of the full shingle sets of these
+        are compared within the join, so that hardly more rows leave it than there are links. Both sides are tables, so that Spark splits a long list.
         """
         main = members.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
         own = members.groupBy("h").agg(F.collect_set("key").alias("keys"))  # a line has 20 keys at most
@@ -168,14 +197,12 @@ class _Job:
         x = self.scratch.keep(side(outside, "a").join(side(every, "b"), pair, "left_semi"))
         y = self.scratch.keep(side(every, "b").join(x, pair, "left_semi"))
         self.scratch.only(x, y, *self.held())
-        self.fetch(x.select(F.col("h_a").alias("a"), F.col("h_a").alias("b")).union(y.select("h_b", "h_b")))
-        # 32 bits a shingle; one collision of hashes more or less is left to the exact test that follows
-        sets = self.scratch.keep(self.texts.select("h", F.array_distinct(F.transform(_parts(F.col("line")), lambda z: F.hash(z))).alias("set")))
-        x, y = (self.scratch.keep(df.join(side(sets, e), f"h_{e}")) for df, e in ((x, "a"), (y, "b")))
+        wanted = self.scratch.keep(x.select(F.col("h_a").alias("h")).union(y.select("h_b")).distinct())
+        self.fetch(wanted.select(F.col("h").alias("a"), F.col("h").alias("b")))
+        maps = self.scratch.keep(parities(self.texts.join(wanted, "h", "left_semi")))
+        x, y = (self.scratch.keep(df.join(side(maps, e), f"h_{e}")) for df, e in ((x, "a"), (y, "b")))
         self.scratch.only(x, y, *self.held())
-        sizes = F.least(F.size("set_a"), F.size("set_b")) >= SIMILARITY * F.greatest(F.size("set_a"), F.size("set_b")) - 2
-        enough = sizes & ((1 + SIMILARITY) * F.size(F.array_intersect("set_a", "set_b")) >= SIMILARITY * (F.size("set_a") + F.size("set_b")) - 2)
-        return x.join(y, pair & first & enough).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+        return x.join(y, pair & _close("a", "b") & first).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
 
     def fetch(self, pairs: DataFrame) -> None:
         """Add the texts of lines in pairs that are not fetched yet."""
@@ -211,23 +238,27 @@ class _Job:
     def run(self) -> DataFrame:
         """(h, first) for each line: the first occurrence of its component."""
         members = self.posted()
-        for round_ in range(3):
-            if round_:
-                members = self.open_lists(members.select("key", "h", "m0", "m1", "n", "every"))
-                if members.isEmpty():
-                    break
-                self.scratch.only(members, *self.held())
-            else:
-                members = self.with_component(members)
-            # one order for all lists at first, so that a line meets few leaders; then one for each list; then all across
-            self.link(self.across(members) if round_ == 2 else self.led(members, F.lit(0).cast("long") if round_ == 0 else F.xxhash64("key")))
+        ends = self.ends(members)
+        self.link(self.led(members, ends.select("key", F.explode(F.array_distinct("ends")).alias("leader"))))
+        # shorter lists are settled: every pair was made
+        members = self.scratch.keep(members.join(ends.where(F.col("size") > WHOLE).select("key"), "key"))
+        self.scratch.only(members, *self.held())
+        for last in (False, True):
+            members = self.open_lists(members.select("key", "h", "m0", "m1", "n", "every"))
+            if members.isEmpty():
+                break
+            self.scratch.only(members, *self.held())
+            # a leader for each list, then all across
+            self.link(self.across(members) if last else self.led(members, self.leaders(members)))
             self.scratch.only(members, *self.held())
-        classes = self.lines.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first"))
+        classes = self.scratch.keep(self.lines.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first")))
         if self.labels is None:
-            return self.scratch.keep(classes)
-        named = self.scratch.keep(self.with_component(classes))
-        roots = self.scratch.keep(named.groupBy("comp").agg(F.min("first").alias("first")))
-        return self.scratch.keep(named.select("h", "comp").join(roots, "comp").select("h", "first"))
+            return classes
+        # only lines with links have to look for the first line of others
+        named = self.scratch.keep(classes.join(self.labels.select(F.col("node").alias("h"), "label"), "h"))
+        roots = named.groupBy("label").agg(F.min("first").alias("root"))
+        moved = self.scratch.keep(named.select("h", "label").join(roots, "label").select("h", "root"))
+        return self.scratch.keep(classes.join(moved, "h", "left").select("h", F.coalesce("root", "first").alias("first")))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -245,8 +276,8 @@ def _marked(docs: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(k, doc_id, n_lines, dropped): for each row of docs, how many visible lines it has and the sorted places (from 0) of those that repeat.
 
-    Lines are split at \\n. Equal lines form a class. Classes that share a band key form a list and are paired with the leader of each list, first in an order for all
-    lists, then in one of the list's own; pairs whose signatures allow it are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), and
+    Lines are split at \\n. Equal lines form a class. Classes that share a band key form a list and are paired with its first and its last line, which settles
+    short lists; longer ones then take a leader in an order of the list's own; pairs whose signatures allow it are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), and
     components are joined. Lists that still hold several components are paired across them, at any length. Of each component the first line by (doc_id, place) stays.
 
     Null and blank texts have 0 lines and nothing to drop; blank lines are never dropped. A null doc_id comes first. Rows that repeat both doc_id and text are one

@@ -212,6 +212,33 @@ def test_line_dedup_postings_are_narrow(spark, monkeypatch):
     assert len(lists) >= 60 and min(map(len, lists.values())) > 1 and len(posted) == sum(map(len, lists.values()))
 
 
+def test_line_dedup_settles_short_lists_at_once(spark, monkeypatch):
+    """Lists of up to three lines are paired in full in the first round: no later round gets them, and the copies go."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ijkl") for _ in range(150)) for _ in range(20)]
+    rows = [(3 * i + j, t[: -1 - j] + "xyz"[j] * (1 + j)) for i, t in enumerate(texts) for j in range(3)]
+    later, opened = [], line_dedup._Job.open_lists
+    monkeypatch.setattr(line_dedup._Job, "open_lists", lambda self, members: later.append(members.count()) or opened(self, members))
+    out = {x.doc_id: x.dropped for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == ([0] if i % 3 else []) for i, _ in rows) and later == [0]
+
+
+def test_line_dedup_parities(spark):
+    """Maps differ in no more bits than sets in shingles, so that no similar pair is lost, and tell unlike lines of up to 1,500 characters apart."""
+    r = random.Random(23)
+    lines = ["".join(r.choice("abcdefghijklmnopqrst     ") for _ in range(n)) for n in (3, 20, 100, 400, 900, 1500)]
+    lines = [x for a in lines for x in (a, _edited(a, r))] + ["".join(r.choice("abcdefghijklmnopqrst     ") for _ in range(1500))]
+    maps = line_dedup.parities(spark.createDataFrame(list(enumerate(lines)), "h long, line string")).localCheckpoint()
+    sides = [maps.select(*[maps[c].alias(f"{c}_{e}") for c in maps.columns]) for e in "ab"]
+    close = {(x.h_a, x.h_b) for x in sides[0].crossJoin(sides[1]).where(line_dedup._close("a", "b")).select("h_a", "h_b").collect()}
+    sizes = {x.h: x.size for x in maps.collect()}
+    for i, a in enumerate(map(_line_sets, lines)):
+        assert sizes[i] == len(a)
+        for j, b in enumerate(map(_line_sets, lines)):
+            assert (i, j) in close if len(a & b) >= 0.8 * len(a | b) else (i, j) not in close or min(len(a), len(b)) < 50
+    assert (10, 12) not in close
+
+
 def test_licences(spark, docs):
     given = [(1, "Some words here that mean nothing at all\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "this licence plate was released under pressure by the institute"), (5, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
