@@ -22,8 +22,8 @@ BANDS = {"sample": (5, 2), "every": (5, 3)}
 #: The KEPT smallest hashes set bits in two words of 64, about half of them, so that unlike lines share 0.3 of their bits as well. A pair is compared in full if it has at least LIKELY
 #: of its bits in common: that of similarity 0.54 for all shingles, four deviations below 0.8, and of 0.37 for samples, whose longer shingles agree in about 0.7 at similarity 0.8.
 KEPT, LIKELY_EVERY, LIKELY_SAMPLE = 40, 0.68, 0.56
-#: In the first round each line meets the first and the last line of its lists, so that all pairs of lists of up to WHOLE lines are made then; only longer lists go on.
-WHOLE = 3
+#: Of lists of up to WHOLE lines all pairs are made in the first round, each list in one row; only longer lists go on.
+WHOLE = 64
 #: Longs of 64 bits in a parity map of a full shingle set. Maps of unlike lines differ in too many bits for similarity 0.8 up to about 2000 shingles; longer ones are told apart by the exact test alone.
 PARITY_WORDS = 16
 #: Lines to fetch are sent to all tasks up to so many hashes (8 bytes each), else both sides are shuffled.
@@ -160,23 +160,24 @@ class _Job:
         self.scratch.drop(at)
         return out
 
-    def ends(self, members: DataFrame) -> DataFrame:
-        """(key, size, ends): how many lines each list has, and its first and last one."""
+    def within(self, members: DataFrame, lists: DataFrame) -> DataFrame:
+        """Likely pairs of all members of the given lists (key), which are short."""
+        lines = members.join(lists, "key").groupBy("key").agg(F.collect_list(F.struct("h", "m0", "m1", "n", "every")).alias("x")).select("x")
+        both = lines.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a.h < b.h")
+        return both.select(*[F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "ab" for c in ("h", "m0", "m1", "n", "every")]).where(_likely("a", "b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+
+    def leaders(self, members: DataFrame) -> DataFrame:
+        """(key, leader): the first and the last member of each list, and the first one in an order of the list's own."""
         line = F.struct("h", "m0", "m1", "n", "every")
-        return self.scratch.keep(members.groupBy("key").agg(F.count("*").alias("size"), F.array(F.min(line), F.max(line)).alias("ends")))
+        ends = F.array(F.min(line), F.max(line), F.min_by(line, F.col("h").bitwiseXOR(F.xxhash64("key"))))
+        return self.scratch.keep(members.groupBy("key").agg(ends.alias("ends"))).select("key", F.explode(F.array_distinct("ends")).alias("leader"))
 
     def led(self, members: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Likely pairs of each member with the leaders (key, leader) of its list; where members have components, of different ones."""
-        apart = [c for c in ("h", "comp") if c in members.columns][-1]
-        cols = ("h", "m0", "m1", "n", "every", *(["comp"] if apart == "comp" else []))
+        """Likely pairs of each member with the leaders (key, leader) of its list."""
+        cols = ("h", "m0", "m1", "n", "every")
         first = leaders.select("key", *[F.col(f"leader.{c}").alias(f"{c}_b") for c in cols])
         both = members.select("key", *[F.col(c).alias(f"{c}_a") for c in cols]).join(first, "key")
-        return both.where((F.col(f"{apart}_a") != F.col(f"{apart}_b")) & _likely("a", "b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
-
-    def leaders(self, members: DataFrame) -> DataFrame:
-        """(key, leader): the first member of each list in an order of the list's own."""
-        line = F.struct(F.col("h").bitwiseXOR(F.xxhash64("key")).alias("name"), "h", "m0", "m1", "n", "every", "comp")
-        return self.scratch.keep(members.groupBy("key").agg(F.min(line).alias("leader")))
+        return both.where((F.col("h_a") != F.col("h_b")) & _likely("a", "b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
 
     def across(self, members: DataFrame) -> DataFrame:
         """Pairs of members of different components of a list, one of them outside its largest component, whose full sets may be similar, in lists of any length.
@@ -231,6 +232,13 @@ class _Job:
             self.links = sure if self.links is None else self.links.union(sure)
             self.labels = components(self.links, self.scratch, self.n_links)
 
+    def settle(self, pairs: DataFrame) -> None:
+        """Confirm each line with its first partner, then those pairs that are still of different components."""
+        pairs = self.scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.link(pairs.groupBy("b").agg(F.min("a").alias("a")))
+        ends = self.with_component(pairs.withColumnRenamed("a", "h")).select(F.col("h").alias("a"), F.col("b").alias("h"), F.col("comp").alias("comp_a"))
+        self.link(self.with_component(ends).where("comp <> comp_a").select("a", F.col("h").alias("b")))
+
     def held(self) -> list[DataFrame]:
         """What later rounds read."""
         return [t for t in (self.lines, self.links, self.labels, self.texts, self.tested) if t is not None]
@@ -238,19 +246,17 @@ class _Job:
     def run(self) -> DataFrame:
         """(h, first) for each line: the first occurrence of its component."""
         members = self.posted()
-        ends = self.ends(members)
-        self.link(self.led(members, ends.select("key", F.explode(F.array_distinct("ends")).alias("leader"))))
-        # shorter lists are settled: every pair was made
-        members = self.scratch.keep(members.join(ends.where(F.col("size") > WHOLE).select("key"), "key"))
+        sizes = self.scratch.keep(members.groupBy("key").agg((F.count("*") > WHOLE).alias("long")))
+        pairs = self.scratch.keep(self.within(members, sizes.where("not long").select("key")))
+        members = self.scratch.keep(members.join(sizes.where("long").select("key"), "key"))
+        self.scratch.only(pairs, members, *self.held())
+        self.settle(pairs.union(self.led(members, self.leaders(members))))
         self.scratch.only(members, *self.held())
-        for last in (False, True):
-            members = self.open_lists(members.select("key", "h", "m0", "m1", "n", "every"))
-            if members.isEmpty():
-                break
-            self.scratch.only(members, *self.held())
-            # a leader for each list, then all across
-            self.link(self.across(members) if last else self.led(members, self.leaders(members)))
+        members = self.open_lists(members)
+        if not members.isEmpty():
             self.scratch.only(members, *self.held())
+            self.link(self.across(members))
+        self.scratch.only(*self.held())
         classes = self.scratch.keep(self.lines.groupBy("h").agg(F.min(F.struct("doc_id", "place", "k")).alias("first")))
         if self.labels is None:
             return classes
@@ -276,9 +282,9 @@ def _marked(docs: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(k, doc_id, n_lines, dropped): for each row of docs, how many visible lines it has and the sorted places (from 0) of those that repeat.
 
-    Lines are split at \\n. Equal lines form a class. Classes that share a band key form a list and are paired with its first and its last line, which settles
-    short lists; longer ones then take a leader in an order of the list's own; pairs whose signatures allow it are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), and
-    components are joined. Lists that still hold several components are paired across them, at any length. Of each component the first line by (doc_id, place) stays.
+    Lines are split at \\n. Equal lines form a class. Classes that share a band key form a list. All pairs of short lists are made; in longer ones each class is paired with
+    the first and the last one and with a leader in an order of the list's own. Pairs whose signatures allow it are confirmed by the exact Jaccard similarity of their shingle sets (SIMILARITY or more), and
+    components are joined. Long lists that still hold several components are paired across them, at any length. Of each component the first line by (doc_id, place) stays.
 
     Null and blank texts have 0 lines and nothing to drop; blank lines are never dropped. A null doc_id comes first. Rows that repeat both doc_id and text are one
     document: each gets the same result. Of equal lines at the same (doc_id, place) one stays. An empty table gives an empty result. Extra columns are ignored.

@@ -223,6 +223,20 @@ def test_line_dedup_settles_short_lists_at_once(spark, monkeypatch):
     assert all(out[i] == ([0] if i % 3 else []) for i, _ in rows) and later == [0]
 
 
+def test_line_dedup_settles_lists_of_many_unlike_lines(spark, monkeypatch):
+    """Lists of forty lines that share their keys by a common passage: all their pairs are made in the first round, no later round gets a line, and the one copy goes."""
+    r = random.Random(11)
+    common = "".join(r.choice("qwxyzjkv ") for _ in range(60))
+    rows = [(i, common + "".join(r.choice("abcdefghilmnoprstu ") for _ in range(60)) + "s") for i in range(40)]
+    rows.append((40, rows[7][1][:-1] + "t"))
+    sizes, later, within, opened = [], [], line_dedup._Job.within, line_dedup._Job.open_lists
+    monkeypatch.setattr(line_dedup._Job, "within", lambda self, members, lists: sizes.extend(x["count"] for x in members.groupBy("key").count().collect()) or within(self, members, lists))
+    monkeypatch.setattr(line_dedup._Job, "open_lists", lambda self, members: later.append(members.count()) or opened(self, members))
+    out = {x.doc_id: x.dropped for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, d in sorted(out.items()) if d] == [40] and out[40] == [0]
+    assert max(sizes) > 3 and later == [0]
+
+
 def test_line_dedup_parities(spark):
     """Maps differ in no more bits than sets in shingles, so that no similar pair is lost, and tell unlike lines of up to 1,500 characters apart."""
     r = random.Random(23)
