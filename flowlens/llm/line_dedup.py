@@ -232,10 +232,12 @@ class _Job:
             self.links = sure if self.links is None else self.links.union(sure)
             self.labels = components(self.links, self.scratch, self.n_links)
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Confirm each line with its first partner, then those pairs that are still of different components."""
+    def settle(self, pairs: DataFrame, members: DataFrame) -> None:
+        """Confirm each line with its first partner, then those pairs that are still of different components. members are kept for later rounds."""
         pairs = self.scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.scratch.only(pairs, members, *self.held())
         self.link(pairs.groupBy("b").agg(F.min("a").alias("a")))
+        self.scratch.only(pairs, members, *self.held())
         ends = self.with_component(pairs.withColumnRenamed("a", "h")).select(F.col("h").alias("a"), F.col("b").alias("h"), F.col("comp").alias("comp_a"))
         self.link(self.with_component(ends).where("comp <> comp_a").select("a", F.col("h").alias("b")))
 
@@ -247,10 +249,12 @@ class _Job:
         """(h, first) for each line: the first occurrence of its component."""
         members = self.posted()
         sizes = self.scratch.keep(members.groupBy("key").agg((F.count("*") > WHOLE).alias("long")))
+        self.scratch.only(sizes, members, *self.held())
         pairs = self.scratch.keep(self.within(members, sizes.where("not long").select("key")))
+        self.scratch.only(pairs, sizes, members, *self.held())
         members = self.scratch.keep(members.join(sizes.where("long").select("key"), "key"))
         self.scratch.only(pairs, members, *self.held())
-        self.settle(pairs.union(self.led(members, self.leaders(members))))
+        self.settle(pairs.union(self.led(members, self.leaders(members))), members)
         self.scratch.only(members, *self.held())
         members = self.open_lists(members)
         if not members.isEmpty():
