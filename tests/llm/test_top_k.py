@@ -55,3 +55,33 @@ def test_sql(spark):
     c.sql(f"create view embeddings as select * from '{d}/embeddings.parquet'")
     want = sorted(c.sql("select query_id, rank, vec_id, score from (" + SQL["op6_exact_top_k"] + ")").fetchall())
     assert sorted(tuple(x) for x in op6_exact_top_k(spark, d).collect()) == want
+
+
+def test_nothing_is_sent_through_the_driver_or_copied(spark, monkeypatch):
+    """However small the queries look, they are not broadcast, and the rows that meet are dealt without a copy for each tile of the other side."""
+    monkeypatch.setattr(op, "SHARD_ROWS", 64)
+    monkeypatch.setattr(op, "TILE_QUERIES", 4)
+    r = random.Random(3)
+    rows = [(20 * i, [r.gauss(0, 1) for _ in range(4)]) for i in range(600)]
+    out = op.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    assert sorted(tuple(x) for x in out.collect()) == brute(rows, 10)
+
+
+def test_many_blocks_parts_and_ties(spark, monkeypatch):
+    """Several blocks to a task, several tasks to a block, long vectors cut into smaller rows, equal scores all over."""
+    for name, value in (("SHARD_ROWS", 8), ("TILE_QUERIES", 2), ("BLOCK_TILES", 2), ("TASK_BLOCKS", 3), ("PART_SHARDS", 2), ("LEAST_PARTS", 3), ("FAN_IN", 2), ("ENTRIES", 20)):
+        monkeypatch.setattr(op, name, value)
+    r = random.Random(4)
+    rows = [(25 * i, [float(r.randrange(2)) for _ in range(r.choice((2, 3, 30)))]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(x) for x in op.top_k(df).collect()) == brute(rows, 10)
+
+
+def test_product_is_exact_in_every_precision():
+    rng = np.random.default_rng(5)
+    for top in (100, 2**11, 2**13, 2**24, 2**28, 2**40):
+        q, x = (np.floor(rng.uniform(-top, top, (5, 64))) for _ in range(2))
+        want = [[sum(int(a) * int(b) for a, b in zip(i, j)) for j in x] for i in q]
+        assert np.array_equal(op.product(q, x), np.clip(np.array(want, dtype=object), -(2**63), 2**63 - 1).astype(np.int64))
