@@ -20,6 +20,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: The least number of files of a table whose number of rows is known.
 FEW_FILES = 8
+#: Whether Spark deletes the shuffle files of an execution as soon as it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -38,11 +40,22 @@ class Scratch:
         self.spark, self.root, self.paths = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", {}
 
     def keep(self, df: DataFrame, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
-        """Write df as Parquet and return the table read back. Where a bound on its rows is known, small tables are written in few files, large ones by all partitions."""
+        """Write df as Parquet and return the table read back. Where a bound on its rows is known, small tables are written in few files, large ones by all partitions.
+
+        The write's shuffle files go with it, as nothing reads them again: left to the collector, those of one table are still there while the next is made.
+        """
         if rows is not None:
             df = df.coalesce(max(FEW_FILES, -(-rows // per_file)))
         path = f"{self.root}/{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(FREE_SHUFFLES)
+            else:
+                self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
