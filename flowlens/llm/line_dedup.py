@@ -81,10 +81,14 @@ def similar(x: Column, y: Column) -> Column:
 
 def parities(lines: DataFrame) -> DataFrame:
     """(h, size, p0, ...) of lines (h, line): the number of shingles and, for each bucket of their hashes, whether it holds an odd number of them."""
-    sets = bound(lines.select("h", "line"), set=shingles(F.col("line"))).select("h", F.size("set").alias("size"), F.explode("set").alias("z"))
-    word, bit = F.shiftright("z", 6).bitwiseAND(F.lit(PARITY_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("z").bitwiseAND(F.lit(63)).cast("int"))
-    sets = sets.select("h", "size", word.alias("word"), bit.alias("bit"))
-    return sets.groupBy("h", "size").agg(*[F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITY_WORDS)])
+    sets = bound(lines.select("h", "line"), set=shingles(F.col("line")))
+    one = F.lit(1).cast("long")
+
+    def odd(i: int) -> Column:
+        own = F.filter("set", lambda z: F.shiftright(z, 6).bitwiseAND(F.lit(PARITY_WORDS - 1)) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, z: acc.bitwiseXOR(F.call_function("shiftleft", one, z.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return sets.select("h", F.size("set").alias("size"), *[odd(i).alias(f"p{i}") for i in range(PARITY_WORDS)])
 
 
 def _close(a: str, b: str) -> Column:

@@ -253,6 +253,13 @@ def test_line_dedup_parities(spark):
     assert (10, 12) not in close
 
 
+def test_line_dedup_parities_make_no_row_a_shingle(spark):
+    maps = line_dedup.parities(spark.createDataFrame([(1, "x" * 9), (2, "a line of some words")], "h long, line string"))
+    plan = maps._jdf.queryExecution().executedPlan().toString()
+    assert "explode(set" not in plan and "Exchange" not in plan
+    assert sorted((x.h, x.size) for x in maps.collect()) == [(1, 1), (2, 16)]
+
+
 def test_licences(spark, docs):
     given = [(1, "Some words here that mean nothing at all\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, "this licence plate was released under pressure by the institute"), (5, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     both = docs.select("doc_id", "text").where("doc_id < 900").selectExpr("doc_id + 1000 as doc_id", "text").union(spark.createDataFrame(given, "doc_id long, text string"))
